@@ -11,6 +11,7 @@ bounded cache of pieces it has already encoded.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 import re
@@ -18,16 +19,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import strings
-
 NONE = np.int32(2**31 - 1)
 #: A space between two whitespace characters joins its neighbours in one match; other spaces start a match of their own.
 LOOSE_SPACE = re.compile(r" (?<=\s )\s")
-CACHE = 400_000
+CACHE = 800_000
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
 
 class MergeReplay:
@@ -50,7 +55,6 @@ class MergeReplay:
         order = np.argsort(np.array(keys, np.int64), kind="stable")
         self.keys = np.append(np.array(keys, np.int64)[order], np.int64(2**62))
         self.to = np.append(np.array(to, np.int32)[order], NONE)
-        self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -95,7 +99,7 @@ class MergeReplay:
         while heap:
             r = heapq.heappop(heap)
             found = index.pop(r)
-            at = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+            at = found[0] if len(found) == 1 else distinct(np.concatenate(found))
             at = at[pair[at] == r]
             if not len(at):
                 continue
@@ -115,15 +119,13 @@ class MergeReplay:
             before = prv[at]
             touched = np.concatenate([before[before != n], at])
             if len(touched) > 1:
-                touched = np.unique(touched)
+                touched = distinct(touched)
             new = self.pair_ranks(tok[touched], tok[nxt[touched]])
             pair[touched] = new
             if new.min() < r:
                 early.append(touched[new < r])
             put(touched, new)
-        alive = np.ones(n, bool)
-        # a place is alive if its word's chain reaches it: dead ones are the right halves
-        alive[:] = False
+        alive = np.zeros(n, bool)  # a place is alive if its word's chain reaches it; right halves of merges are not
         starts = (ends - lens)[lens > 0]
         alive[starts] = True
         linked = nxt[:n]
@@ -150,40 +152,59 @@ class MergeReplay:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [self.ranks[p] for p in parts]
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.words]
-        self.words.update(zip(new, self.encode_words([w.encode("utf-8", "surrogatepass") for w in new]), strict=True))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Packed ids of each text (null: none)."""
-        if len(self.words) > CACHE or len(self.pieces) > CACHE:
-            self.words, self.pieces = {}, {}
-        split: list[tuple[list[str], list[str] | None]] = []
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        """Packed ids of each text (null: none).
+
+        A text is cut before each single space, which never changes its matches; the few texts where a space stands
+        between whitespace are matched as a whole. Cuts are numbered by Arrow, so each distinct one is encoded once.
+        """
+        if len(self.pieces) > CACHE:
+            self.pieces = {}
+        col = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        whole: dict[int, list[str]] = {}
+        for i in pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(col, r"\s \s|[^\x00-\x7F] [^\x00-\x7F]"), False)).to_pylist():
+            t = col[i].as_py()
+            if LOOSE_SPACE.search(t):
+                whole[i] = self.pattern.findall(t)
+        if whole:
+            loose = np.zeros(len(col), bool)
+            loose[list(whole)] = True
+            plain_col = pc.if_else(pa.array(loose), "", pc.fill_null(col, ""))
+        else:
+            plain_col = pc.fill_null(col, "")
+        cuts = pc.split_pattern(plain_col, " ")
+        bounds = cuts.offsets.to_numpy().astype(np.int64)
+        bounds -= bounds[0]
+        flat = cuts.flatten()
+        is_head = np.zeros(len(flat), bool)
+        is_head[bounds[:-1]] = True
+        heads = [self.pattern.findall(x) for x in flat.filter(pa.array(is_head)).to_pylist()]
+        coded = flat.filter(pa.array(~is_head)).dictionary_encode()
+        if isinstance(coded, pa.ChunkedArray):
+            coded = coded.combine_chunks()
+        pieces = coded.dictionary.to_pylist()
+        cut = {p: self.pattern.findall(" " + p) for p in pieces if p not in self.pieces}
         fresh: set[str] = set()
-        plain: set[str] = set()
-        for t in texts:
-            if not t:
-                split.append(([], None))
-            elif LOOSE_SPACE.search(t):
-                whole = self.pattern.findall(t)
-                split.append((whole, None))
-                plain.update(whole)
-            else:
-                first, *rest = t.split(" ")
-                head = self.pattern.findall(first)
-                split.append((head, rest))
-                plain.update(head)
-                fresh.update(rest)
-        fresh.difference_update(self.pieces)
-        cut = {p: self.pattern.findall(" " + p) for p in fresh}
-        for x in cut.values():
-            plain.update(x)
-        self.learn(plain)
-        words = self.words
+        for group in (cut.values(), heads, whole.values()):
+            for x in group:
+                fresh.update(x)
+        listed = list(fresh)
+        words = dict(zip(listed, self.encode_words([w.encode() for w in listed]), strict=True))
         for p, x in cut.items():
             self.pieces[p] = words[x[0]] if len(x) == 1 else b"".join([words[w] for w in x])
-        get = self.pieces.__getitem__
-        return [b"".join([words[w] for w in head]) + (b"".join(map(get, rest)) if rest else b"") for head, rest in split]
+        packed = list(map(self.pieces.__getitem__, pieces))
+        lens = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        ids = np.frombuffer(b"".join(packed), "<u4")
+        at = coded.indices.to_numpy()
+        each = lens[at]
+        stop = np.cumsum(each)
+        all_ids = ids[np.arange(stop[-1] if len(stop) else 0) + np.repeat((np.cumsum(lens) - lens)[at] - (stop - each), each)]
+        ends = np.append(0, stop)[bounds[1:] - np.arange(1, len(bounds))].tolist()
+        out, start = [], 0
+        for i, (head, end) in enumerate(zip(heads, ends, strict=True)):
+            out.append(b"".join([words[w] for w in whole[i]]) if i in whole else b"".join([words[w] for w in head]) + all_ids[start:end].tobytes())
+            start = end
+        return out
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
@@ -210,9 +231,10 @@ def _mapped(df: DataFrame, ranks_path: str, pattern: str, col: str, fields: list
         data = df.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file, under a megabyte whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # hundreds of thousands of short lists a batch, none of them cyclic
         enc = encoder(data.value, pattern)
         for b in batches:
-            vals = make(enc, strings(b, col))
+            vals = make(enc, b.column(b.schema.get_field_index(col)))
             yield pa.RecordBatch.from_arrays([b.column(i) for i, n in enumerate(b.schema.names) if n != col] + [pa.array(v, t) for v, (_, _, t) in zip(vals, fields, strict=True)], [n for n in b.schema.names if n != col] + [n for n, _, _ in fields])
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != col]
@@ -226,7 +248,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "bytes") -> DataFrame:
     """df with ids_col replaced by the bytes its ids stand for (null: empty)."""
-    return _mapped(df, ranks_path, pattern, ids_col, [(bytes_col, "binary", pa.binary())], lambda e, xs: [[b"".join(map(e.tokens.__getitem__, x or ())) for x in xs]])
+    return _mapped(df, ranks_path, pattern, ids_col, [(bytes_col, "binary", pa.binary())], lambda e, xs: [[b"".join(map(e.tokens.__getitem__, x or ())) for x in xs.to_pylist()]])
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -235,7 +257,7 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     Every row of docs gives one row, repeated and null ids too; a null text counts as empty; other columns are ignored.
     """
 
-    def make(e: MergeReplay, texts: list[str | None]):
+    def make(e: MergeReplay, texts: pa.Array):
         packed = e.encode(texts)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         return [len(p) // 4 for p in packed], [sha(p) for p in packed], [sha(e.decode(p)) for p in packed]

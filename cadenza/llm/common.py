@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of text in one Arrow batch; texts run to hundreds of kilobytes, so batches stay at tens of megabytes.
-BATCH_ROWS = 2000
+BATCH_ROWS = 4000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
