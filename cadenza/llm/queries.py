@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import bpe
+from cadenza.llm import bpe, outliers, warc
 from cadenza.llm.common import table
 
 
@@ -15,9 +15,31 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op10_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.screen(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op5_warc": op5_warc,
+    "op10_outliers": op10_outliers,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS h FROM p),
+        m AS (SELECT h, max(page_id) AS r FROM d GROUP BY h),
+        b AS (SELECT h, r, list_aggregate(list_transform(range(8), lambda i: list_aggregate(list_transform(range(4), lambda j:
+                substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 5 * i::INT + 1, 5))::INT >> (15 - 5 * j::INT)) & 31), 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest
+              FROM m)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id = r THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = r THEN NULL ELSE r END AS refers_to
+        FROM d JOIN b USING (h)""",
+}
