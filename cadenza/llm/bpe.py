@@ -264,3 +264,14 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     narrow = docs.select(F.col("doc_id"), F.col("text"))
     return _mapped(narrow, ranks_path, pattern, "text", [("n_tokens", "bigint", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())], make)
+
+
+def tokens(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """docs with text replaced by ids, n_tokens and decoded_sha256 (of the ids decoded again); other columns pass through."""
+
+    def make(e: MergeReplay, texts: pa.Array):
+        packed = e.encode(texts)
+        return [np.frombuffer(p, "<i4") for p in packed], [len(p) // 4 for p in packed], [hashlib.sha256(e.decode(p)).hexdigest() for p in packed]
+
+    fields = [("ids", "array<int>", pa.list_(pa.int32())), ("n_tokens", "bigint", pa.int64()), ("decoded_sha256", "string", pa.string())]
+    return _mapped(docs.drop(*[n for n, _, _ in fields]), ranks_path, pattern, "text", fields, make)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import bpe, decontam, langid, outliers, quality, suffix_dedup, toxicity, warc
+from cadenza.llm import bpe, decontam, jaccard, langid, outliers, quality, suffix_dedup, toxicity, warc
 from cadenza.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def op10_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.screen(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op7_decontamination": op7_decontamination,
     "op8_langid": op8_langid,
+    "op9_jaccard": op9_jaccard,
     "op10_outliers": op10_outliers,
 }
 
