@@ -23,10 +23,10 @@ from cadenza.llm.subword import SAMPLE_CHARS, Subword, drawn, learnable, platt,
 from cadenza.llm.words import blocks
 
 #: At most this many labelled texts of each class, and unlabelled ones for the pool.
-MOST, POOL = 1500, 2500
-ROUNDS, SHARE = 3, 0.15
+MOST, POOL = 1000, 1500
+ROUNDS, SHARE = 2, 0.15
 #: Documents below this score are rejected: only those that both views together hold to be poor.
-THRESHOLD = 0.2
+THRESHOLD = 0.1
 HASHED = 64
 
 # Classes of bytes for the layout counts: capital, digit, symbol, other punctuation, white space, line end, beyond ASCII.
@@ -75,6 +75,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
+def combined(joint: tuple[float, float, float], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The chance of good quality, from the calibrated log-odds of both views; far ones count as certain, not more."""
+    return sigmoid(joint[0] + joint[1] * np.clip(a, -8, 8) + joint[2] * np.clip(b, -8, 8))
+
+
 @dataclass
 class Quality:
     """A fitted pair of views; score() is the calibrated chance of good quality."""
@@ -83,6 +88,7 @@ class Quality:
     page: np.ndarray
     text_fit: tuple[float, float]
     page_fit: tuple[float, float]
+    joint: tuple[float, float, float] = (0.0, 0.5, 0.5)
 
     def score(self, texts: pa.Array, langs: list[str | None], sources: list[str | None]) -> np.ndarray:
         words, at, offsets = split_words(texts, False)
@@ -90,7 +96,7 @@ class Quality:
         z = sums((z[:, 1] - z[:, 0])[at].astype(np.float64), offsets) / np.maximum(np.diff(offsets), 1) + self.words.bias[1] - self.words.bias[0]
         a = self.text_fit[0] * z + self.text_fit[1]
         b = self.page_fit[0] * (page_features(texts, langs, sources, at, offsets) @ self.page) + self.page_fit[1]
-        return sigmoid((a + b) / 2)
+        return combined(self.joint, a, b)
 
 
 def train(texts: pa.Array, langs: list[str | None], sources: list[str | None], labels: np.ndarray, rounds: int = ROUNDS, seed: int = 7) -> Quality:
@@ -126,7 +132,10 @@ def train(texts: pa.Array, langs: list[str | None], sources: list[str | None], l
                 extra[taker][sure[: max(1, int(SHARE * len(pool) * (0.8 if label else 0.2)))]] = label
     if not len(held):
         held = known
-    return Quality(model.fold(), w, platt(zt[held], labels[held]), platt(zp[held], labels[held]))
+    text_fit, page_fit = platt(zt[held], labels[held]), platt(zp[held], labels[held])
+    a, b = (np.clip(f[0] * z[held] + f[1], -8, 8) for f, z in ((text_fit, zt), (page_fit, zp)))
+    joint = logistic(np.stack([np.ones(len(held)), a, b], 1), labels[held], 0.1)
+    return Quality(model.fold(), w, text_fit, page_fit, tuple(joint.tolist()))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, pool: int = POOL) -> Quality:

@@ -65,6 +65,13 @@ def ngrams(words: list[str], shortest: int, longest: int, buckets: int) -> tuple
     return ids, np.append(0, np.cumsum(np.bincount(owner, minlength=len(words))))
 
 
+def all_ngrams(words: list[str], shortest: int, longest: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """ngrams() of many words, in pieces: the hashes take some twenty times what is kept."""
+    parts = [ngrams(words[i : i + 20_000], shortest, longest, buckets) for i in range(0, len(words), 20_000)]
+    ids = np.concatenate([p[0].astype(np.int32) for p in parts] or [np.zeros(0, np.int32)])
+    return ids, np.append(0, np.cumsum(np.concatenate([np.diff(p[1]) for p in parts] or [np.zeros(0, np.int64)])))
+
+
 def split_words(texts: pa.Array, lower: bool) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct words of the texts, the number of each word in order, and n+1 offsets. Null texts have none."""
     col = pc.fill_null(texts, "")
@@ -113,7 +120,7 @@ class Subword:
         """Train on bags: bag i has words[at[offsets[i]:offsets[i+1]]] and class labels[i]. Goes on from where it is."""
         if self.embed is None:
             self.start()
-        grams, g_off = ngrams(words, self.shortest, self.longest, self.buckets)
+        grams, g_off = all_ngrams(words, self.shortest, self.longest, self.buckets)
         g_len = np.diff(g_off)
         lens = np.diff(offsets)
         rng = np.random.default_rng(self.seed + 1)
@@ -152,9 +159,9 @@ class Subword:
     def logits_of_words(self, words: list[str]) -> np.ndarray:
         table = self.table if self.table is not None else self.embed @ self.out
         out = np.zeros((len(words), self.classes), np.float32)
-        for i in range(0, len(words), 50_000):
-            ids, off = ngrams(words[i : i + 50_000], self.shortest, self.longest, self.buckets)
-            out[i : i + 50_000] = sums(table[ids], off) / np.diff(off)[:, None]
+        for i in range(0, len(words), 20_000):
+            ids, off = ngrams(words[i : i + 20_000], self.shortest, self.longest, self.buckets)
+            out[i : i + 20_000] = sums(table[ids], off) / np.diff(off)[:, None]
         return out
 
     def logits(self, texts: pa.Array) -> np.ndarray:
