@@ -37,7 +37,7 @@ SIDE = SPAN - ANCHOR
 ROW = SPAN + SIDE + 4
 SHALLOW = 16
 #: Bytes of text in a group, anchors and contexts in a bucket, contexts whose windows are sorted at once.
-GROUP, BUCKET, CHUNK = 8e6, 600_000, 20_000
+GROUP, BUCKET, CHUNK = 4e6, 300_000, 10_000
 #: An anchor with more contexts than this sends its windows one by one.
 WIDE = 20_000
 LAST = np.uint64(2**64 - 1)
