@@ -331,7 +331,8 @@ def classes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     shared = _shared(docs, buckets)
     alive = reps.where("rep is not null and n > 2").withColumn("p40", F.shiftrightunsigned("p", 24)).join(shared, "p40").where("shared >= need").select(F.col("rep").alias("doc_id"), "p", "n")
     alive = write_out(alive, "alive")
-    sets = _sets_of(docs.join(alive.select("doc_id", "p"), "doc_id"))
+    # the classes left grow with the corpus, so they are never broadcast
+    sets = _sets_of(docs.join(alive.select("doc_id", "p").hint("merge"), "doc_id"))
     groups = max(1, int(-(-alive.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // GROUP)))
     sets = write_out(sets.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups))), "sets")
     prefixes = write_out(_rare_prefixes(sets, groups), "prefixes")
