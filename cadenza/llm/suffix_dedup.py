@@ -512,11 +512,12 @@ def dedup(docs: DataFrame, group_bytes: float = GROUP, wide: int = WIDE) -> Data
 
     Where a cut splits a character, its remaining bytes go too, so that the text stays valid UTF-8. A null text stays null.
     """
-    inner = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # names of our own, whatever the columns are called
+    names = docs.columns
+    inner = {c: f"c{i}" for i, c in enumerate(names)}  # names of our own, whatever the columns are called
 
     def make(left: pa.Table, kept: list[bytes], removed: np.ndarray, group: Group, cut: np.ndarray) -> pa.Table:
         texts = [None if null else k.decode("utf-8", "ignore") for k, null in zip(kept, left.column("text").is_null().to_pylist(), strict=True)]
-        cols = {inner[c]: left.column(inner[c]) for c in docs.columns if c != "text"}
+        cols = {inner[c]: left.column(inner[c]) for c in names if c != "text"}
         cols[inner["text"]] = pa.array(texts, pa.string())
         if "n_chars" in inner:
             old = left.column(inner["n_chars"])
