@@ -33,13 +33,14 @@ from cadenza.llm.words import blocks, factors
 
 SPAN, ANCHOR = 50, 24
 SIDE = SPAN - ANCHOR
-#: A context row: SIDE bytes, the anchor, SIDE bytes, how many of either side are inside the document, two spare bytes.
+#: A context row: SIDE bytes, the anchor, SIDE bytes, how many of either side are inside the document, whether only one
+#: window is left of it, a spare byte.
 ROW = SPAN + SIDE + 4
 SHALLOW = 16
 #: Bytes of text in a group, anchors and contexts in a bucket, contexts whose windows are sorted at once.
 GROUP, BUCKET, CHUNK = 4e6, 300_000, 10_000
-#: An anchor with more contexts than this sends its windows one by one.
-WIDE = 20_000
+#: An anchor with more contexts than this sends its distinct windows one by one.
+WIDE = 2_000
 LAST = np.uint64(2**64 - 1)
 
 
@@ -295,8 +296,9 @@ def _announce(buckets: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-#: Kinds of answers to a group: an earlier group has the context; send the context; send its windows; a span is shared.
-WHOLE, SEND, SEND_WINDOWS, PART = 0, 1, 2, 3
+#: Kinds of answers to a group: an earlier group has the context; send the context; send its windows; a span of the
+#: context is shared; a window is shared.
+WHOLE, SEND, SEND_WINDOWS, PART, WINDOW = 0, 1, 2, 3, 4
 
 
 def _answer(wide: int) -> Callable[[pa.Table], pa.Table]:
@@ -351,6 +353,18 @@ def _numbers(pairs: np.ndarray) -> np.ndarray:
     return out
 
 
+def windows_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every window of the context rows as a row with only its own bytes left: rows, their hashes, and where they came from."""
+    lo, hi = SIDE - rows[:, -4].astype(np.int64), rows[:, -3].astype(np.int64)
+    count = np.maximum(hi - lo + 1, 0)
+    o, of = spread(lo, count), np.repeat(np.arange(len(rows)), count)
+    out = rows[of]
+    cols = np.arange(SPAN + SIDE)
+    out[:, : SPAN + SIDE] *= (cols >= o[:, None]) & (cols < o[:, None] + SPAN)
+    out[:, -4], out[:, -3], out[:, -2] = SIDE - o, o, 1
+    return out, row_hashes(out) >> np.uint64(24), of
+
+
 def _send(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.table({"bucket": pa.array([], pa.int64()), "g": pa.array([], pa.int64()), "rows": pa.array([], pa.binary())})
@@ -371,15 +385,16 @@ def _send(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             rows, anchor, context = group.rows(hit), group.anchor[hit], group.context[hit]
             if kind == SEND:
                 to = bucket_of(anchor, buckets)
-            else:  # one row for each window, only its own bytes left, dealt by those
-                lo, hi = SIDE - rows[:, -4].astype(np.int64), rows[:, -3].astype(np.int64)
-                count = np.maximum(hi - lo + 1, 0)
-                o = spread(lo, count)
-                rows, anchor, context = (np.repeat(x, count, 0) for x in (rows, anchor, context))
-                cols = np.arange(SPAN + SIDE)
-                rows[:, : SPAN + SIDE] *= (cols >= o[:, None]) & (cols < o[:, None] + SPAN)
-                rows[:, -4], rows[:, -3] = SIDE - o, o
-                to = (row_hashes(rows) % np.uint64(buckets)).astype(np.int64)
+            else:  # its distinct windows, dealt by their own bytes
+                parts = []
+                for i in range(0, len(rows), 2000):
+                    w, h, of = windows_of(rows[i : i + 2000])
+                    once = np.unique(h, return_index=True)[1]
+                    parts.append((w[once], anchor[i : i + 2000][of[once]], h[once]))
+                rows, anchor, context = (np.concatenate(x) for x in zip(*parts, strict=True))
+                once = np.unique(context, return_index=True)[1]
+                rows, anchor, context = rows[once], anchor[once], context[once]
+                to = (context % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((anchor, to))
             out.append(_emit(to[order], pack(anchor[order], context[order], rows[order]), "bucket", g))
         return pa.concat_tables(out) if out else empty
@@ -395,9 +410,13 @@ def _compare(t: pa.Table) -> pa.Table:
     first, last = np.full(len(a), SIDE + 1), np.full(len(a), -1)
     for i, j in chunks(a):
         first[i:j], last[i:j] = window_spans(np.ascontiguousarray(rows[i:j]), g[i:j])
-    which = np.flatnonzero(first <= last)
-    which = which[np.argsort(g[which], kind="stable")]
-    return _emit(g[which], pack(a[which], c[which], first[which], last[which]), "g", None, PART)
+    alone = rows[:, -2] == 1
+    out = []
+    for kind in (PART, WINDOW):
+        which = np.flatnonzero((first <= last) & (alone == (kind == WINDOW)))
+        which = which[np.argsort(g[which], kind="stable")]
+        out.append(_emit(g[which], pack(a[which], c[which], first[which], last[which]), "g", None, kind))
+    return pa.concat_tables(out)
 
 
 def cuts(group: Group, rank: np.ndarray, a: np.ndarray, c: np.ndarray, kinds: np.ndarray, spans: np.ndarray) -> np.ndarray:
@@ -411,6 +430,21 @@ def cuts(group: Group, rank: np.ndarray, a: np.ndarray, c: np.ndarray, kinds: np
     whole = kinds[mine][key] == WHOLE
     np.minimum.at(first, hit, np.where(whole, lo[hit], spans[mine][key, 0]))
     np.maximum.at(last, hit, np.where(whole, hi[hit], spans[mine][key, 1]))
+    wide = np.flatnonzero(kinds == WINDOW)
+    if len(wide):  # windows were answered for by their own hashes
+        occ = np.flatnonzero(np.isin(group.anchor, a[wide]))
+        for i in range(0, len(occ), 2000):
+            _, h, of = windows_of(group.rows(occ[i : i + 2000]))
+            which = np.flatnonzero(np.isin(h, c[wide]))
+            if not len(which):
+                continue
+            pairs = np.stack([np.append(group.anchor[occ[i + of[which]]], a[wide]), np.append(h[which], c[wide])], 1)
+            number = _numbers(pairs)
+            shared = which[np.isin(number[: len(which)], number[len(which) :])]
+            at = occ[i + of[shared]]
+            o = shared - np.searchsorted(of, of[shared]) + lo[at]
+            np.minimum.at(first, at, o)
+            np.maximum.at(last, at, o)
     # this group's own texts
     if n:
         order = np.lexsort((rank[group.doc], group.context, group.anchor))
