@@ -13,7 +13,7 @@ earlier group therefore holds smaller ids. Then
 
 Whole copies cost hashes only; suffixes are sorted where texts begin to differ. The sort is deep-shallow: a multikey
 quicksort to a shallow depth, with eight bytes for a key and all groups refined at once, then blind tries, built one
-leaf path a round, for groups that still agree. Anchors with very many contexts (the edges of a passage that a large
+leaf path a round, for groups that still agree. Anchors with many contexts (the edges of a passage that a large
 share of documents hold) send their windows one by one, dealt by their own bytes.
 """
 
