@@ -53,7 +53,7 @@ def adf(x: np.ndarray, trend: str = "constant", lags: int | str = "aic", alpha:
         (stat, _, m), p = min(tried, key=lambda z: z[0][1])
     bucket = 0.01 if alpha <= 0.015 else 0.05 if alpha <= 0.075 else 0.10
     crit = adf_critical(m, trend, bucket)
-    return {"test": "adf", "statistic": stat, "critical": crit, "lags": p, "p_value": math.nan, "rejected": stat < crit}
+    return {"test": "adf", "statistic": stat, "critical": crit, "lags": p, "p_value": math.nan, "rejected": bool(stat < crit)}
 
 
 def kpss(x: np.ndarray, trend: str = "level", lags: int = -1, alpha: float = 0.05) -> dict:
@@ -63,7 +63,7 @@ def kpss(x: np.ndarray, trend: str = "level", lags: int = -1, alpha: float = 0.0
     s = np.cumsum(e)
     stat = float((s @ s) / (n * n * newey_west(e, lags)))
     crit = kpss_critical(trend, alpha)
-    return {"test": "kpss", "statistic": stat, "critical": crit, "lags": lags, "p_value": math.nan, "rejected": stat > crit}
+    return {"test": "kpss", "statistic": stat, "critical": crit, "lags": lags, "p_value": math.nan, "rejected": bool(stat > crit)}
 
 
 def phillips_perron(x: np.ndarray, trend: str = "constant", lags: int = -1, alpha: float = 0.05) -> dict:
@@ -78,7 +78,7 @@ def phillips_perron(x: np.ndarray, trend: str = "constant", lags: int = -1, alph
     z = math.sqrt(g0 / l2) * t - 0.5 * (l2 - g0) / math.sqrt(l2) * n * se / r["sigma0"]
     bucket = 0.01 if alpha <= 0.015 else 0.05 if alpha <= 0.075 else 0.10
     crit = adf_critical(n, trend, bucket)
-    return {"test": "pp", "statistic": float(z), "critical": crit, "lags": lags, "p_value": math.nan, "rejected": z < crit}
+    return {"test": "pp", "statistic": float(z), "critical": crit, "lags": lags, "p_value": math.nan, "rejected": bool(z < crit)}
 
 
 def stationarity_np(x: np.ndarray, alpha: float = 0.05) -> dict:

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from cadenza.schema import KEYS
+from cadenza.schema import KEYS, CadenzaError
 
 
 def _types(df: DataFrame, names: list[str]) -> str:
@@ -44,7 +44,7 @@ def reduce_series(df: DataFrame, fn: Callable[..., list[dict] | dict], columns:
             rows = fn(pdf[order].to_numpy(float), *[pdf[v].to_numpy(float) for v in values])
             rows = [rows] if isinstance(rows, dict) else rows
             error = None
-        except (ArithmeticError, ValueError, np.linalg.LinAlgError) as e:
+        except (ArithmeticError, LookupError, ValueError, np.linalg.LinAlgError, CadenzaError) as e:
             rows, error = [{}], f"{type(e).__name__}: {e}"
         return pd.DataFrame([{**key, **{n: r.get(n) for n in names}, "error": error} for r in rows], columns=[*keys, *names, "error"])
 
