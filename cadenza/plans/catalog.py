@@ -579,3 +579,75 @@ def idw_grid(spark, sf):
     p = fx.read(spark, sf, "supplier").select((F.col("s_suppkey") * 37 % 101).cast("double").alias("x"), (F.col("s_suppkey") * 53 % 97).cast("double").alias("y"), F.col("s_acctbal").alias("value"))
     g = spark.range(121).select(((F.col("id") % 11) * 10.0).alias("x"), (F.floor(F.col("id") / 11) * 10.0).alias("y"))
     return rounded(spatial.idw(p, g), 6, "value")
+
+
+# ---- operators that SQL cannot express, a row each series or a row each observation; tested against numpy ----------
+
+
+def _hourly(spark, sf):
+    return fx.events_hourly(spark, sf)
+
+
+NUMERIC: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "loess": lambda s, f: filters.loess(fx.orders_daily(s, f).where("mjd < 50200"), 0.2),
+    "spline_filter": lambda s, f: filters.spline_filter(fx.orders_daily(s, f)),
+    "hat_matrix_outliers": lambda s, f: outliers.hat_matrix(fx.orders_daily(s, f), 3).where("is_outlier"),
+    "stl_decompose": lambda s, f: models.decompose(_hourly(s, f), 24, "stl"),
+    "change_points_yao_davis": lambda s, f: homogeneity.change_points(fx.orders_daily(s, f)),
+    "change_points_snht": lambda s, f: homogeneity.change_points(_hourly(s, f), "snht"),
+    "change_points_pelt": lambda s, f: homogeneity.change_points(fx.orders_daily(s, f), "pelt", least=30),
+    "change_points_bocpd": lambda s, f: homogeneity.change_points(_hourly(s, f), "bocpd"),
+    "polynomial_fit": lambda s, f: regression.fit(fx.orders_daily(s, f), "polynomial", degree=2),
+    "robust_fit": lambda s, f: regression.fit(fx.orders_daily(s, f), "robust"),
+    "trend_fit": lambda s, f: regression.fit(fx.orders_daily(s, f), "trend", period=365.25, harmonics=2),
+    "trend_decompose": lambda s, f: regression.decompose_trend(fx.orders_daily(s, f), 365.25),
+    "predict_linear": lambda s, f: regression.predict(fx.orders_daily(s, f), [2500.0, 2600.0], "linear"),
+    "stationarity": lambda s, f: models.stationarity(_hourly(s, f)),
+    "arima_fit": lambda s, f: models.arima(_hourly(s, f), 2, 1),
+    "arima_forecast": lambda s, f: models.arima(_hourly(s, f), 1, 0, horizon=12),
+    "fft_periodogram": lambda s, f: models.spectrum(_hourly(s, f)),
+    "welch": lambda s, f: models.spectrum(_hourly(s, f), "welch", segment=128),
+    "spectrogram": lambda s, f: models.spectrogram(fx.orders_daily(s, f), 365, 0.5),
+    "spectral_peaks": lambda s, f: models.peaks(models.lomb_scargle(_hourly(s, f), 100), 5),
+    "ssa": lambda s, f: models.ssa(_hourly(s, f), 48, 8),
+    "kalman": lambda s, f: models.kalman(_hourly(s, f), "local_level", "heuristic", horizon=6),
+    "kalman_em": lambda s, f: models.kalman(_hourly(s, f), "local_trend", "em"),
+}
+
+
+def _late():
+    from cadenza.operators import cluster, extremes, multivariate, spatial
+    from cadenza.plans.homogenize import HomogenizeConfig, homogenize
+
+    def embeddings(s, f):
+        e = fx.read(s, f, "embeddings")
+        return e.select(F.col("vec_id").alias("mjd"), "label", *[F.col("embedding")[i].cast("double").alias(f"ch{i}") for i in range(4)])
+
+    def one_row(s, values: dict):
+        return s.createDataFrame([{k: v.tolist() if hasattr(v, "tolist") else v for k, v in values.items()}])
+
+    four = ["ch0", "ch1", "ch2", "ch3"]
+    plane = lambda s, f: fx.read(s, f, "supplier").select((F.col("s_suppkey") * 37 % 101).cast("double").alias("x"), (F.col("s_suppkey") * 53 % 97).cast("double").alias("y"), F.col("s_acctbal").alias("value"))
+    cells = lambda s: spatial.grid(s, 0.0, 100.0, 0.0, 100.0, 10.0)
+    NUMERIC.update({
+        "return_levels_pot": lambda s, f: extremes.return_levels(_hourly(s, f), [30.0, 365.0], interval="delta"),
+        "return_levels_blocks": lambda s, f: extremes.return_levels(fx.orders_daily(s, f), [10.0, 50.0], "blocks", block=30),
+        "cluster_features": lambda s, f: cluster.features(fx.orders_daily(s, f)),
+        "kmeans": lambda s, f: cluster.kmeans(embeddings(s, f), four, 5).select("mjd", "cluster"),
+        "kmeans_series": lambda s, f: cluster.kmeans_series(cluster.features(_hourly(s, f)), ["value", "derivative"], 3, inits=2),
+        "pca_scores": lambda s, f: (lambda m, e: multivariate.linear_scores(e, four, m["mean"], m["loadings"], ["pc1", "pc2"]).select("mjd", "pc1", "pc2"))(multivariate.pca(embeddings(s, f), four, 2), embeddings(s, f)),
+        "mahalanobis": lambda s, f: multivariate.mahalanobis(embeddings(s, f), four).select("mjd", "distance", "is_outlier"),
+        "lda_predict": lambda s, f: multivariate.lda_predict(embeddings(s, f), four, multivariate.lda(embeddings(s, f), four, "label")).select("mjd", "label", "predicted"),
+        "manova": lambda s, f: one_row(s, multivariate.manova(embeddings(s, f), four, "label")),
+        "cca": lambda s, f: one_row(s, {k: v for k, v in multivariate.cca(embeddings(s, f), four[:2], four[2:]).items()}),
+        "rbf_grid": lambda s, f: spatial.interpolate(plane(s, f), cells(s), "rbf"),
+        "natural_neighbour_grid": lambda s, f: spatial.interpolate(plane(s, f), cells(s), "natural_neighbor"),
+        "kriging_grid": lambda s, f: spatial.interpolate(plane(s, f), cells(s), "kriging"),
+        "kriging_series": lambda s, f: spatial.krige_series(_hourly(s, f), [60320.0]),
+        "homogenize": lambda s, f: homogenize(fx.gappy(fx.orders_daily(s, f)), HomogenizeConfig(deseasonalize="moving_average", window=31))[0],
+        "vincenty_consecutive": lambda s, f: customer_points(s, f).select("c_custkey", geo.vincenty_inverse(F.col("lat"), F.col("lon"), F.lit(49.5), F.lit(15.0)).alias("v")).select("c_custkey", "v.distance", "v.azimuth1", "v.azimuth2"),
+    })
+
+
+_late()
+QUERIES.update(NUMERIC)
