@@ -82,8 +82,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Alternates large-star and small-star steps, each one grouped minimum and one join-free flat map, until the edge set is
     a set of stars. The state is written to the shared folder each round; only one count per round comes to the driver.
     """
+    def state(x: DataFrame) -> tuple:
+        return tuple(x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
     e = write_out(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    while True:
+    was = state(e)
+    while was[0]:
         # large star: every neighbour larger than u links to the least neighbour of u
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -92,9 +96,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         ms = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(ms, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("s")).select("s.u", "s.v").where("u <> v").distinct()
         new = write_out(small, "edges")
-        same = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() == e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_out(e)
-        e = new
-        if same:
+        e, before, was = new, was, state(new)
+        if was == before:
             break
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct().toDF("node", "component"))
