@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 NONE = np.int32(2**31 - 1)
 #: A space between two whitespace characters joins its neighbours in one match; other spaces start a match of their own.
 LOOSE_SPACE = re.compile(r" (?<=\s )\s")
-CACHE = 800_000
+CACHE = 300_000
 
 
 def distinct(x: np.ndarray) -> np.ndarray:
@@ -231,11 +231,14 @@ def _mapped(df: DataFrame, ranks_path: str, pattern: str, col: str, fields: list
         data = df.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file, under a megabyte whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # hundreds of thousands of short lists a batch, none of them cyclic
         enc = encoder(data.value, pattern)
-        for b in batches:
-            vals = make(enc, b.column(b.schema.get_field_index(col)))
-            yield pa.RecordBatch.from_arrays([b.column(i) for i, n in enumerate(b.schema.names) if n != col] + [pa.array(v, t) for v, (_, _, t) in zip(vals, fields, strict=True)], [n for n in b.schema.names if n != col] + [n for n, _, _ in fields])
+        gc.disable()  # hundreds of thousands of short lists a batch, none of them cyclic
+        try:
+            for b in batches:
+                vals = make(enc, b.column(b.schema.get_field_index(col)))
+                yield pa.RecordBatch.from_arrays([b.column(i) for i, n in enumerate(b.schema.names) if n != col] + [pa.array(v, t) for v, (_, _, t) in zip(vals, fields, strict=True)], [n for n in b.schema.names if n != col] + [n for n, _, _ in fields])
+        finally:
+            gc.enable()
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != col]
     return df.mapInArrow(run, ", ".join(kept + [f"`{n}` {t}" for n, t, _ in fields]))

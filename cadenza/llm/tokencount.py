@@ -28,7 +28,7 @@ from cadenza.llm.subword import sums
 
 MARK = "▁"
 PENALTY = 10.0
-CACHE = 800_000
+CACHE = 500_000
 
 
 def read_pieces(model: bytes) -> dict[str, float]:
