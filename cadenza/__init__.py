@@ -1,7 +1,5 @@
 """cadenza: time-series, statistics and spatial operators over Spark DataFrames."""
 
-import os
+from cadenza.threads import single_threaded
 
-# The dense systems here are small; threads of the linear-algebra library would only compete with Spark's for the cores.
-os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
-os.environ.setdefault("OMP_NUM_THREADS", "1")
+single_threaded()
