@@ -1,4 +1,4 @@
-"""Every registered query with SQL equals DuckDB on the smallest tables."""
+"""Every registered query with SQL equals DuckDB on the tables that the driver compares."""
 
 import glob
 import os
@@ -9,7 +9,7 @@ import pytest
 
 from cadenza.plans import catalog
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
