@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, pool: int = POOL)
     known = labels.where(learnable() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_y"))
     some = drawn(known, "_y", most)
     short = docs.where(F.length("text").between(1, SAMPLE_CHARS)).select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti")
-    free = short.orderBy(F.xxhash64("doc_id", F.lit(12)), "doc_id").limit(pool).distinct().withColumn("_y", F.lit(-1))
+    free = drawn(short.withColumn("_y", F.lit(-1)), "_y", pool).distinct()
     t = sample(docs.select("doc_id", "text", "lang", "source"), some.unionByName(free), ["lang", "source"])
     y = t.column("_y").to_numpy().astype(np.int64) if t.num_rows else np.zeros(0, np.int64)
     if not (y == 1).any() or not (y == 0).any():

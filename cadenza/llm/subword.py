@@ -210,9 +210,19 @@ def learnable() -> F.Column:
 
 
 def drawn(keys: DataFrame, by: str, most: int) -> DataFrame:
-    """At most `most` rows of (doc_id, by) for each value of by, in the order of a hash of doc_id."""
-    w = Window.partitionBy(by).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id")
-    return keys.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= most).drop("_rank")
+    """At most `most` rows of (doc_id, by) for each value of by, in the order of a hash of doc_id.
+
+    The values are few (classes, languages). Their counts come first, and a threshold on the hash leaves about twice what
+    is wanted, so the rows that the window ranks are bounded however many tasks there are.
+    """
+    counts = {r[by]: r["count"] for r in keys.groupBy(by).count().collect()}
+    if not counts:
+        return keys
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(2.0, (2 * most + 200) / n))])
+    h = F.xxhash64("doc_id", F.lit(11))
+    few = keys.where((h / float(2**63) + 1) / 2 < share[F.col(by)])
+    w = Window.partitionBy(by).orderBy(h, "doc_id")
+    return few.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= most).drop("_rank")
 
 
 def sample(docs: DataFrame, keys: DataFrame, cols: list[str]) -> pa.Table:
