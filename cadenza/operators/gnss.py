@@ -368,3 +368,73 @@ def summary(solutions: DataFrame) -> DataFrame:
     """Mean position, scatter and counts of a set of solutions."""
     ok = solutions.where("x is not null")
     return ok.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in "xyz"], *[F.stddev_samp(c).alias(f"sd_{c}") for c in "xyz"], F.avg("n_sats").alias("mean_sats"))
+
+
+# ---- tides and phase wind-up ---------------------------------------------------------------------------------------
+
+
+def sun_moon(t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Earth-fixed positions of Sun and Moon in metres from low-precision series; t in GPS seconds."""
+    jc = ((44244.0 + t / 86400) - 51544.5) / 36525
+    eps = math.radians(23.439291 - 0.0130042 * jc)
+    ls, ms = 280.4606184 + 36000.77005361 * jc, math.radians(357.5277233 + 35999.05034 * jc)
+    lam = math.radians(ls + 1.914666471 * math.sin(ms) + 0.019994643 * math.sin(2 * ms))
+    r = 149597870700.0 * (1.000140612 - 0.016708617 * math.cos(ms) - 0.000139589 * math.cos(2 * ms))
+    sun = r * np.array([math.cos(lam), math.cos(eps) * math.sin(lam), math.sin(eps) * math.sin(lam)])
+    lm = 218.32 + 481267.8813 * jc
+    d = lambda a, b: math.radians(a + b * jc)
+    lam = math.radians(lm + 6.29 * math.sin(d(134.9, 477198.85)) - 1.27 * math.sin(d(259.2, -413335.38)) + 0.66 * math.sin(d(235.7, 890534.23)) + 0.21 * math.sin(d(269.9, 954397.70)) - 0.19 * math.sin(d(357.5, 35999.05)) - 0.11 * math.sin(d(186.6, 966404.05)))
+    phi = math.radians(5.13 * math.sin(d(93.3, 483202.03)) + 0.28 * math.sin(d(228.2, 960400.87)) - 0.28 * math.sin(d(318.3, 6003.18)) - 0.17 * math.sin(d(217.6, -407332.20)))
+    par = math.radians(0.9508 + 0.0518 * math.cos(d(134.9, 477198.85)) + 0.0095 * math.cos(d(259.2, -413335.38)) + 0.0078 * math.cos(d(235.7, 890534.23)) + 0.0028 * math.cos(d(269.9, 954397.70)))
+    r = 6378137.0 / math.sin(par)
+    moon = r * np.array([math.cos(phi) * math.cos(lam), math.cos(eps) * math.cos(phi) * math.sin(lam) - math.sin(eps) * math.sin(phi), math.sin(eps) * math.cos(phi) * math.sin(lam) + math.cos(eps) * math.sin(phi)])
+    g = math.radians((280.46061837 + 360.98564736629 * (jc * 36525)) % 360)
+    rot = np.array([[math.cos(g), math.sin(g), 0], [-math.sin(g), math.cos(g), 0], [0, 0, 1]])
+    return rot @ sun, rot @ moon
+
+
+def solid_tide(rec: np.ndarray, t: float) -> np.ndarray:
+    """Degree-2 displacement of a station by Sun and Moon, with latitude-dependent Love numbers."""
+    r = np.linalg.norm(rec)
+    u = rec / r
+    p2 = (3 * u[2] ** 2 - 1) / 2
+    h2, l2 = 0.6078 - 0.0006 * p2, 0.0847 + 0.0002 * p2
+    out = np.zeros(3)
+    for pos, ratio in zip(sun_moon(t), (332946.0482, 0.0123000371), strict=True):
+        d = np.linalg.norm(pos)
+        v = pos / d
+        c = float(u @ v)
+        out += ratio * 6378136.6**4 / d**3 * (h2 * u * (1.5 * c * c - 0.5) + 3 * l2 * c * (v - c * u))
+    return out
+
+
+def wind_up(sat: np.ndarray, rec: np.ndarray, sun: np.ndarray, last: float | None = None) -> float:
+    """Carrier phase wind-up in cycles between a nominal satellite attitude and the station; continuous with `last`."""
+    k = (rec - sat) / np.linalg.norm(rec - sat)
+    ez = -sat / np.linalg.norm(sat)
+    es = (sun - sat) / np.linalg.norm(sun - sat)
+    ey = np.cross(ez, es)
+    ey /= np.linalg.norm(ey)
+    ex = np.cross(ey, ez)
+    g = ecef_np(rec)
+    e, n, _ = enu_rotation(g[0], g[1])
+    ds = ex - k * (k @ ex) - np.cross(k, ey)
+    dr = n - k * (k @ n) + np.cross(k, -e)
+    c = float(ds @ dr / (np.linalg.norm(ds) * np.linalg.norm(dr)))
+    phi = math.copysign(math.acos(max(-1.0, min(1.0, c))) / (2 * math.pi), float(k @ np.cross(ds, dr)))
+    return phi if last is None else phi + round(last - phi)
+
+
+def wind_up_arcs(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Wind-up along each arc (keys) of rows t, sat_pos, rec_pos (arrays); the state is the arc's last value."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t", ignore_index=True)
+        out, last = [], None
+        for t, s, r in zip(pdf["t"], pdf["sat_pos"], pdf["rec_pos"], strict=True):
+            last = wind_up(np.asarray(s, float), np.asarray(r, float), sun_moon(float(t))[0], last)
+            out.append(last)
+        return pdf.assign(wind_up=out)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.groupBy(*keys).applyInPandas(run, schema + ", wind_up double")

@@ -616,7 +616,7 @@ NUMERIC: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def _late():
-    from cadenza.operators import cluster, extremes, multivariate, spatial
+    from cadenza.operators import cluster, extremes, hypothesis, multivariate, spatial, splines
     from cadenza.plans.homogenize import HomogenizeConfig, homogenize
 
     def embeddings(s, f):
@@ -630,6 +630,10 @@ def _late():
     plane = lambda s, f: fx.read(s, f, "supplier").select((F.col("s_suppkey") * 37 % 101).cast("double").alias("x"), (F.col("s_suppkey") * 53 % 97).cast("double").alias("y"), F.col("s_acctbal").alias("value"))
     cells = lambda s: spatial.grid(s, 0.0, 100.0, 0.0, 100.0, 10.0)
     NUMERIC.update({
+        "shapiro_wilk": lambda s, f: hypothesis.normality(_hourly(s, f)),
+        "kolmogorov_smirnov": lambda s, f: hypothesis.normality(_hourly(s, f), "kolmogorov_smirnov"),
+        "pacf_hurst": lambda s, f: hypothesis.dependence(_hourly(s, f)),
+        "bspline_fit": lambda s, f: splines.fit(_hourly(s, f), 20),
         "return_levels_pot": lambda s, f: extremes.return_levels(_hourly(s, f), [30.0, 365.0], interval="delta"),
         "return_levels_blocks": lambda s, f: extremes.return_levels(fx.orders_daily(s, f), [10.0, 50.0], "blocks", block=30),
         "cluster_features": lambda s, f: cluster.features(fx.orders_daily(s, f)),

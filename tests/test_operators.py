@@ -335,3 +335,33 @@ def test_positioning():
     assert gnss.spp_epoch(0.0, list(sats)[:3], pr[:3], lambda s, t: (sats[s], 0.0))["converged"] is False
     assert 0 < gnss.klobuchar(50, 15, 90, 30, 50400, [1e-8, 0, 0, 0], [9e4, 0, 0, 0]) < 50
     assert 2.2 < gnss.saastamoinen(50, 0)[0] < 2.4 and abs(gnss.niell(50, 300, 100, 90)[0] - 1) < 1e-3
+
+
+def test_normality_and_dependence(spark):
+    from cadenza.operators import hypothesis, splines
+
+    rng = np.random.default_rng(9)
+    x, e = rng.normal(size=300), rng.exponential(size=300)
+    for t in ("shapiro_wilk", "kolmogorov_smirnov", "jarque_bera"):
+        assert hypothesis.normality(series(spark, e), t).first().rejected and not hypothesis.normality(series(spark, x), t, 0.001).first().rejected
+    w, p = hypothesis.shapiro_np(np.array([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236.0]))
+    assert abs(w - 0.79) < 0.01 and p < 0.02
+    d = hypothesis.dependence(series(spark, x), 5).first()
+    assert d.pacf[0] == 1 and abs(d.pacf[1]) < 0.15 and 0.3 < d.hurst < 0.8
+    s = splines.fit(series(spark, np.sin(np.arange(80) / 8) + 0.01 * x[:80]), 14).toPandas()
+    assert np.abs(s.residual).max() < 0.06 and (s.ci_lower < s.ci_upper).all()
+
+
+def test_tides_and_wind_up():
+    rec = np.array([3975472.0, 1050389.0, 4857697.0])
+    t = 1.3e9
+    sun, moon = gnss.sun_moon(t)
+    assert 1.46e11 < np.linalg.norm(sun) < 1.53e11 and 3.5e8 < np.linalg.norm(moon) < 4.1e8
+    up = [float(gnss.solid_tide(rec, t + h * 3600) @ rec / np.linalg.norm(rec)) for h in range(24)]
+    assert 0.05 < max(up) - min(up) < 0.7
+    w, last = [], None
+    for k in range(50):
+        a = 2 * math.pi * k / 40
+        last = gnss.wind_up(26.5e6 * np.array([math.cos(a), math.sin(a) * 0.6, math.sin(a) * 0.8]), rec, sun, last)
+        w.append(last)
+    assert np.abs(np.diff(w)).max() <= 0.5
