@@ -589,7 +589,7 @@ def _hourly(spark, sf):
 
 
 NUMERIC: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "loess": lambda s, f: filters.loess(fx.orders_daily(s, f).where("mjd < 50200"), 0.2),
+    "loess": lambda s, f: filters.loess(fx.orders_daily(s, f), 0.2),
     "spline_filter": lambda s, f: filters.spline_filter(fx.orders_daily(s, f)),
     "hat_matrix_outliers": lambda s, f: outliers.hat_matrix(fx.orders_daily(s, f), 3).where("is_outlier"),
     "stl_decompose": lambda s, f: models.decompose(_hourly(s, f), 24, "stl"),
