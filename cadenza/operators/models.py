@@ -354,21 +354,28 @@ def spectrogram(df: DataFrame, window: int = 1461, overlap: float = 0.5, low: fl
     return reduce_series(df, run, "mid double, frequency double, psd double", keys, order, value).drop("error")
 
 
-def lomb_scargle(df: DataFrame, frequencies: int, oversampling: float = 4.0, keys: list[str] = KEYS, order: str = "mjd", value: str = "value", compat: bool = False) -> DataFrame:
+def lomb_scargle(df: DataFrame, frequencies: int = 0, oversampling: float = 4.0, keys: list[str] = KEYS, order: str = "mjd", value: str = "value", compat: bool = False) -> DataFrame:
     """Normalised power at `frequencies` steps of 1/(oversampling span), and its false-alarm probability.
 
-    Each frequency is a grouped sum over the rows, so the work spreads over frequencies and rows alike and no series has
-    to fit in a task. compat divides the power by n once more.
+    frequencies 0: as many as reach 1/(2 median step) of each series. Each frequency is a grouped sum over the rows, so
+    the work spreads over frequencies and rows alike and no series has to fit in a task. A sine or cosine that vanishes
+    at all epochs adds no power. compat divides the power by n once more.
     """
     from pyspark.sql.window import Window
 
     w = Window.partitionBy(*keys)
     x = df.where(F.col(value).isNotNull() & ~F.isnan(value))
-    x = x.select(*keys, (F.col(order) - F.min(order).over(w)).alias("_t"), (F.col(value) - F.avg(value).over(w)).alias("_c"), (F.max(order).over(w) - F.min(order).over(w)).alias("_span"))
-    x = x.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(frequencies)))).withColumn("frequency", F.col("_k") / (F.col("_span") * oversampling))
+    span = F.max(order).over(w) - F.min(order).over(w)
+    count = F.lit(frequencies)
+    if not frequencies:
+        d = F.col(order) - F.lag(order).over(w.orderBy(order))
+        x = x.withColumn("_step", F.when(d > 0, d))
+        count = F.greatest(F.lit(1), F.floor(span * oversampling / (2 * F.median("_step").over(w)) + 1e-6).cast("int"))
+    x = x.select(*keys, (F.col(order) - F.min(order).over(w)).alias("_t"), (F.col(value) - F.avg(value).over(w)).alias("_c"), span.alias("_span"), count.alias("_w"))
+    x = x.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_w")))).withColumn("frequency", F.col("_k") / (F.col("_span") * oversampling))
     a = 2 * math.pi * F.col("frequency") * F.col("_t")
     s = x.groupBy(*keys, "_k").agg(
-        F.first("frequency").alias("frequency"), F.count("*").alias("n"), F.sum(F.sin(2 * a)).alias("s2"), F.sum(F.cos(2 * a)).alias("c2"),
+        F.first("frequency").alias("frequency"), F.first("_w").alias("_w"), F.count("*").alias("n"), F.sum(F.sin(2 * a)).alias("s2"), F.sum(F.cos(2 * a)).alias("c2"),
         F.sum(F.col("_c") * F.sin(a)).alias("ys"), F.sum(F.col("_c") * F.cos(a)).alias("yc"), F.sum(F.col("_c") * F.col("_c")).alias("yy"),
     )
     tau = F.atan2("s2", "c2") / 2
@@ -376,10 +383,11 @@ def lomb_scargle(df: DataFrame, frequencies: int, oversampling: float = 4.0, key
     yc, ys = F.col("yc") * co + F.col("ys") * si, F.col("ys") * co - F.col("yc") * si
     r = F.sqrt(F.col("s2") * F.col("s2") + F.col("c2") * F.col("c2"))
     cc, ss = (F.col("n") + r) / 2, (F.col("n") - r) / 2
-    power = 0.5 * (yc * yc / cc + ys * ys / ss) / (F.col("yy") / (F.col("n") - 1))
+    part = lambda y, of: F.when(of > 1e-10 * F.col("n"), y * y / of).otherwise(F.lit(0.0))
+    power = 0.5 * (part(yc, cc) + part(ys, ss)) / (F.col("yy") / (F.col("n") - 1))
     power = power / F.col("n") if compat else power
-    out = s.select(*keys, F.col("_k").alias("k"), "frequency", power.alias("power"))
-    return out.withColumn("fap", F.least(F.lit(1.0), frequencies * F.exp(-F.col("power"))) if not compat else F.least(F.lit(1.0), frequencies * F.sqrt("power") * F.exp(-F.col("power"))))
+    out = s.select(*keys, F.col("_k").alias("k"), "frequency", power.alias("power"), "_w")
+    return out.withColumn("fap", F.least(F.lit(1.0), F.col("_w") * F.exp(-F.col("power"))) if not compat else F.least(F.lit(1.0), F.col("_w") * F.sqrt("power") * F.exp(-F.col("power")))).drop("_w")
 
 
 def peaks(spec: DataFrame, top: int = 10, min_period: float = 0.0, max_period: float = math.inf, max_fap: float = 1.0, keys: list[str] = KEYS, power: str = "power") -> DataFrame:

@@ -608,7 +608,7 @@ NUMERIC: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fft_periodogram": lambda s, f: models.spectrum(_hourly(s, f)),
     "welch": lambda s, f: models.spectrum(_hourly(s, f), "welch", segment=128),
     "spectrogram": lambda s, f: models.spectrogram(fx.orders_daily(s, f), 365, 0.5),
-    "spectral_peaks": lambda s, f: models.peaks(models.lomb_scargle(_hourly(s, f), 100), 5),
+    "spectral_peaks": lambda s, f: models.peaks(models.lomb_scargle(_hourly(s, f)), 5),
     "ssa": lambda s, f: models.ssa(_hourly(s, f), 48, 8),
     "kalman": lambda s, f: models.kalman(_hourly(s, f), "local_level", "heuristic", horizon=6),
     "kalman_em": lambda s, f: models.kalman(_hourly(s, f), "local_trend", "em"),
