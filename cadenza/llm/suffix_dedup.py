@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,10 @@ ROW = SPAN + SIDE + 4
 SHALLOW = 16
 #: Bytes of text in a group, anchors and contexts in a bucket, contexts whose windows are sorted at once.
 GROUP, BUCKET, CHUNK = 4e6, 300_000, 10_000
+#: Ranges of doc_id of equal counts; each is dealt into equal parts where there are more groups.
+RANGES = 500
+#: What a null doc_id is coded as.
+NULL_ID = -(2**63)
 #: An anchor with more contexts than this sends its distinct windows one by one.
 WIDE = 2_000
 LAST = np.uint64(2**64 - 1)
@@ -494,18 +499,23 @@ def _finish(make: Callable[[pa.Table, list[bytes], np.ndarray, Group, np.ndarray
 
 def _solve(docs: DataFrame, cols: list[str], make: Callable, schema: str, group_bytes: float, wide: int) -> DataFrame:
     """docs has id (never null), text and cols; make builds the result of one group."""
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.min("id"), F.max("id")).first()
+    known = F.when(F.col("id") != NULL_ID, F.col("id"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.min(known), F.max(known)).first()
     groups = max(1, int(-(-size[0] // group_bytes)))
-    ranges = min(groups, 500)
-    bounds = sorted(set(docs.select(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or [])) if ranges > 1 else []
+    ranges = min(groups, RANGES)
+    bounds = sorted(set(docs.select(F.percentile_approx(known, [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or [])) if ranges > 1 else []
     each = -(-groups // ranges)
-    # ranges of equal counts, then equal parts of each: a group's number grows with doc_id
+    # ranges of equal counts, then equal parts of each: a group's number grows with doc_id, null ids are in the first
     edges = F.array(*[F.lit(int(b)) for b in bounds]) if bounds else F.array().cast("array<bigint>")
     r = F.size(F.filter(edges, lambda b: b <= F.col("id")))
-    if each > 1:
-        lows, highs = F.array(*[F.lit(int(b)) for b in [size[1], *bounds]]), F.array(*[F.lit(int(b)) for b in [*bounds, size[2] + 1]])
-        part = F.floor((F.col("id") - F.get(lows, r)) * each / (F.get(highs, r) - F.get(lows, r)))
-        g = r * each + F.least(F.greatest(part, F.lit(0)), F.lit(each - 1))
+    if each > 1 and size[1] is not None:
+        # the difference of two ids may pass 2**63
+        wide_id = lambda b: F.lit(Decimal(b)).cast("decimal(20,0)")
+        lows, highs = F.array(*[wide_id(b) for b in [size[1], *bounds]]), F.array(*[wide_id(b) for b in [*bounds, size[2] + 1]])
+        low = F.get(lows, r)
+        # if the smallest id is a bound, the first range has null ids only
+        part = F.floor((known.cast("decimal(20,0)") - low) * each / F.nullif(F.get(highs, r) - low, F.lit(0))).cast("bigint")
+        g = r * each + F.least(F.greatest(F.coalesce(part, F.lit(0)), F.lit(0)), F.lit(each - 1))
     else:
         g = r
     buckets = max(1, int(-(-size[0] * 0.075 // BUCKET)))
@@ -519,7 +529,7 @@ def _solve(docs: DataFrame, cols: list[str], make: Callable, schema: str, group_
 
 
 def _with_id(docs: DataFrame, *more: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("id"), "text", *more)
+    return docs.select(F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).alias("id"), "text", *more)
 
 
 def digests(docs: DataFrame, group_bytes: float = GROUP, wide: int = WIDE) -> DataFrame:
@@ -559,7 +569,7 @@ def dedup(docs: DataFrame, group_bytes: float = GROUP, wide: int = WIDE) -> Data
         return pa.table({n: cols[n] for n in inner.values()})
 
     other = [F.col(c).alias(inner[c]) for c in docs.columns if c != "text"]
-    narrow = docs.select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("id"), "text", *other)
+    narrow = docs.select(F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).alias("id"), "text", *other)
     schema = ", ".join(f"{inner[f.name]} {f.dataType.simpleString()}" for f in docs.schema.fields)
     out = _solve(narrow, [n for c, n in inner.items() if c != "text"], make, schema, group_bytes, wide)
     return out.select(*[F.col(inner[c]).alias(c) for c in docs.columns])
