@@ -24,17 +24,42 @@ def complete(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def moments(df: DataFrame, cols: list[str], by: list[str] | None = None) -> dict[tuple, tuple[int, np.ndarray, np.ndarray]]:
-    """Count, means and centred cross products for each group, in one aggregate of p(p+1)/2 covariances."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[: i + 1]]
-    g = complete(df, cols).groupBy(*(by or []))
-    rows = g.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)], *[F.covar_pop(a, b).alias(f"c{k}") for k, (a, b) in enumerate(pairs)]).collect()
-    out = {}
-    for r in rows:
-        s = np.zeros((len(cols),) * 2)
-        for k, (a, b) in enumerate(pairs):
-            s[cols.index(a), cols.index(b)] = s[cols.index(b), cols.index(a)] = r[f"c{k}"] * r["n"] if r["n"] else 0.0
-        out[tuple(r[b] for b in by or [])] = (r["n"], np.array([r[f"m{i}"] for i in range(len(cols))], float), s)
-    return out
+    """Count, means and centred cross products for each group: of each task's rows, then joined, a row a group at the end."""
+    by, p = by or [], len(cols)
+    x = complete(df, cols).select(*[F.col(b).alias(f"_b{i}") for i, b in enumerate(by)], F.array(*[F.col(c).cast("double") for c in cols]).alias("_x"))
+    keys = x.columns[:-1]
+    schema = ", ".join([*[f"{k} {x.schema[k].dataType.simpleString()}" for k in keys], "_n bigint, _m array<double>, _s array<double>"])
+
+    def joined(a: tuple, b: tuple) -> tuple:
+        n, d = a[0] + b[0], b[1] - a[1]
+        return n, a[1] + d * (b[0] / n), a[2] + b[2] + np.outer(d, d) * (a[0] * b[0] / n)
+
+    def row(key: tuple, v: tuple) -> dict:
+        return {**dict(zip(keys, key, strict=True)), "_n": v[0], "_m": v[1], "_s": v[2].ravel()}
+
+    def part(batches):
+        out = {}
+        for pdf in batches:
+            groups = pdf.groupby(keys, dropna=False) if keys else [((), pdf)]
+            for key, g in groups:
+                v = np.stack(g["_x"].to_numpy())
+                key = tuple(None if pd.isna(k) else k for k in key)
+                m = v.mean(0)
+                new = len(v), m, (v - m).T @ (v - m)
+                out[key] = joined(out[key], new) if key in out else new
+        if out:
+            yield pd.DataFrame([row(k, v) for k, v in out.items()])
+
+    def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [(n, np.asarray(m), np.asarray(s).reshape(p, p)) for n, m, s in zip(pdf["_n"], pdf["_m"], pdf["_s"], strict=True)]
+        total = parts[0]
+        for v in parts[1:]:
+            total = joined(total, v)
+        return pd.DataFrame([row(key, total)])
+
+    rows = x.mapInPandas(part, schema).groupBy(*keys).applyInPandas(join, schema).collect()
+    out = {tuple(r[k] for k in keys): (r["_n"], np.array(r["_m"]), np.array(r["_s"]).reshape(p, p)) for r in rows}
+    return out or ({} if by else {(): (0, np.full(p, np.nan), np.zeros((p, p)))})
 
 
 def covariance(df: DataFrame, cols: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
@@ -203,7 +228,7 @@ def lda(df: DataFrame, cols: list[str], label: str) -> dict:
 
 def lda_predict(df: DataFrame, cols: list[str], model: dict, quadratic: bool = False, to: str = "predicted") -> DataFrame:
     """Nearest projected centroid, or the largest class density, as column expressions."""
-    cost = []
+    cost, out, names = [], df, []
     if quadratic:
         n = sum(v[0] for v in model["classes"].values())
         for k in model["labels"]:
@@ -214,11 +239,13 @@ def lda_predict(df: DataFrame, cols: list[str], model: dict, quadratic: bool = F
             cost.append((k, d + float(np.linalg.slogdet(s)[1] - 2 * math.log(m / n))))
     else:
         w = model["weights"]
-        z = [sum((F.col(c) - float(model["mean"][i])) * float(w[i, k]) for i, c in enumerate(cols)) for k in range(w.shape[1])]
+        names = [f"_z{k}" for k in range(w.shape[1])]
+        out = linear_scores(df, cols, model["mean"], w, names)
+        z = [F.col(n) for n in names]
         for k, cen in zip(model["labels"], model["centroids"], strict=True):
             cost.append((k, sum((a - float(b)) * (a - float(b)) for a, b in zip(z, cen, strict=True))))
     best = F.least(*[F.struct(c.alias("d"), F.lit(k).alias("k")) for k, c in cost]) if len(cost) > 1 else F.struct(cost[0][1].alias("d"), F.lit(cost[0][0]).alias("k"))
-    return df.withColumn(to, best["k"])
+    return out.withColumn(to, best["k"]).drop(*names)
 
 
 def mahalanobis(df: DataFrame, cols: list[str], robust: bool = False, alpha: float = 0.025, rounds: int = 10) -> DataFrame:
@@ -231,7 +258,14 @@ def mahalanobis(df: DataFrame, cols: list[str], robust: bool = False, alpha: flo
 
     def d2(m: np.ndarray, c: np.ndarray):
         inv = np.linalg.inv(c + 1e-12 * np.trace(c) * np.eye(p))
-        return sum((F.col(a) - float(m[i])) * (F.col(b) - float(m[j])) * float(inv[i, j]) for i, a in enumerate(cols) for j, b in enumerate(cols))
+
+        @F.pandas_udf("double")
+        def of(v: pd.Series) -> pd.Series:
+            z = np.array(v.tolist(), float).reshape(len(v), p) - m
+            return pd.Series(((z @ inv) * z).sum(1))
+
+        values = F.array(*[F.col(c).cast("double") for c in cols])
+        return F.when(F.exists(values, lambda v: v.isNull()), F.lit(None)).otherwise(of(values))
 
     if robust:
         h = max(p + 1, int(0.75 * n))

@@ -620,13 +620,27 @@ def _late():
     from cadenza.plans.homogenize import HomogenizeConfig, homogenize
 
     def embeddings(s, f):
+        """The table with a column for each coordinate, and their names."""
         e = fx.read(s, f, "embeddings")
-        return e.select(F.col("vec_id").alias("mjd"), "label", *[F.col("embedding")[i].cast("double").alias(f"ch{i}") for i in range(4)])
+        cols = [f"ch{i}" for i in range(e.agg(F.max(F.size("embedding"))).first()[0] or 0)]
+        return e.select(F.col("vec_id").alias("mjd"), "label", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(cols)]), cols
+
+    def pca_scores(s, f):
+        e, cols = embeddings(s, f)
+        m = multivariate.pca(e, cols, 2)
+        return multivariate.linear_scores(e, cols, m["mean"], m["loadings"], ["pc1", "pc2"]).select("mjd", "pc1", "pc2")
+
+    def lda_predict(s, f):
+        e, cols = embeddings(s, f)
+        return multivariate.lda_predict(e, cols, multivariate.lda(e, cols, "label")).select("mjd", "label", "predicted")
+
+    def cca(s, f):
+        e, cols = embeddings(s, f)
+        return one_row(s, multivariate.cca(e, cols[: len(cols) // 2], cols[len(cols) // 2 :]))
 
     def one_row(s, values: dict):
         return s.createDataFrame([{k: v.tolist() if hasattr(v, "tolist") else v for k, v in values.items()}])
 
-    four = ["ch0", "ch1", "ch2", "ch3"]
     plane = lambda s, f: fx.read(s, f, "supplier").select((F.col("s_suppkey") * 37 % 101).cast("double").alias("x"), (F.col("s_suppkey") * 53 % 97).cast("double").alias("y"), F.col("s_acctbal").alias("value"))
     cells = lambda s: spatial.grid(s, 0.0, 100.0, 0.0, 100.0, 10.0)
     NUMERIC.update({
@@ -637,13 +651,13 @@ def _late():
         "return_levels_pot": lambda s, f: extremes.return_levels(_hourly(s, f), [30.0, 365.0], interval="delta"),
         "return_levels_blocks": lambda s, f: extremes.return_levels(fx.orders_daily(s, f), [10.0, 50.0], "blocks", block=30),
         "cluster_features": lambda s, f: cluster.features(fx.orders_daily(s, f)),
-        "kmeans": lambda s, f: cluster.kmeans(embeddings(s, f), four, 5).select("mjd", "cluster"),
+        "kmeans": lambda s, f: cluster.kmeans(*embeddings(s, f), 5).select("mjd", "cluster"),
         "kmeans_series": lambda s, f: cluster.kmeans_series(cluster.features(_hourly(s, f)), ["value", "derivative"], 3, inits=2),
-        "pca_scores": lambda s, f: (lambda m, e: multivariate.linear_scores(e, four, m["mean"], m["loadings"], ["pc1", "pc2"]).select("mjd", "pc1", "pc2"))(multivariate.pca(embeddings(s, f), four, 2), embeddings(s, f)),
-        "mahalanobis": lambda s, f: multivariate.mahalanobis(embeddings(s, f), four).select("mjd", "distance", "is_outlier"),
-        "lda_predict": lambda s, f: multivariate.lda_predict(embeddings(s, f), four, multivariate.lda(embeddings(s, f), four, "label")).select("mjd", "label", "predicted"),
-        "manova": lambda s, f: one_row(s, multivariate.manova(embeddings(s, f), four, "label")),
-        "cca": lambda s, f: one_row(s, {k: v for k, v in multivariate.cca(embeddings(s, f), four[:2], four[2:]).items()}),
+        "pca_scores": pca_scores,
+        "mahalanobis": lambda s, f: multivariate.mahalanobis(*embeddings(s, f)).select("mjd", "distance", "is_outlier"),
+        "lda_predict": lda_predict,
+        "manova": lambda s, f: one_row(s, multivariate.manova(*embeddings(s, f), "label")),
+        "cca": cca,
         "rbf_grid": lambda s, f: spatial.interpolate(plane(s, f), cells(s), "rbf"),
         "natural_neighbour_grid": lambda s, f: spatial.interpolate(plane(s, f), cells(s), "natural_neighbor"),
         "kriging_grid": lambda s, f: spatial.interpolate(plane(s, f), cells(s), "kriging"),

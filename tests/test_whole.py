@@ -47,3 +47,26 @@ def test_lomb_scargle_grid_ends_at_half_the_sampling_rate(spark, step):
     assert len(got) == 118 and np.isclose(got["frequency"].iloc[-1], 1 / (2 * step))
     assert np.allclose(got["frequency"], f) and np.allclose(got["power"], p) and np.allclose(got["fap"], np.minimum(1, 118 * np.exp(-p)))
     assert np.isclose(models.peaks(models.lomb_scargle(rows), 1).first().period, 2.5 * step, rtol=0.02)
+
+
+def test_embedding_queries_use_every_coordinate(spark, sf):
+    e = fx.read(spark, sf, "embeddings").orderBy("vec_id").toPandas()
+    x = np.stack(e["embedding"].to_numpy()).astype(float)
+    x = x - x.mean(0)
+    run = lambda name: catalog.QUERIES[name](spark, sf).orderBy("mjd").toPandas()
+    inv = np.linalg.inv(np.cov(x.T))
+    assert np.allclose(run("mahalanobis")["distance"], np.sqrt(((x @ inv) * x).sum(1)))
+    pc = np.linalg.svd(x, full_matrices=False)[2][:2]
+    assert np.allclose(np.abs(run("pca_scores")[["pc1", "pc2"]]), np.abs(x @ pc.T), atol=1e-6)
+    half = x.shape[1] // 2
+    q = [np.linalg.qr(v)[0] for v in (x[:, :half], x[:, half:])]
+    assert np.allclose(catalog.QUERIES["cca"](spark, sf).first()["correlations"], np.linalg.svd(q[0].T @ q[1], compute_uv=False))
+    assert catalog.QUERIES["manova"](spark, sf).first()["df1"] == x.shape[1] * (e["label"].nunique() - 1)
+    groups = [x[e["label"] == k] for k in sorted(e["label"].unique())]
+    sw = sum((g - g.mean(0)).T @ (g - g.mean(0)) for g in groups)
+    d = np.stack([np.einsum("ij,jk,ik->i", x - g.mean(0), np.linalg.inv(sw), x - g.mean(0)) for g in groups], 1)
+    assert (run("lda_predict")["predicted"] == np.array(sorted(e["label"].unique()))[d.argmin(1)]).mean() > 0.99
+    c = run("kmeans")["cluster"].to_numpy()
+    centres = np.stack([x[c == k].mean(0) for k in np.unique(c)])
+    near = np.unique(c)[((x[:, None] - centres[None]) ** 2).sum(-1).argmin(1)]
+    assert len(c) == len(x) and (near == c).mean() > 0.9
