@@ -8,24 +8,28 @@ drops what cannot link:
    extended form); a class with too few shared shingles in its first part drops out;
 3. the classes left order their shingles by frequency, rare ones first: those that link share one in the first quarter.
    Classes that share such a shingle fall into one block; a block is a component of that graph, so no link leaves it;
-4. in a block, each document asks the inverted index for the documents that hold T of its shingles: DivideSkip merges
-   its short lists, and probes the long ones only for documents that can still reach T.
+4. in a block, each class asks the inverted index for the classes that hold T of its shingles: DivideSkip merges its
+   short lists through a heap, skipping what can no longer reach T, and probes the long ones for what is left. A class
+   does not ask for those that links found before have already joined with it.
 
-Between steps, hashes travel as packed rows, combined before each shuffle. A block of many documents is searched in
+A class has a number of its own from the written table of classes, so null and repeated ids are classes like others.
+Between steps, hashes travel as packed rows, combined before each shuffle. A block of many classes is searched in
 parts: each part as a query set against each other, so no task holds more than two parts. Only links that join two
 components of what a task has seen leave it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import heapq
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import components, mix, utf8_lists, write_out
+from cadenza.llm.common import components, drop_out, lean, mix, pieces, unused, utf8_lists, write_out
 from cadenza.llm.subword import spread, sums
 from cadenza.llm.suffix_dedup import bucket_of, changes, pack, unpack
 from cadenza.llm.words import LOWER, blocks, shingles, word_hashes
@@ -33,8 +37,10 @@ from cadenza.llm.words import LOWER, blocks, shingles, word_hashes
 WORDS = 5
 #: Share of a set, in hash order, that the second step compares; packed rows in a bucket; shingles in a group of classes.
 PART, BUCKET, GROUP = 0.4, 600_000, 500_000
-#: Documents of a block that are searched as one part.
+#: Classes of a block that are searched as one part.
 BLOCK = 1500
+#: A shingle that more classes of one batch have counts for them at once and travels once.
+COMMON = 32
 
 
 def least_overlap(n: np.ndarray) -> np.ndarray:
@@ -97,51 +103,67 @@ def _blobs(key: np.ndarray, name: str, rows: np.ndarray, **same: int) -> pa.Tabl
     return pa.table(cols | {"rows": pa.array([rows[a:b].tobytes() for a, b in zip(cut.tolist(), ends.tolist(), strict=True)], pa.binary())})
 
 
-PRINTS = "doc_id bigint, n_shingles bigint, need bigint, p bigint, q bigint"
+def prints(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, need, the print (p, q) of the set, and two hashes of the text (t1, t2) of each row of docs."""
 
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        s = Sets(b.column(1))
+        p, q = s.prints()
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s.size, pa.int64()), pa.array(needed(s.size), pa.int64()), pa.array(p), pa.array(q), b.column(2), b.column(3)], ["doc_id", "n_shingles", "need", "p", "q", "t1", "t2"])
 
-def prints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, need, and the print (p, q) of the set of each row of docs."""
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, need bigint, p bigint, q bigint, t1 bigint, t2 int"
+    return docs.select("doc_id", "text", *text_key("text")).mapInArrow(pieces(run), schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = Sets(b.column(1))
-            p, q = s.prints()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s.size, pa.int64()), pa.array(needed(s.size), pa.int64()), pa.array(p), pa.array(q)], ["doc_id", "n_shingles", "need", "p", "q"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PRINTS)
+def text_key(text: str) -> list[F.Column]:
+    """96 bits that stand for a text where texts are joined."""
+    return [F.xxhash64(text).alias("t1"), F.hash(text).alias("t2")]
 
 
 def _shared(docs: DataFrame, buckets: int) -> DataFrame:
     """(p40, shared): how many shingles of the first part of class p another class has in its own first part."""
 
-    def announce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = Sets(b.column(0))
-            p, _ = s.prints()
-            h, d = s.parts()
-            a, c = h >> np.uint64(16), p.view(np.uint64)[d] >> np.uint64(24)
-            order = np.lexsort((c, a))
-            a, c = a[order], c[order]
-            new = changes(a) | changes(c)
-            a, c = a[new], c[new]
-            yield from _blobs(bucket_of(a, buckets), "bucket", pack(a, c)).to_batches()
-
-    def count(t: pa.Table) -> pa.Table:
-        a, c, _, _ = unpack(t.column("rows").to_pylist())
+    def announce(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        s = Sets(b.column(0))
+        p, _ = s.prints()
+        h, d = s.parts()
+        a, c = h >> np.uint64(16), p.view(np.uint64)[d] >> np.uint64(24)
         order = np.lexsort((c, a))
         a, c = a[order], c[order]
         new = changes(a) | changes(c)
         a, c = a[new], c[new]
-        head = changes(a)
-        run = np.cumsum(head) - 1
-        several = np.bincount(run)[run] > 1
-        key, n = np.unique(c[several], return_counts=True)
+        # a very common shingle is shared whatever others say: its classes count it here, and it travels once, for others'
+        # sake. A class with copies in several batches may count it more than once, which only keeps the class longer
+        run = np.cumsum(changes(a)) - 1
+        common = np.bincount(run)[run] > COMMON if len(a) else np.zeros(0, bool)
+        here, sent = c[common], ~common | changes(a)
+        marked = (common & changes(a))[sent]
+        yield from _blobs(bucket_of(a[sent], buckets), "bucket", pack(a[sent], c[sent], marked)).to_batches()
+        if len(here):
+            yield from counted(here, -1).to_batches()
+
+    def counted(c: np.ndarray, sign: int = 1) -> pa.Table:
+        """(class, how often) in packed rows, dealt by class; those that are counted on the way have negative buckets."""
+        key, n = np.unique(c, return_counts=True)
         rows = np.zeros((len(key), 9), np.uint8)
         rows[:, :5] = np.ascontiguousarray(key).view(np.uint8).reshape(-1, 8)[:, :5]
         rows[:, 5:] = np.ascontiguousarray(n, "<u4").view(np.uint8).reshape(-1, 4)
         to = (key * np.uint64(buckets) >> np.uint64(40)).astype(np.int64)
-        return _blobs(to, "bucket", rows)
+        return _blobs(to if sign > 0 else -1 - to, "bucket", rows)
+
+    def count(t: pa.Table) -> pa.Table:
+        bucket = t.column("bucket")[0].as_py()
+        if bucket < 0:
+            return pa.table({"bucket": pa.array([-1 - bucket] * t.num_rows, pa.int64()), "rows": t.column("rows").combine_chunks()})
+        a, c, more, _ = unpack(t.column("rows").to_pylist(), 1)
+        order = np.lexsort((c, a))
+        a, c, marked = a[order], c[order], more[order, 0] > 0
+        head = changes(a)
+        run = np.cumsum(head) - 1
+        known = np.bincount(run, marked)[run] > 0  # common in some batch
+        new = (head | changes(c)) & ~marked
+        several = known | (np.bincount(run, new)[run] > 1)
+        return counted(c[new & several])
 
     def add(t: pa.Table) -> pa.Table:
         flat = np.frombuffer(b"".join(t.column("rows").to_pylist()), np.uint8).reshape(-1, 9)
@@ -154,28 +176,27 @@ def _shared(docs: DataFrame, buckets: int) -> DataFrame:
         head = np.flatnonzero(changes(key))
         return _table(p40=pa.array(key[head].astype(np.int64)), shared=pa.array(np.add.reduceat(n, head) if len(head) else n))
 
-    said = docs.select("text").mapInArrow(announce, "bucket bigint, rows binary")
-    counted = said.groupBy("bucket").applyInArrow(count, "bucket bigint, rows binary")
-    return counted.groupBy("bucket").applyInArrow(add, "p40 bigint, shared bigint")
+    said = docs.select("text").mapInArrow(pieces(announce), "bucket bigint, rows binary")
+    heard = said.groupBy("bucket").applyInArrow(lean(count), "bucket bigint, rows binary")
+    return heard.groupBy("bucket").applyInArrow(lean(add), "p40 bigint, shared bigint")
 
 
-def _sets_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, p, sets): the packed hashes of each text; docs has doc_id, text and p, and rows of another set go."""
+def _sets_of(texts: DataFrame) -> DataFrame:
+    """(cls, sets): the packed hashes of each text; texts has cls, text and p, and a text of another set goes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = Sets(b.column(1))
-            p, _ = s.prints()
-            ok = np.flatnonzero(p == b.column(2).to_numpy())
-            blobs = [s.hashes[s.offsets[i] : s.offsets[i + 1]].tobytes() for i in ok.tolist()]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ok)), pa.array(blobs, pa.binary())], ["doc_id", "sets"])
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        s = Sets(b.column(1))
+        p, _ = s.prints()
+        ok = np.flatnonzero(p == b.column(2).to_numpy())
+        blobs = [s.hashes[s.offsets[i] : s.offsets[i + 1]].tobytes() for i in ok.tolist()]
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ok)), pa.array(blobs, pa.binary())], ["cls", "sets"])
 
-    return docs.select("doc_id", "text", "p").mapInArrow(run, "doc_id bigint, sets binary")
+    return texts.select("cls", "text", "p").mapInArrow(pieces(run), "cls bigint, sets binary")
 
 
 def _load(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct doc ids, ascending; their hashes end to end; offsets."""
-    ids = t.column("doc_id").to_numpy()
+    """Class numbers, ascending; their hashes end to end; offsets."""
+    ids = t.column("cls").to_numpy()
     order = np.argsort(ids, kind="stable")
     order = order[changes(ids[order])]
     blobs = t.column("sets")
@@ -185,7 +206,7 @@ def _load(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _rare_prefixes(sets: DataFrame, buckets: int) -> DataFrame:
-    """(h, doc_id): of each class the shingles, rare ones first, that any link must share one of, if others have them."""
+    """(h, cls): of each class the shingles, rare ones first, that any link must share one of, if others have them."""
 
     def announce(t: pa.Table) -> pa.Table:
         _, hashes, _ = _load(t)
@@ -213,7 +234,7 @@ def _rare_prefixes(sets: DataFrame, buckets: int) -> DataFrame:
 
     def choose(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return _table(h=pa.array([], pa.int64()), doc_id=pa.array([], pa.int64()))
+            return _table(h=pa.array([], pa.int64()), cls=pa.array([], pa.int64()))
         ids, hashes, offsets = _load(left)
         known, df, _ = read(right.column("rows").to_pylist())
         order = np.argsort(known)
@@ -225,11 +246,41 @@ def _rare_prefixes(sets: DataFrame, buckets: int) -> DataFrame:
         order = np.lexsort((hashes, freq, doc))
         place = np.arange(len(hashes)) - np.repeat(offsets[:-1], size)
         chosen = order[(place < (size - least_overlap(size) + 1)[doc]) & (freq[order] > 1)]
-        return _table(h=pa.array(hashes[chosen].view(np.int64)), doc_id=pa.array(ids[doc[chosen]]))
+        return _table(h=pa.array(hashes[chosen].view(np.int64)), cls=pa.array(ids[doc[chosen]]))
+
+    said = sets.groupBy("g").applyInArrow(lean(announce), "bucket bigint, g bigint, rows binary")
+    heard = said.groupBy("bucket").applyInArrow(lean(answer), "g bigint, rows binary")
+    return sets.groupBy("g").cogroup(heard.groupBy("g")).applyInArrow(lean(choose), "h bigint, cls bigint")
+
 
-    said = sets.groupBy("g").applyInArrow(announce, "bucket bigint, g bigint, rows binary")
-    heard = said.groupBy("bucket").applyInArrow(answer, "g bigint, rows binary")
-    return sets.groupBy("g").cogroup(heard.groupBy("g")).applyInArrow(choose, "h bigint, doc_id bigint")
+def merge_skip(lists: list[list[int]], least: int) -> list[tuple[int, int]]:
+    """(document, in how many lists) of those in at least `least` of the ascending lists, ascending, by a heap of their heads.
+
+    Where the least document of the heap is in too few lists, least-1 heads go, and their lists skip by binary search to
+    the head that is then the least: nothing before it can be in `least` lists.
+    """
+    heap = [(x[0], k, 0) for k, x in enumerate(lists) if x]
+    heapq.heapify(heap)
+    out: list[tuple[int, int]] = []
+    while len(heap) >= least:
+        doc, seen = heap[0][0], []
+        while heap and heap[0][0] == doc:
+            seen.append(heapq.heappop(heap))
+        if len(seen) >= least:
+            out.append((doc, len(seen)))
+            to = doc + 1
+        else:
+            while heap and len(seen) < least - 1:
+                seen.append(heapq.heappop(heap))
+            if not heap:
+                break
+            to = heap[0][0]
+        for _, k, at in seen:
+            x = lists[k]
+            at = bisect_left(x, to, at)
+            if at < len(x):
+                heapq.heappush(heap, (x[at], k, at))
+    return out
 
 
 class Index:
@@ -246,109 +297,144 @@ class Index:
         self.bounds = np.append(0, np.cumsum(np.bincount(inverse, minlength=len(self.tokens))))
         self.size = np.diff(offsets)
 
-    def search(self, query: np.ndarray) -> np.ndarray:
-        """Documents of the index that link with the set `query`."""
+    def search(self, query: np.ndarray, among: np.ndarray | None = None) -> np.ndarray:
+        """Documents of the index that link with the set `query`; among: only of those where it is true."""
         at = np.minimum(np.searchsorted(self.tokens, query), max(len(self.tokens) - 1, 0))
         found = at[self.tokens[at] == query] if len(self.tokens) else at[:0]
         n = len(query)
         least = int(least_overlap(np.array(n)))
         if len(found) < least or not n:
             return np.zeros(0, np.int64)
+        fit = (4 * self.size >= 3 * n) & (3 * self.size <= 4 * n)
+        fit = fit if among is None else fit & among
         length = self.bounds[found + 1] - self.bounds[found]
         found, length = (x[np.argsort(length, kind="stable")] for x in (found, length))
-        long = min(least - 1, int(least / (self.MU * np.log2(max(2, int(length[-1]))) + 1))) if length[-1] > 64 else 0
-        short = len(found) - long
-        merged = np.bincount(self.lists[spread(self.bounds[found[:short]], length[:short])], minlength=len(self.size))
-        docs = np.flatnonzero(merged >= least - long)
-        docs = docs[(4 * self.size[docs] >= 3 * n) & (3 * self.size[docs] <= 4 * n)]
-        overlap = merged[docs]
-        for t in found[short:].tolist():  # binary probes, only of the documents that are left
-            if not len(docs):
+        docs = self.lists[spread(self.bounds[found], length)]
+        ok = fit[docs]
+        ends = np.cumsum(length)
+        left = np.append(0, np.cumsum(ok))[np.append(0, ends)]  # the lists without documents that cannot link
+        docs, length = docs[ok], np.diff(left)
+        most = int(length.max())
+        if not most:
+            return np.zeros(0, np.int64)
+        long = min(least - 1, int(least / (self.MU * np.log2(max(2, most)) + 1)))
+        order = np.argsort(length, kind="stable")
+        cut = [docs[left[k] : left[k + 1]] for k in order.tolist()]
+        merged = merge_skip([x.tolist() for x in cut[: len(cut) - long]], least - long)
+        if not merged:
+            return np.zeros(0, np.int64)
+        some, overlap = (np.array(x, np.int64) for x in zip(*merged, strict=True))
+        for k, one in enumerate(cut[len(cut) - long :]):  # binary probes, only of the documents that can still reach it
+            can = overlap + (long - k) >= least
+            some, overlap = some[can], overlap[can]
+            if not len(some):
                 break
-            one = self.lists[self.bounds[t] : self.bounds[t + 1]]
-            p = np.searchsorted(one, docs)
-            overlap = overlap + (one[np.minimum(p, len(one) - 1)] == docs)
-        return docs[7 * overlap >= 3 * (n + self.size[docs])]
+            p = np.minimum(np.searchsorted(one, some), max(len(one) - 1, 0))
+            overlap = overlap + (one[p] == some if len(one) else 0)
+        return some[7 * overlap >= 3 * (n + self.size[some])]
 
 
 def spanning(ids: np.ndarray, hashes: np.ndarray, offsets: np.ndarray, queries: np.ndarray) -> tuple[list[int], list[int]]:
     """Links between the queries and all documents that join components; one link for each join."""
     index = Index(hashes, offsets)
-    root = np.arange(len(ids))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = int(root[i])
-        return i
-
+    of = np.arange(len(ids))  # the component of each document
+    open_ = np.ones(len(ids), bool)  # those that have not asked yet
     a, b = [], []
     for q in queries.tolist():
-        for d in index.search(hashes[offsets[q] : offsets[q + 1]]).tolist():
-            x, y = find(q), find(d)
-            if x != y:
-                root[max(x, y)] = min(x, y)
+        open_[q] = False  # a pair is looked for once
+        among = open_ & (of != of[q])
+        if not among.any():
+            continue
+        for d in index.search(hashes[offsets[q] : offsets[q + 1]], among).tolist():
+            if of[q] != of[d]:
+                of[of == of[d]] = of[q]
                 a.append(int(ids[q])), b.append(int(ids[d]))
     return a, b
 
 
 def _search_block(key: tuple, t: pa.Table) -> pa.Table:
     ids, hashes, offsets = _load(t)
-    mine = set(t.column("doc_id").filter(t.column("asks")).to_pylist())
+    mine = set(t.column("cls").filter(t.column("asks")).to_pylist())
     queries = np.flatnonzero(np.fromiter((i in mine for i in ids.tolist()), bool, len(ids)))
     a, b = spanning(ids, hashes, offsets, queries)
     return _table(a=pa.array(a, pa.int64()), b=pa.array(b, pa.int64()))
 
 
-def links(sets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b): enough links between the documents of sets (block, doc_id, sets) to join all that link. Blocks of any size."""
-    sizes = sets.groupBy("block").agg(F.count("*").alias("m"))
-    parted = sets.join(sizes.where("m > 1"), "block").withColumn("parts", F.ceil(F.col("m") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    # part i meets part j in task (i, j), i <= j; the documents of i ask
+def in_parts(of_block: DataFrame, block: int = BLOCK) -> DataFrame:
+    """of_block (cls, block) without blocks of one, with the number of parts of the block and the part of the class."""
+    sizes = of_block.groupBy("block").agg(F.count("*").alias("m")).where("m > 1")
+    return of_block.join(sizes, "block").select("cls", "block", F.ceil(F.col("m") / block).cast("int").alias("parts")).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+
+
+def links(sets: DataFrame) -> DataFrame:
+    """(a, b): enough links between the classes of sets (cls, block, parts, part, sets) to join all that link."""
+    # part i meets part j in task (i, j), i <= j; the classes of i ask
     tasks = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("part")).cast("int").alias("i"), F.greatest(k, F.col("part")).cast("int").alias("j")))
     )
-    dealt = parted.select("block", "doc_id", "sets", "part", F.explode(tasks).alias("t")).select("block", "t.i", "t.j", "doc_id", "sets", (F.col("part") == F.col("t.i")).alias("asks"))
-    return dealt.groupBy("block", "i", "j").applyInArrow(_search_block, "a bigint, b bigint")
+    dealt = sets.select("block", "cls", "sets", "part", F.explode(tasks).alias("t")).select("block", "t.i", "t.j", "cls", "sets", (F.col("part") == F.col("t.i")).alias("asks"))
+    return dealt.groupBy("block", "i", "j").applyInArrow(lean(_search_block), "a bigint, b bigint")
 
 
-def classes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id.
-
-    Texts are lower-cased in A-Z; null texts and those without a word have no shingle and link with nothing, themselves
-    included, so their component is their own id. Repeated rows give repeated rows. A null doc_id is never a component's
-    id: such a row gets the id of its component if another row of the component has one, else null. An empty table gives
-    no rows. Other columns are ignored.
-    """
+def _classes(docs: DataFrame, block: int) -> DataFrame:
+    """classes(), with the text's key (t1, t2)."""
     docs = docs.select("doc_id", "text")
-    spark = docs.sparkSession
     own = write_out(prints(docs), "prints")
-    reps = own.where("n_shingles > 0").groupBy("p", "q").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("need").alias("need"))
-    reps = write_out(reps, "classes")
+    rows = own.count()
+    reps = own.where("n_shingles > 0").groupBy("p", "q").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("need").alias("need"), F.min(F.struct("t1", "t2")).alias("t"))
+    reps = write_out(reps.select(F.monotonically_increasing_id().alias("cls"), "p", "q", "rep", "n", "need", "t.t1", "t.t2"), "classes", 64 * rows)
     total = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(1, int(-(-total * PART // BUCKET)))
     # p40 may stand for two classes; both then go on, which is safe
     shared = _shared(docs, buckets)
-    alive = reps.where("rep is not null and n > 2").withColumn("p40", F.shiftrightunsigned("p", 24)).join(shared, "p40").where("shared >= need").select(F.col("rep").alias("doc_id"), "p", "n")
-    alive = write_out(alive, "alive")
-    # the classes left grow with the corpus, so they are never broadcast
-    sets = _sets_of(docs.join(alive.select("doc_id", "p").hint("merge"), "doc_id"))
-    groups = max(1, int(-(-alive.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // GROUP)))
-    sets = write_out(sets.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups))), "sets")
-    prefixes = write_out(_rare_prefixes(sets, groups), "prefixes")
-    first = prefixes.groupBy("h").agg(F.min("doc_id").alias("m"), F.count("*").alias("c")).where("c > 1").select("h", "m")
-    stars = prefixes.join(first, "h").where("doc_id <> m").select(F.col("doc_id").alias("a"), F.col("m").alias("b")).distinct()
-    of_block = write_out(components(stars).toDF("doc_id", "block"), "blocks")
-    linked = components(links(sets.dropDuplicates(["doc_id"]).join(of_block, "doc_id").select("block", "doc_id", "sets"), block))
-    to = reps.join(linked.toDF("rep", "component"), "rep", "left").select("p", "q", F.coalesce("component", "rep").alias("component"))
+    alive = reps.where("n > 2").withColumn("p40", F.shiftrightunsigned("p", 24)).join(shared, "p40").where("shared >= need").select("cls", "p", "n", "t1", "t2")
+    alive = write_out(alive, "alive", 48 * rows)
+    left, shingles_left = alive.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    # one text of each class left: copies are combined before the shuffle, and classes grow with the corpus, so neither side
+    # is broadcast
+    texts = docs.select("text", *text_key("text")).groupBy("t1", "t2").agg(F.first("text").alias("text"))
+    sets = _sets_of(texts.join(alive.select("cls", "p", "t1", "t2").hint("merge"), ["t1", "t2"]))
+    groups = max(1, int(-(-shingles_left // GROUP)))
+    sets = write_out(sets.withColumn("g", F.pmod(F.xxhash64("cls"), F.lit(groups))), "sets", 8 * shingles_left)
+    prefixes = write_out(_rare_prefixes(sets, groups), "prefixes", 4 * shingles_left)
+    first = prefixes.groupBy("h").agg(F.min("cls").alias("m"), F.count("*").alias("c")).where("c > 1").select("h", "m")
+    stars = prefixes.join(first, "h").where("cls <> m").select(F.col("cls").alias("a"), F.col("m").alias("b")).distinct()
+    of_block = write_out(components(stars).toDF("cls", "block"), "blocks", 16 * left)
+    of_part = write_out(in_parts(of_block, block), "parts", 24 * left)
+    linked = components(links(sets.join(of_part, "cls"))).toDF("cls", "component")
+    # a component is named by the smallest doc_id among its classes
+    linked = write_out(linked, "linked", 16 * left)
+    for done in (alive, sets, prefixes, of_block, of_part):
+        drop_out(done)
+    named = linked.join(reps.select("cls", "rep"), "cls")
+    least = named.groupBy("component").agg(F.min("rep").alias("least"))
+    to = reps.select("cls", "p", "q", "rep").join(linked.join(least, "component").select("cls", "least", F.lit(True).alias("found")), "cls", "left")
+    to = to.select("p", "q", F.when(F.col("found"), F.col("least")).otherwise(F.col("rep")).alias("component_id"))
     out = own.join(to, ["p", "q"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "t1", "t2")
+
+
+def classes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id.
+
+    Texts are lower-cased in A-Z; null texts and those without a word have no shingle and link with nothing, themselves
+    included, so their component is their own id. Rows count by themselves: those that repeat a doc_id may have unlike
+    texts and be in different components, and a row without doc_id links like any other. A null doc_id is never a
+    component's id: such a row gets the id of its component if another row of the component has one, else null. An empty
+    table gives no rows. Other columns are ignored.
+    """
+    return _classes(docs, block).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_first(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The documents that are the first of their component, with their own columns, and all rows without doc_id.
+    """The rows whose doc_id is that of their component, with their own columns.
 
-    Rows that repeat a doc_id stand for one document and stay together.
+    A row without doc_id stays if no row of its component has one. Rows that repeat the doc_id of their component stand for
+    one document and stay together.
     """
-    later = classes(docs, block).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    c = _classes(docs, block)
+    gone = c.where("component_id is not null and not doc_id <=> component_id").select("doc_id", "t1", "t2").distinct()
+    a, b, d = (unused(docs, n) for n in ("t1", "t2", "of"))
+    gone = gone.toDF(d, a, b)
+    same_text = (F.xxhash64(docs["text"]) == gone[a]) & (F.hash(docs["text"]) == gone[b])
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone[d]) & same_text, "left_anti")
