@@ -2,8 +2,8 @@
 
 Every window of `span` bytes holds at least one anchor: a place whose hashed neighbourhood is the least of some window,
 so equal windows hold equal anchors at equal places. What the windows around one anchor can share is decided by its
-context, the bytes up to a window's length to either side. Documents are dealt into groups by ranges of doc_id; an
-earlier group therefore holds smaller ids. Then
+context, the bytes up to a window's length to either side. Documents are dealt into groups of equal bytes by ranges of
+doc_id; an earlier group therefore holds smaller ids. Then
 
 1. each group sends its distinct (anchor, context) hashes to a bucket of the anchor;
 2. the bucket tells a group which of its contexts an earlier group has whole, and which share only the anchor;
@@ -11,24 +11,25 @@ earlier group therefore holds smaller ids. Then
    earlier group mark the bytes;
 4. each group resolves its own documents in the same way, applies both, and cuts.
 
-Whole copies cost hashes only; suffixes are sorted where texts begin to differ. The sort is deep-shallow: a multikey
-quicksort to a shallow depth, with eight bytes for a key and all groups refined at once, then blind tries, built one
-leaf path a round, for groups that still agree. Anchors with many contexts (the edges of a passage that a large
-share of documents hold) send their windows one by one, dealt by their own bytes.
+Whole contexts count as equal if 88 bits of hash are; suffixes are sorted where texts begin to differ. The sort is
+deep-shallow: a multikey quicksort to a shallow depth, with eight bytes for a key and all groups refined at once, then
+blind tries, built one leaf path a round, for groups that still agree. Anchors with many contexts (the edges of a passage
+that a large share of documents hold) send their windows one by one, dealt by their own bytes; a group in which an anchor
+has many announces it in one row. Both ways mark the same bytes, since both compare all windows around the anchor.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from cadenza.llm.common import mix, utf8_lists
+from cadenza.llm.common import lean, mix, utf8_lists, write_out
 from cadenza.llm.subword import spread
 from cadenza.llm.words import blocks, factors
 
@@ -40,12 +41,15 @@ ROW = SPAN + SIDE + 4
 SHALLOW = 16
 #: Bytes of text in a group, anchors and contexts in a bucket, contexts whose windows are sorted at once.
 GROUP, BUCKET, CHUNK = 4e6, 300_000, 10_000
-#: Ranges of doc_id of equal counts; each is dealt into equal parts where there are more groups.
-RANGES = 500
+#: Groups, whatever the corpus (their bounds are broadcast, 8 bytes each; beyond that, groups grow), groups in a range of
+#: doc_id that one task cuts up (more if there would be over MOST_RANGES), bytes of text in a shuffle partition of groups.
+MOST_GROUPS, RANGE, MOST_RANGES, PARTITION = 1_000_000, 16, 2_000, 16e6
 #: What a null doc_id is coded as.
 NULL_ID = -(2**63)
-#: An anchor with more contexts than this sends its distinct windows one by one.
-WIDE = 2_000
+#: An anchor with more contexts than this sends its distinct windows one by one; one with more than the second in one group
+#: is announced by the group in one row, whose context is MARK.
+WIDE, NARROW = 2_000, 32
+MARK = np.uint64(2**40 - 1)
 LAST = np.uint64(2**64 - 1)
 
 
@@ -209,7 +213,7 @@ class Group:
         self.context = np.empty(len(h), np.uint64)
         for i in range(0, len(h), 50_000):
             s = slice(i, i + 50_000)
-            self.context[s] = row_hashes(context_rows(self.padded, self.at[s], self.left[s], self.right[s])) >> np.uint64(24)
+            self.context[s] = np.minimum(row_hashes(context_rows(self.padded, self.at[s], self.left[s], self.right[s])) >> np.uint64(24), MARK - np.uint64(1))
 
     def rows(self, which: np.ndarray) -> np.ndarray:
         return context_rows(self.padded, self.at[which], self.left[which], self.right[which])
@@ -289,13 +293,19 @@ def _emit(bucket: np.ndarray, rows: np.ndarray, key: str, g: int | None = None,
     return pa.table(cols)
 
 
-def _announce(buckets: int) -> Callable[[pa.Table], pa.Table]:
+def _announce(buckets: int, narrow: int) -> Callable[[pa.Table], pa.Table]:
     def run(t: pa.Table) -> pa.Table:
         group = Group(t.column("text"))
         order = np.lexsort((group.context, group.anchor))
         a, c = group.anchor[order], group.context[order]
         new = changes(a) | changes(c)
         a, c = a[new], c[new]
+        head = changes(a)
+        if len(a):
+            size = np.bincount(np.cumsum(head) - 1)[np.cumsum(head) - 1]
+            c[size > narrow] = MARK
+            keep = (size <= narrow) | head
+            a, c = a[keep], c[keep]
         return _emit(bucket_of(a, buckets), pack(a, c), "bucket", t.column("g")[0].as_py())
 
     return run
@@ -322,7 +332,10 @@ def _answer(wide: int) -> Callable[[pa.Table], pa.Table]:
         kind = np.full(n, -1)
         kind[~new_c] = WHOLE
         kind[new_c & several & (contexts > 1)] = SEND
-        kind[new_c & several & (contexts > wide)] = SEND_WINDOWS
+        many = np.logical_or.reduceat(c == MARK, begins)[run_a] | (contexts > wide)
+        kind[new_c & several & many] = SEND_WINDOWS
+        kind[(c == MARK) & several] = SEND_WINDOWS
+        kind[(c == MARK) & ~several] = -1
         out = []
         for k in (WHOLE, SEND, SEND_WINDOWS):
             which = np.flatnonzero(kind == k)
@@ -385,6 +398,12 @@ def _send(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             hit, key = _find(group, a[mine], c[mine])
             first = np.unique(key, return_index=True)[1]
             hit = hit[first]
+            marked = a[mine][c[mine] == MARK]
+            if len(marked):  # every context of these
+                every = np.flatnonzero(np.isin(group.anchor, marked))
+                order = np.lexsort((group.context[every], group.anchor[every]))
+                every = every[order]
+                hit = np.append(hit, every[changes(group.anchor[every]) | changes(group.context[every])])
             if not len(hit):
                 continue
             rows, anchor, context = group.rows(hit), group.anchor[hit], group.context[hit]
@@ -497,42 +516,51 @@ def _finish(make: Callable[[pa.Table, list[bytes], np.ndarray, Group, np.ndarray
     return run
 
 
-def _solve(docs: DataFrame, cols: list[str], make: Callable, schema: str, group_bytes: float, wide: int) -> DataFrame:
+def _bounds(docs: DataFrame, group_bytes: float) -> tuple[np.ndarray, int]:
+    """The first ids of all groups but the first, ascending, and the bytes of all texts.
+
+    Ids are sorted range by range, as narrow rows, and a group ends where its bytes are full; an id's rows stay together.
+    """
+    ids = write_out(docs.groupBy("id").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")), "sizes")
+    total = ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    group_bytes = max(group_bytes, total / MOST_GROUPS)
+    groups = -(-total // group_bytes)
+    if groups <= 1:
+        return np.zeros(0, np.int64), total
+    ranges = int(min(MOST_RANGES, -(-groups // RANGE)))
+    edges = sorted(set(ids.select(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or [])) if ranges > 1 else []
+    of = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col("id"))) if edges else F.lit(0)
+    part = F.floor((F.sum("n").over(Window.partitionBy("r").orderBy("id")) - F.col("n")) / F.lit(float(group_bytes)))
+    firsts = ids.withColumn("r", of).withColumn("part", part).groupBy("r", "part").agg(F.min("id").alias("first"))
+    return np.sort(np.array([x.first for x in firsts.select("first").collect()], np.int64))[1:], total
+
+
+def _solve(docs: DataFrame, cols: list[str], make: Callable, schema: str, group_bytes: float, wide: int, narrow: int) -> DataFrame:
     """docs has id (never null), text and cols; make builds the result of one group."""
-    known = F.when(F.col("id") != NULL_ID, F.col("id"))
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.min(known), F.max(known)).first()
-    groups = max(1, int(-(-size[0] // group_bytes)))
-    ranges = min(groups, RANGES)
-    bounds = sorted(set(docs.select(F.percentile_approx(known, [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or [])) if ranges > 1 else []
-    each = -(-groups // ranges)
-    # ranges of equal counts, then equal parts of each: a group's number grows with doc_id, null ids are in the first
-    edges = F.array(*[F.lit(int(b)) for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    r = F.size(F.filter(edges, lambda b: b <= F.col("id")))
-    if each > 1 and size[1] is not None:
-        # the difference of two ids may pass 2**63
-        wide_id = lambda b: F.lit(Decimal(b)).cast("decimal(20,0)")
-        lows, highs = F.array(*[wide_id(b) for b in [size[1], *bounds]]), F.array(*[wide_id(b) for b in [*bounds, size[2] + 1]])
-        low = F.get(lows, r)
-        # if the smallest id is a bound, the first range has null ids only
-        part = F.floor((known.cast("decimal(20,0)") - low) * each / F.nullif(F.get(highs, r) - low, F.lit(0))).cast("bigint")
-        g = r * each + F.least(F.greatest(F.coalesce(part, F.lit(0)), F.lit(0)), F.lit(each - 1))
-    else:
-        g = r
-    buckets = max(1, int(-(-size[0] * 0.075 // BUCKET)))
-    dealt = docs.select(g.cast("bigint").alias("g"), "id", "text", *cols)
-    said = dealt.groupBy("g").applyInArrow(_announce(buckets), "bucket bigint, g bigint, rows binary")
-    heard = said.groupBy("bucket").applyInArrow(_answer(wide), "g bigint, kind int, rows binary")
+    bounds, total = _bounds(docs, group_bytes)
+    shared = docs.sparkSession.sparkContext.broadcast(bounds)  # MOST_GROUPS ids at most
+
+    @F.arrow_udf("bigint")
+    def group_of(ids: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(shared.value, ids.to_numpy(zero_copy_only=False), side="right"), pa.int64())
+
+    buckets = max(1, int(-(-total * 0.075 // BUCKET)))
+    # the partitions of groups follow the bytes, whatever the session's shuffle partitions
+    parts = max(1, int(-(-total // PARTITION)))
+    dealt = docs.select((group_of("id") if len(bounds) else F.lit(0).cast("bigint")).alias("g"), "id", "text", *cols).repartition(parts, "g")
+    said = dealt.groupBy("g").applyInArrow(lean(_announce(buckets, narrow)), "bucket bigint, g bigint, rows binary")
+    heard = said.groupBy("bucket").applyInArrow(lean(_answer(wide)), "g bigint, kind int, rows binary")
     ask, have = heard.where(F.col("kind") != WHOLE), heard.where(F.col("kind") == WHOLE)
-    sent = dealt.groupBy("g").cogroup(ask.groupBy("g")).applyInArrow(_send(4 * buckets), "bucket bigint, g bigint, rows binary")
-    parts = sent.groupBy("bucket").applyInArrow(_compare, "g bigint, kind int, rows binary")
-    return dealt.groupBy("g").cogroup(have.unionByName(parts).groupBy("g")).applyInArrow(_finish(make), schema)
+    sent = dealt.groupBy("g").cogroup(ask.repartition(parts, "g").groupBy("g")).applyInArrow(lean(_send(4 * buckets)), "bucket bigint, g bigint, rows binary")
+    found = sent.groupBy("bucket").applyInArrow(lean(_compare), "g bigint, kind int, rows binary")
+    return dealt.groupBy("g").cogroup(have.unionByName(found).repartition(parts, "g").groupBy("g")).applyInArrow(lean(_finish(make)), schema)
 
 
 def _with_id(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).alias("id"), "text", *more)
 
 
-def digests(docs: DataFrame, group_bytes: float = GROUP, wide: int = WIDE) -> DataFrame:
+def digests(docs: DataFrame, group_bytes: float = GROUP, wide: int = WIDE, narrow: int = NARROW) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A byte goes if a 50-byte string over it also starts in a document of a smaller doc_id, judged on the input. Rows with
@@ -548,10 +576,10 @@ def digests(docs: DataFrame, group_bytes: float = GROUP, wide: int = WIDE) -> Da
         n_spans = (runs[group.offsets[1:]] - runs[group.offsets[:-1]]).astype(np.int64)
         return pa.table({"doc_id": left.column("doc_id"), "n_bytes": pa.array(np.diff(group.offsets)), "n_removed": pa.array(removed), "n_spans": pa.array(n_spans), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())})
 
-    return _solve(_with_id(docs, "doc_id"), ["doc_id"], make, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", group_bytes, wide)
+    return _solve(_with_id(docs, "doc_id"), ["doc_id"], make, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", group_bytes, wide, narrow)
 
 
-def dedup(docs: DataFrame, group_bytes: float = GROUP, wide: int = WIDE) -> DataFrame:
+def dedup(docs: DataFrame, group_bytes: float = GROUP, wide: int = WIDE, narrow: int = NARROW) -> DataFrame:
     """docs with the repeated bytes cut from text (and n_chars, if there, counted again), every row and column kept.
 
     Where a cut splits a character, its remaining bytes go too, so that the text stays valid UTF-8. A null text stays null.
@@ -569,7 +597,7 @@ def dedup(docs: DataFrame, group_bytes: float = GROUP, wide: int = WIDE) -> Data
         return pa.table({n: cols[n] for n in inner.values()})
 
     other = [F.col(c).alias(inner[c]) for c in docs.columns if c != "text"]
-    narrow = docs.select(F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).alias("id"), "text", *other)
+    own = docs.select(F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).alias("id"), "text", *other)
     schema = ", ".join(f"{inner[f.name]} {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = _solve(narrow, [n for c, n in inner.items() if c != "text"], make, schema, group_bytes, wide)
+    out = _solve(own, [n for c, n in inner.items() if c != "text"], make, schema, group_bytes, wide, narrow)
     return out.select(*[F.col(inner[c]).alias(c) for c in docs.columns])
