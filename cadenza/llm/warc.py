@@ -1,9 +1,10 @@
 """WARC archives in Zstandard: writing through Spark's own writer, and reading frame by frame.
 
 A file is a leading skippable frame (magic 0x184D2A5D) that holds the dictionary, then one Zstandard frame per record.
-Spark's text writer lays the files down on whatever store the path names, under its commit protocol, so a task that runs
-twice leaves one file. It ends each row with a newline; every row therefore ends in the header of a one-byte skippable
-frame, of which that newline is the content, and the file is a plain sequence of frames that any reader can walk.
+Files are of bounded size: a task starts another when one is full. Spark's text writer lays them down, one row a file, on
+whatever store the path names, under its commit protocol, so a task that runs twice leaves one set of files and a job that
+fails leaves none. It ends each row with a newline; every file therefore ends in the header of a one-byte skippable frame,
+of which that newline is the content, and is a plain sequence of frames that any reader can walk.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import shared_dir
+from cadenza.llm.common import cut, goes_at_exit, shared_dir
 
 # Fixed values of the formats.
 FRAME = 0xFD2FB528
@@ -31,8 +32,10 @@ REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:page:"
 
-#: The dictionary is trained on at most this many pages, of each at most this many characters.
-SAMPLE_PAGES, SAMPLE_CHARS, DICTIONARY_BYTES = 200, 20_000, 32_768
+#: The dictionary is trained on at most this many pages, none of more than so many bytes.
+SAMPLE_PAGES, SAMPLE_PAGE_BYTES, DICTIONARY_BYTES = 200, 20_000, 32_768
+#: An archive is closed when it has so many bytes; it is longer by its last record at most.
+ARCHIVE_BYTES = 16_000_000
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -142,56 +145,58 @@ def records(content: bytes) -> Iterator[bytes]:
 
 
 def dictionary(pages: DataFrame, html_col: str = "html") -> bytes:
-    """A dictionary from a bounded sample of pages; the pages themselves where there are too few to train on."""
-    sample = [r[0].encode() for r in pages.select(F.substring(html_col, 1, SAMPLE_CHARS).alias("h")).where("length(h) > 0").limit(SAMPLE_PAGES).collect()]
+    """A dictionary from the same bounded sample of pages each time; the pages themselves where too few to train on."""
+    short = pages.select(F.col(html_col).alias("h")).where(F.octet_length("h").between(1, SAMPLE_PAGE_BYTES))
+    sample = [r.h.encode() for r in short.orderBy(F.xxhash64("h"), "h").limit(SAMPLE_PAGES).collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, sample).as_bytes()
     except zstandard.ZstdError:
         return b"".join(sample)[:DICTIONARY_BYTES]
 
 
-def write_archives(pages: DataFrame, at: str | None = None, level: int = 3) -> str:
+def write_archives(pages: DataFrame, at: str | None = None, level: int = 3, archive_bytes: int = ARCHIVE_BYTES) -> str:
     """Write a record per row of pages (page_id, url, html) below `at`; returns that folder.
 
     Of rows with equal payloads (null html: empty) the largest page_id is a response and the others are revisits of it.
     The response of each payload comes from one grouped maximum on the digest, combined before the shuffle; joining it
-    back is a plain equi-join whose hot digests adaptive execution splits, and each task of that join writes one archive.
+    back is a plain equi-join whose hot digests adaptive execution splits, and each task of that join writes its archives,
+    of about `archive_bytes` each. Files have the names that Spark gives them, part-*.
     """
     spark = pages.sparkSession
-    at = at or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    if at is None:
+        at = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+        goes_at_exit(spark, at)
     own = pages.select(F.col("page_id").alias("page_id"), F.col("url").alias("url"), F.coalesce("html", F.lit("")).alias("html")).withColumn("sha", F.sha1("html"))
     first = own.groupBy("sha").agg(F.max("page_id").alias("response"))
     words = dictionary(pages)
+    archive = lambda frames: pa.RecordBatch.from_arrays([pa.array([b"".join([skippable(DICTIONARY, words), *frames, NEWLINE_FRAME])], pa.binary())], ["value"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         params = zstandard.ZstdCompressionParameters.from_level(level, write_checksum=1, write_content_size=1)
         writer = zstandard.ZstdCompressor(compression_params=params, dict_data=zstandard.ZstdCompressionDict(words) if words else None)
-        lead = [skippable(DICTIONARY, words)]
-        for b in batches:
-            out = lead if b.num_rows else []
+        frames: list[bytes] = []
+        size = 0
+        for b in cut(batches):
             for page, url, html, sha, response in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 digest = base64.b32encode(bytes.fromhex(sha)).decode()
-                out.append(writer.compress(record(page, url, html.encode(), digest, None if page == response or response is None else response)))
-            lead = lead if not b.num_rows else []
-            yield pa.RecordBatch.from_arrays([pa.array([x + NEWLINE_FRAME for x in out], pa.binary())], ["value"])
+                frames.append(writer.compress(record(page, url, html.encode(), digest, None if page == response or response is None else response)))
+                size += len(frames[-1])
+                if size >= archive_bytes:
+                    yield archive(frames)
+                    frames, size = [], 0
+        if frames:
+            yield archive(frames)
 
     joined = own.join(first, "sha").select("page_id", "url", "html", "sha", "response")
-    joined.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("compression", "none").text(at)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(at).getFileSystem(spark._jsc.hadoopConfiguration())
-    for f in fs.listStatus(path(at)):
-        if f.getPath().getName().startswith("part-"):
-            if f.getLen():
-                fs.rename(f.getPath(), path(at, f.getPath().getName().removesuffix(".txt") + ".warc.zst"))
-            else:
-                fs.delete(f.getPath(), False)
+    files = joined.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    files.write.option("compression", "none").option("maxRecordsPerFile", 1).text(at)
     return at
 
 
 def read_archives(spark: SparkSession, at: str, payload: bool = True) -> DataFrame:
     """The records below `at`: page_id, url, payload (of responses), payload_bytes, payload_digest, record_type, refers_to.
 
-    A damaged archive fails the read, naming the file.
+    Archives are the files part-* and *.warc.zst, each read whole. A damaged archive fails the read, naming the file.
     """
     fields = [("page_id", "bigint", pa.int64()), ("url", "string", pa.string())] + [("payload", "binary", pa.binary())] * payload + [("payload_bytes", "bigint", pa.int64()), ("payload_digest", "string", pa.string()), ("record_type", "string", pa.string()), ("refers_to", "bigint", pa.int64())]
 
@@ -211,7 +216,7 @@ def read_archives(spark: SparkSession, at: str, payload: bool = True) -> DataFra
                     raise ValueError(f"{name}: {e}") from e
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, _, t in fields], [n for n, _, _ in fields])
 
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", "*.warc.zst").load(at)
+    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", "{part-*,*.warc.zst}").load(at)
     return files.select("path", "content").mapInArrow(run, ", ".join(f"{n} {t}" for n, t, _ in fields))
 
 
