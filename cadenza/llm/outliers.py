@@ -1,31 +1,41 @@
 """Quality rules: base counts per text, and robust multivariate outliers by minimum covariance determinant.
 
-One pass over the texts leaves a narrow table of counts. Everything after it is DataFrame work on that table: for each
-language and source the estimate starts at medians and median deviations, and each concentration step takes the distance
-under which the h share of the documents lie and the mean and covariance of those, both grouped aggregates that combine
-before the shuffle. A source may hold any share of the rows: no group is ever gathered in a task.
+One pass over the texts leaves a narrow table of counts. Everything after it is DataFrame work on that table. For each
+language and source several estimates start: at medians and median deviations, at the moments of all texts, and at those
+of texts drawn by a hash. A concentration step takes the distance under which the h share of the documents lie and the
+mean and covariance of those, both grouped aggregates that combine before the shuffle, and never raises the determinant.
+After two steps the two starts of least determinant go on until theirs no longer falls, and the lesser one is the estimate.
+A source may hold any share of the rows: no group is ever gathered in a task.
+
+Covariances are regularised: a fixed diagonal is added, more of it in small groups, so that the determinant is never zero.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from cadenza.llm.common import utf8_lists, write_out
+from cadenza.functions.dist import chi2_cdf, chi2_quantile
+from cadenza.llm.common import drop_out, pieces, utf8_lists, write_out
 from cadenza.llm.words import blocks, shingles, word_hashes
 
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: Share of a group that the estimate concentrates on, steps, and the least group; smaller ones pool by language.
-SHARE, STEPS, LEAST = 0.75, 4, 50
+#: Share of a group that the estimate concentrates on, most steps, fall of the logarithm of the determinant that ends them.
+SHARE, STEPS, TOLERANCE = 0.75, 40, 1e-3
+#: A language and source with fewer texts is judged by the estimate of its language, one of fewer still by all texts'.
+LEAST = 50
 #: Squared distance beyond which a text is rejected. Of five-dimensional normal vectors one in 10**11 lies beyond 60.
 CUTOFF = 60.0
+#: Starts by the moments of one text in ten, drawn by a hash.
+DRAWS = 2
 #: Least standard deviation of each transformed statistic: most texts have no symbol or repeat at all, and a covariance
 #: of zeros would reject the first one that has.
 FLOOR = {"f_words": 0.3, "f_length": 0.06, "f_symbols": 0.12, "f_lines": 0.3, "f_repeats": 0.3}
@@ -70,12 +80,11 @@ def count_table(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the counts, a row per row of docs."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            c = counts(b.column(3))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2)] + [pa.array(c[x]) for x in names], ["doc_id", "lang", "source", *names])
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        c = counts(b.column(3))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2)] + [pa.array(c[x]) for x in names], ["doc_id", "lang", "source", *names])
 
-    return docs.select(F.col("doc_id"), F.col("lang"), F.col("source"), F.col("text")).mapInArrow(run, "doc_id bigint, lang string, source string, " + ", ".join(f"{x} bigint" for x in names))
+    return docs.select("doc_id", F.col("lang").cast("string"), F.col("source").cast("string"), "text").mapInArrow(pieces(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, source string, " + ", ".join(f"{x} bigint" for x in names))
 
 
 def transformed(t: DataFrame) -> DataFrame:
@@ -90,19 +99,30 @@ def transformed(t: DataFrame) -> DataFrame:
     })
 
 
-def _inverses(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Centre and inverse covariance of each row's moments; the share taken makes the covariance too small by a factor."""
-    p = len(FEATURES)
-    n = pdf["n"].to_numpy(float)
-    mean = np.stack([pdf[f"s_{x}"].to_numpy(float) / n for x in FEATURES], 1)
-    cov = np.empty((len(pdf), p, p))
-    for i, x in enumerate(FEATURES):
-        for j, y in enumerate(FEATURES[: i + 1]):
-            cov[:, i, j] = cov[:, j, i] = pdf[f"s_{x}_{y}"].to_numpy(float) / n - mean[:, i] * mean[:, j]
-    inv = np.linalg.inv(cov * 1.6 + np.diag(np.array(list(FLOOR.values())) ** 2))
-    out = {f"m_{x}": mean[:, i] for i, x in enumerate(FEATURES)}
-    out |= {f"i_{x}_{y}": inv[:, i, j] for i, x in enumerate(FEATURES) for j, y in enumerate(FEATURES[: i + 1])}
-    return pd.DataFrame({"grp": pdf["grp"], **out})
+def consistency(share: float, p: int) -> float:
+    """What the covariance of the inner share of a normal vector must be multiplied by to be that of all."""
+    return float(share / chi2_cdf(chi2_quantile(share, p), p + 2))
+
+
+def _estimates(factor: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Centre, inverse covariance and log-determinant of each row's moments."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = len(FEATURES)
+        for pdf in parts:
+            n = pdf["n"].to_numpy(float)
+            mean = np.stack([pdf[f"s_{x}"].to_numpy(float) / n for x in FEATURES], 1)
+            cov = np.empty((len(pdf), p, p))
+            for i, x in enumerate(FEATURES):
+                for j, y in enumerate(FEATURES[: i + 1]):
+                    cov[:, i, j] = cov[:, j, i] = pdf[f"s_{x}_{y}"].to_numpy(float) / n - mean[:, i] * mean[:, j]
+            cov = cov * factor + np.diag(np.array(list(FLOOR.values())) ** 2) * (1 + LEAST / n)[:, None, None]
+            inv = np.linalg.inv(cov)
+            out = {f"m_{x}": mean[:, i] for i, x in enumerate(FEATURES)}
+            out |= {f"i_{x}_{y}": inv[:, i, j] for i, x in enumerate(FEATURES) for j, y in enumerate(FEATURES[: i + 1])}
+            yield pd.DataFrame({"grp": pdf["grp"], "start": pdf["start"], "det": np.linalg.slogdet(cov)[1], "was": pdf["was"], **out})
+
+    return run
 
 
 PARAMS = [f"m_{x}" for x in FEATURES] + [f"i_{x}_{y}" for i, x in enumerate(FEATURES) for y in FEATURES[: i + 1]]
@@ -117,33 +137,71 @@ def distance() -> Column:
     return total
 
 
-def screen(docs: DataFrame, share: float = SHARE, steps: int = STEPS, least: int = LEAST, cutoff: float = CUTOFF) -> DataFrame:
+def _moments() -> list[Column]:
+    """Sums from which _estimates() works."""
+    pairs = [(x, y) for i, x in enumerate(FEATURES) for y in FEATURES[: i + 1]]
+    return [F.count("*").alias("n"), *[F.sum(x).alias(f"s_{x}") for x in FEATURES], *[F.sum(F.col(x) * F.col(y)).alias(f"s_{x}_{y}") for x, y in pairs]]
+
+
+def mcd(rows: DataFrame, groups: int, share: float = SHARE, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
+    """(grp, start, det, PARAMS): the minimum-covariance-determinant estimate of each grp of rows (grp, pick, FEATURES).
+
+    pick: any hash of a row; groups: how many groups there are, about. Parameters are written each step; Spark broadcasts
+    them where they are below its threshold.
+    """
+    schema = "grp string, start int, det double, was double, " + ", ".join(f"{x} double" for x in PARAMS)
+    most = 300 * groups
+    factor = consistency(share, len(FEATURES))
+    of = lambda f: f.mapInPandas(_estimates(factor), schema)
+    med = write_out(rows.groupBy("grp").agg(*[F.percentile_approx(x, 0.5, 10_000).alias(f"m_{x}") for x in FEATURES]), "mcd", most)
+    mad = rows.join(med, "grp").groupBy("grp").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{x}")), 0.5, 10_000).alias(f"d_{x}") for x in FEATURES])
+    variance = {x: F.pow(1.4826 * F.col(f"d_{x}"), 2) + FLOOR[x] ** 2 for x in FEATURES}
+    robust = med.join(mad, "grp").select("grp", F.lit(0).alias("start"), sum(map(F.log, variance.values()), F.lit(0.0)).alias("det"), F.lit(np.inf).alias("was"), *[f"m_{x}" for x in FEATURES], *[(1 / variance[x] if x == y else F.lit(0.0)).alias(f"i_{x}_{y}") for i, x in enumerate(FEATURES) for y in FEATURES[: i + 1]])
+    # start 1: all rows; further ones: a tenth each
+    draw = F.pmod("pick", F.lit(10))
+    starts = F.array_compact(F.array(F.lit(1), *[F.when(draw == k, F.lit(k + 2)) for k in range(DRAWS)]))
+    other = of(rows.withColumn("start", F.explode(starts)).groupBy("grp", "start").agg(*_moments(), F.lit(np.inf).alias("was")))
+    params = write_out(robust.unionByName(other), "mcd", most)
+    drop_out(med)
+    for step in range(steps):
+        d = rows.join(params, "grp").select("grp", "start", "det", *FEATURES, distance().alias("d"))
+        q = d.groupBy("grp", "start").agg(F.percentile_approx("d", share, 10_000).alias("q"))
+        near = rows.join(params.join(q, ["grp", "start"]), "grp").where(distance() <= F.col("q"))
+        new = of(near.groupBy("grp", "start").agg(*_moments(), F.first("det").alias("was")))
+        if step == 1:
+            new = new.withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy("det", "start"))).where("place <= 2").drop("place")
+        new = write_out(new, "mcd", most)
+        drop_out(params)
+        params = new
+        if step > 1 and not params.where(F.col("was") - F.col("det") > tolerance).limit(1).count():
+            break
+    best = params.withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy("det", "start"))).where("place = 1").drop("place", "was")
+    return write_out(best, "mcd", most)
+
+
+def screen(docs: DataFrame, share: float = SHARE, least: int = LEAST, cutoff: float = CUTOFF) -> DataFrame:
     """Per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance.
 
-    Estimates use every text that passes the base rules. A (lang, source) with fewer than `least` such texts is judged
-    with the other small sources of its language, and is kept if those are too few as well. Null languages and sources
-    are values of their own. A null text has no words and fails the base rules. Other columns of docs are ignored.
+    Estimates use every text that passes the base rules. A (lang, source) with fewer than `least` such texts is judged by
+    the estimate of all texts of its language, and if those are fewer than `least` too, by that of the whole corpus,
+    however few its texts are. Null languages and sources are values of their own. A null text has no words and fails the
+    base rules. Other columns of docs are ignored.
     """
-    own = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("null"))
-    t = write_out(transformed(count_table(docs)), "counts")
-    t = t.withColumns({"lang_key": own("lang"), "fine": F.concat_ws("\x1f", own("lang"), own("source"))})
+    own = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
+    t = write_out(transformed(count_table(docs)).withColumns({"lang_key": own("lang"), "fine": F.concat_ws("\x1f", own("lang"), own("source"))}), "counts")
     sizes = t.where("not base_failed").groupBy("lang_key", "fine").count()
-    groups = sizes.select("fine", F.when(F.col("count") >= least, F.col("fine")).otherwise(F.concat("lang_key", F.lit("\x1e"))).alias("grp"), "count")
-    pooled = groups.groupBy("grp").agg(F.sum("count").alias("size"))
-    of = write_out(groups.join(pooled.where(F.col("size") >= least), "grp").select("fine", "grp"), "groups")
-    t = t.join(of, "fine", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "grp", *FEATURES)
-    fit = t.where("not base_failed and grp is not null")
-    med = fit.groupBy("grp").agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"m_{x}") for x in FEATURES])
-    mad = fit.join(med, "grp").groupBy("grp").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{x}")), 0.5, 1000).alias(f"d_{x}") for x in FEATURES])
-    start = med.join(mad, "grp").select("grp", *[f"m_{x}" for x in FEATURES], *[(1 / (F.pow(1.4826 * F.col(f"d_{x}"), 2) + FLOOR[x] ** 2) if x == y else F.lit(0.0)).alias(f"i_{x}_{y}") for i, x in enumerate(FEATURES) for y in FEATURES[: i + 1]])
-    params = write_out(start, "mcd")
-    schema = "grp string, " + ", ".join(f"{x} double" for x in PARAMS)
-    for _ in range(steps):
-        d = fit.join(params, "grp").select("grp", *FEATURES, distance().alias("d"))
-        q = d.groupBy("grp").agg(F.percentile_approx("d", share, 1000).alias("q"))
-        near = fit.join(params.join(q, "grp"), "grp").where(distance() <= F.col("q"))
-        moments = near.groupBy("grp").agg(F.count("*").alias("n"), *[F.sum(x).alias(f"s_{x}") for x in FEATURES], *[F.sum(F.col(x) * F.col(y)).alias(f"s_{x}_{y}") for i, x in enumerate(FEATURES) for y in FEATURES[: i + 1]])
-        params = write_out(moments.mapInPandas(lambda it: map(_inverses, it), schema), "mcd")
-    d = F.when(F.col("m_f_words").isNotNull(), distance())
-    out = t.join(params, "grp", "left").withColumn("distance", d)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).alias("kept"), "distance")
+    of_lang = sizes.groupBy("lang_key").agg(F.sum("count").alias("in_lang"))
+    # every (lang, source) of the table, those without a text that passes too
+    every = t.groupBy("lang_key", "fine").count().select("lang_key", "fine").join(sizes.select("fine", "count"), "fine", "left").join(of_lang, "lang_key", "left")
+    grp = F.when(F.col("count") >= least, F.col("fine")).when(F.col("in_lang") >= least, F.concat("lang_key", F.lit("\x1e"))).otherwise(F.lit("\x1d"))
+    groups = t.agg(F.approx_count_distinct("fine")).first()[0]
+    of = write_out(every.select("lang_key", "fine", grp.alias("grp")), "groups", 100 * groups)
+    wide = of.where(F.col("grp") != F.col("fine")).select("grp").distinct()
+    langs = [F.concat("lang_key", F.lit("\x1e")), F.lit("\x1d")]
+    # a text belongs to its own group, and to its language's and the corpus's if some group is judged by those
+    belongs = of.where(F.col("grp") == F.col("fine")).select("fine", "grp").unionByName(of.select("fine", F.explode(F.array(*langs)).alias("grp")).join(wide, "grp").select("fine", "grp"))
+    belongs = write_out(belongs, "belongs", 300 * groups)
+    rows = t.where("not base_failed").select("fine", *FEATURES, F.xxhash64("doc_id", *FEATURES).alias("pick")).join(belongs, "fine").select("grp", "pick", *FEATURES)
+    params = mcd(rows, 3 * groups, share)
+    out = t.join(of.select("fine", "grp"), "fine", "left").join(params.drop("start", "det"), "grp", "left").withColumn("distance", distance())
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("distance") <= cutoff)).alias("kept"), "distance")
