@@ -23,6 +23,9 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+
+from cadenza.llm.common import held, pieces
 
 NONE = np.int32(2**31 - 1)
 #: A space between two whitespace characters joins its neighbours in one match; other spaces start a match of their own.
@@ -214,43 +217,43 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
 
 
-_encoders: dict[tuple[bytes, str], MergeReplay] = {}
-
-
 def encoder(data: bytes, pattern: str) -> MergeReplay:
     """One encoder per worker process and rank file."""
-    key = (hashlib.sha256(data).digest(), pattern)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = MergeReplay(read_ranks(data), pattern)
-    return _encoders[key]
+    return held(("bpe", hashlib.sha256(data).digest(), pattern), lambda: MergeReplay(read_ranks(data), pattern))
 
 
 def _mapped(df: DataFrame, ranks_path: str, pattern: str, col: str, fields: list[tuple[str, str, pa.DataType]], make) -> DataFrame:
     with open(ranks_path, "rb") as f:
         data = df.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file, under a megabyte whatever the corpus
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         enc = encoder(data.value, pattern)
         gc.disable()  # hundreds of thousands of short lists a batch, none of them cyclic
         try:
-            for b in batches:
-                vals = make(enc, b.column(b.schema.get_field_index(col)))
-                yield pa.RecordBatch.from_arrays([b.column(i) for i, n in enumerate(b.schema.names) if n != col] + [pa.array(v, t) for v, (_, _, t) in zip(vals, fields, strict=True)], [n for n in b.schema.names if n != col] + [n for n, _, _ in fields])
+            vals = make(enc, b.column(at))
         finally:
             gc.enable()
+        yield pa.RecordBatch.from_arrays([b.column(i) for i in range(b.num_columns) if i != at] + [pa.array(v, t) for v, (_, _, t) in zip(vals, fields, strict=True)], names)
 
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != col]
-    return df.mapInArrow(run, ", ".join(kept + [f"`{n}` {t}" for n, t, _ in fields]))
+    new = {n.lower() for n, _, _ in fields} - {col.lower()}
+    df = df.select(*[f"`{c.replace('`', '``')}`" for c in df.columns if c.lower() not in new])
+    at = df.columns.index(col)
+    kept = [f for f in df.schema.fields if f.name != col]
+    names = [f.name for f in kept] + [n for n, _, _ in fields]
+    schema = StructType([*kept, *[StructField(n, _parse_datatype_string(t)) for n, t, _ in fields]])
+    return df.mapInArrow(pieces(run, holds=True), schema)
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """df with text_col replaced by its ids (array<int>; null and empty texts: an empty array)."""
+    """df with text_col replaced by its ids (array<int>; null and empty texts: an empty array).
+
+    A column that df has by the name of ids_col is replaced too; all others pass through.
+    """
     return _mapped(df, ranks_path, pattern, text_col, [(ids_col, "array<int>", pa.list_(pa.int32()))], lambda e, ts: [[np.frombuffer(x, "<i4") for x in e.encode(ts)]])
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "bytes") -> DataFrame:
-    """df with ids_col replaced by the bytes its ids stand for (null: empty)."""
+    """df with ids_col replaced by the bytes its ids stand for (null: empty); a column named bytes_col is replaced too."""
     return _mapped(df, ranks_path, pattern, ids_col, [(bytes_col, "binary", pa.binary())], lambda e, xs: [[b"".join(map(e.tokens.__getitem__, x or ())) for x in xs.to_pylist()]])
 
 
@@ -270,11 +273,14 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 
 def tokens(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """docs with text replaced by ids, n_tokens and decoded_sha256 (of the ids decoded again); other columns pass through."""
+    """docs with text replaced by ids, n_tokens and decoded_sha256 (of the ids decoded again).
+
+    Columns of docs by these three names are replaced too; all others pass through.
+    """
 
     def make(e: MergeReplay, texts: pa.Array):
         packed = e.encode(texts)
         return [np.frombuffer(p, "<i4") for p in packed], [len(p) // 4 for p in packed], [hashlib.sha256(e.decode(p)).hexdigest() for p in packed]
 
     fields = [("ids", "array<int>", pa.list_(pa.int32())), ("n_tokens", "bigint", pa.int64()), ("decoded_sha256", "string", pa.string())]
-    return _mapped(docs.drop(*[n for n, _, _ in fields]), ranks_path, pattern, "text", fields, make)
+    return _mapped(docs, ranks_path, pattern, "text", fields, make)

@@ -17,11 +17,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StructField, StructType
 
-#: Edits allowed, as a share of the item's length, and the least length of a piece (which may lower the number of edits).
-ERROR_RATE, PIECE = 0.10, 9
-#: Items with fewer characters than this say too little to mark a document by; they must match exactly, as words.
-SHORT = 20
+from cadenza.llm.common import held, pieces
+
+#: Edits allowed, as a share of the item's length, rounded down.
+ERROR_RATE = 0.10
 #: Items held at once by the automaton; more are taken block by block, each block a pass over the documents.
 BLOCK = 20_000
 #: Length of the short runs by which a place is screened before the bit vectors run.
@@ -71,14 +73,14 @@ def myers(item: Item, text: str, limit: int) -> tuple[int, int]:
 class Matcher:
     """Pieces of a block of items, ready for texts."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float = ERROR_RATE, piece: int = PIECE, short: int = SHORT):
+    def __init__(self, items: list[tuple[int, str]], error_rate: float = ERROR_RATE):
         self.items: list[Item] = []
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for item_id, raw in items:
             t = normal(raw or "")
             if not t:
                 continue
-            e = 0 if len(t) < short else max(0, min(int(len(t) * error_rate), len(t) // piece - 1))
+            e = int(len(t) * error_rate + 1e-9)
             masks: dict[str, int] = defaultdict(int)
             for i, c in enumerate(t):
                 masks[c] |= 1 << i
@@ -86,7 +88,6 @@ class Matcher:
             cut = [len(t) * k // (e + 1) for k in range(e + 2)]
             for a, b in zip(cut, cut[1:], strict=False):
                 places[t[a:b]].append((len(self.items) - 1, a))
-        self.short = short
         self.automaton = ahocorasick.Automaton()
         for p, where in places.items():
             self.automaton.add_word(p, (len(p), where))
@@ -94,8 +95,8 @@ class Matcher:
             self.automaton.make_automaton()
         self.empty = not places
 
-    def find(self, text: str | None) -> list[tuple[int, int]]:
-        """(item_id, distance) of each item that stands in the text within its budget."""
+    def find(self, text: str | None, any_one: bool = False) -> list[tuple[int, int]]:
+        """(item_id, distance) of each item that stands in the text within its budget; any_one: of one at most."""
         if self.empty or not text:
             return []
         t = normal(text)
@@ -109,10 +110,7 @@ class Matcher:
             m, e = len(item.text), item.budget
             best = e + 1
             if e == 0:
-                exact = [s for s in starts if s >= 0 and t[s : s + m] == item.text]
-                if m < self.short:
-                    exact = [s for s in exact if not (s and t[s - 1].isalnum()) and not t[s + m : s + m + 1].isalnum()]
-                best = 0 if exact else 1
+                best = 0  # its one piece is the whole item
             else:
                 starts.sort()
                 done = -1
@@ -128,6 +126,8 @@ class Matcher:
                         break
             if best <= e:
                 out.append((item.item_id, best))
+                if any_one:
+                    break
         return out
 
     @staticmethod
@@ -140,14 +140,8 @@ class Matcher:
         return sum([get(g, 0) for g in {window[k : k + Q] for k in range(len(window) - Q + 1)}]) >= need
 
 
-_matchers: dict[tuple, Matcher] = {}
-
-
-def matcher(key: str, items: list[tuple[int, str]], *args) -> Matcher:
-    if (key, *args) not in _matchers:
-        _matchers.clear()
-        _matchers[(key, *args)] = Matcher(items, *args)
-    return _matchers[(key, *args)]
+def matcher(key: str, items: list[tuple[int, str]], error_rate: float) -> Matcher:
+    return held(("decontam", key), lambda: Matcher(items, error_rate))
 
 
 def _blocks(items: DataFrame, block: int) -> Iterator[list[tuple[int, str]]]:
@@ -161,43 +155,45 @@ def _blocks(items: DataFrame, block: int) -> Iterator[list[tuple[int, str]]]:
         yield rows
 
 
-def hits(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, piece: int = PIECE, block: int = BLOCK) -> DataFrame:
+def hits(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, distance) for each item that a document holds within its edit budget.
 
-    Texts and items are compared in lower case with white space made single spaces. Null and empty texts and items match
-    nothing; repeated rows give repeated hits, once for each row of docs. Other columns are ignored. The items are a
-    stated query set: they are read in blocks of `block` rows, each broadcast and matched against all documents.
+    The budget of an item of L characters is floor(error_rate * L) edits, whatever L is; an item shorter than 1/error_rate
+    must stand in the text as it is. Texts and items are compared in lower case with white space made single spaces. Null
+    and empty texts and items match nothing; repeated rows give repeated hits, once for each row of docs. Other columns
+    are ignored. The items are a stated query set: they are read in blocks of `block` rows, each broadcast and matched
+    against all documents.
     """
     narrow = docs.select("doc_id", "text")
+    kinds = docs.schema["doc_id"].dataType, items.schema["item_id"].dataType
+    schema = StructType([StructField("doc_id", kinds[0]), StructField("item_id", kinds[1]), StructField("distance", LongType())])
     out = None
     for rows in _blocks(items, block):
         shared, key = docs.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
-            m = matcher(key, shared.value, error_rate, piece)
-            for b in batches:
-                got = [(d, i, e) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, e in m.find(t)]
-                yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in range(3)], ["doc_id", "item_id", "distance"])
+        def run(b: pa.RecordBatch, shared=shared, key=key) -> Iterator[pa.RecordBatch]:
+            m = matcher(key, shared.value, error_rate)
+            got = [(k, i, e) for k, t in enumerate(b.column(1).to_pylist()) for i, e in m.find(t)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([g[0] for g in got], pa.int64())), pa.array([g[1] for g in got], to_arrow_type(kinds[1])), pa.array([g[2] for g in got], pa.int64())], ["doc_id", "item_id", "distance"])
 
-        part = narrow.mapInArrow(run, "doc_id bigint, item_id bigint, distance bigint")
+        part = narrow.mapInArrow(pieces(run, holds=True), schema)
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, distance bigint")
+    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def clean(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, piece: int = PIECE, block: int = BLOCK) -> DataFrame:
-    """The documents that hold no item, with their own columns."""
+def clean(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, block: int = BLOCK) -> DataFrame:
+    """The documents that hold no item (as in hits), with their own columns."""
     names = docs.columns
     out = docs
     for rows in _blocks(items, block):
         shared, key = docs.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
-            m = matcher(key, shared.value, error_rate, piece)
-            for b in batches:
-                ok = np.array([not m.find(t) for t in b.column(names.index("text")).to_pylist()], bool)
-                yield b.filter(pa.array(ok))
+        def run(b: pa.RecordBatch, shared=shared, key=key) -> Iterator[pa.RecordBatch]:
+            m = matcher(key, shared.value, error_rate)
+            ok = np.array([not m.find(t, True) for t in b.column(names.index("text")).to_pylist()], bool)
+            yield b.filter(pa.array(ok))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(pieces(run, holds=True), docs.schema)
     return out
 
 

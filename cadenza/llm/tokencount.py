@@ -24,6 +24,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from cadenza.llm.common import held, pieces
+
 from cadenza.llm.subword import sums
 
 MARK = "▁"
@@ -122,15 +124,8 @@ class Counter:
         return total
 
 
-_counters: dict[bytes, Counter] = {}
-
-
 def counter(model: bytes) -> Counter:
-    key = hashlib.sha256(model).digest()
-    if key not in _counters:
-        _counters.clear()
-        _counters[key] = Counter(read_pieces(model))
-    return _counters[key]
+    return held(("tokens", hashlib.sha256(model).digest()), lambda: Counter(read_pieces(model)))
 
 
 def token_counts(docs: DataFrame, model_path: str, to: str = "n_tokens") -> DataFrame:
@@ -138,9 +133,7 @@ def token_counts(docs: DataFrame, model_path: str, to: str = "n_tokens") -> Data
     with open(model_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file, half a megabyte whatever the corpus
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(shared.value)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c.texts(b.column(1)), pa.int64())], ["doc_id", to])
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counter(shared.value).texts(b.column(1)), pa.int64())], ["doc_id", to])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id bigint, {to} bigint")
+    return docs.select("doc_id", "text").mapInArrow(pieces(run, holds=True), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {to} bigint")

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cadenza.llm import bpe, common, decontam, jaccard, outliers, suffix_dedup, tokencount, warc
 
@@ -25,8 +26,6 @@ def odd_rows():
 def frame(spark, rows, extra=False):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     if extra:
-        from pyspark.sql import functions as F
-
         for c in ("lang", "source", "score", "n_tokens", "g", "id", "value", "rows", "component_id", "_y"):
             df = df.withColumn(c, F.lit("x"))
         df = df.withColumn("n_chars", F.length("text").cast("bigint"))
@@ -77,6 +76,14 @@ def test_bpe_query(spark, extra):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def test_bpe_replaces_columns_of_its_names(spark):
+    df = frame(spark, odd_rows(), True).selectExpr("*", "'mine' as ids", "1 as Decoded_SHA256")
+    out = bpe.tokens(df, RANKS, public_tokenizers.PATTERN)
+    assert [c.lower() for c in out.columns] == [c.lower() for c in df.columns if c.lower() not in ("text", "ids", "n_tokens", "decoded_sha256")] + ["ids", "n_tokens", "decoded_sha256"]
+    assert out.count() == len(odd_rows()) and bpe.encode(df, RANKS, public_tokenizers.PATTERN).columns.count("ids") == 1
+    assert bpe.digests(df.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
 def test_bpe_columns_round_trip(spark):
     df = frame(spark, odd_rows(), True)
     back = bpe.decode(bpe.encode(df, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN)
@@ -140,10 +147,11 @@ def repeated(seed):
     return rows
 
 
-@pytest.mark.parametrize(("group", "wide"), [(2e3, 20_000), (4e3, 2), (1e9, 20_000)])
-def test_suffix_dedup_equals_brute_force(spark, group, wide):
+@pytest.mark.parametrize(("group", "wide", "narrow"), [(2e3, 20_000, 20_000), (4e3, 2, 20_000), (1e9, 20_000, 20_000), (4e3, 20_000, 1), (9e3, 3, 2)])
+def test_suffix_dedup_equals_brute_force(spark, group, wide, narrow):
+    """Where an anchor counts as wide is a matter of cost: the rows are the same at any of these limits."""
     rows = repeated(5)
-    assert sorted(str(tuple(r)) for r in suffix_dedup.digests(frame(spark, rows), group, wide).collect()) == plain_cuts(rows)
+    assert sorted(str(tuple(r)) for r in suffix_dedup.digests(frame(spark, rows), group, wide, narrow).collect()) == plain_cuts(rows)
 
 
 def test_suffix_dedup_odd_rows(spark):
@@ -213,6 +221,49 @@ def test_jaccard_odd_rows(spark):
     assert jaccard.classes(frame(spark, [])).count() == 0
 
 
+def test_jaccard_of_null_and_repeated_ids(spark):
+    rng = random.Random(9)
+    words = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    a, b, c = words(60), words(70), words(50)
+    text = " ".join
+    rows = [(1, text(a)), (None, text(a + ["x", "y"])), (None, text(b)), (None, text([*b, "u"])), (5, text([*b, "u", "w"]))]
+    rows += [(7, text(c)), (7, text(b[:35])), (9, text([*b[:35], "k"])), (3, text([*c, "j"])), (7, text(c)), (None, text(words(40))), (None, None)]
+    got = sorted(str(tuple(r)) for r in jaccard.classes(frame(spark, rows, True)).collect())
+    assert got == plain_components(rows) and str((None, 58, 1)) in got and str((9, 32, 7)) in got
+    kept = [(r.doc_id, r.text) for r in jaccard.keep_first(frame(spark, rows, True)).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [rows[0], rows[4], rows[6], rows[8], rows[10], rows[11]]))
+
+
+def test_shingles_common_to_a_batch(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "COMMON", 3)
+    rows = near(11)
+    same = " ".join(f"s{i}" for i in range(40))
+    rows += [(3000 + i, f"{same} t{i} u{i}") for i in range(60)]
+    df = frame(spark, rows)
+    shared = {r.p40: r.shared for r in jaccard._shared(df, 3).collect()}
+    sets = jaccard.Sets(pa.array([t for _, t in rows], pa.string()))
+    p, _ = sets.prints()
+    h, d = sets.parts()
+    holders = {}
+    for x, i in zip((h >> np.uint64(16)).tolist(), d.tolist(), strict=True):
+        holders.setdefault(x, set()).add(int(p.view(np.uint64)[i] >> np.uint64(24)))
+    want = {}
+    for who in holders.values():
+        for c in who if len(who) > 1 else ():
+            want[c] = want.get(c, 0) + 1
+    assert all(shared.get(c, 0) >= n for c, n in want.items())  # never fewer, so nothing that links is dropped
+    assert sorted(str(tuple(r)) for r in jaccard.classes(df).collect()) == plain_components(rows)
+
+
+def test_merge_skip():
+    rng = random.Random(3)
+    for _ in range(200):
+        lists = [sorted(rng.sample(range(40), rng.randrange(20))) for _ in range(rng.randrange(1, 9))]
+        least = rng.randrange(1, 7)
+        want = [(d, n) for d in range(40) if (n := sum(d in x for x in lists)) >= least]
+        assert jaccard.merge_skip(lists, least) == want
+
+
 def test_divide_skip_equals_counting():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 400, rng.integers(1, 120)).astype(np.uint64)) for _ in range(150)]
@@ -252,6 +303,16 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(empty).count() == 0
 
 
+def test_warc_archives_are_bounded_and_repeatable(spark):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, "u", "".join(rng.choice("abcdefgh<>") for _ in range(4000))) for i in range(60)], "page_id bigint, url string, html string").coalesce(1)
+    assert warc.dictionary(df) == warc.dictionary(df.orderBy(F.desc("page_id")))
+    at = warc.write_archives(df, archive_bytes=20_000)
+    sizes = [r.length for r in spark.read.format("binaryFile").load(at).select("length").collect()]
+    assert len(sizes) > 3 and max(sizes) < 20_000 + 4000 + warc.DICTIONARY_BYTES
+    assert sorted(r.page_id for r in warc.read_archives(spark, at).collect()) == list(range(60))
+
+
 def test_warc_damage_is_found():
     import zstandard
 
@@ -308,8 +369,8 @@ def plain_distance(item, text):
 def test_decontamination_equals_brute_force(spark):
     rng = random.Random(8)
     item = lambda n: "".join(rng.choice("abcdefghij  ") for _ in range(n)).strip() + "z"
-    items = [(i, item(rng.randint(10, 120))) for i in range(12)] + [(50, None), (51, "")]
-    rows = []
+    items = [(i, item(rng.randint(10, 120))) for i in range(12)] + [(20, "abcdefghijzyx"), (21, "zyxw"), (22, "q" * 19), (50, None), (51, "")]
+    rows = [(100, "a bcdefghijzyx"), (101, "abcdefghijzy"), (102, "abcdefhijzy"), (103, "uzyxwu"), (104, "zyx"), (105, "q" * 18), (106, "Q" * 17), (107, "qq" + "q" * 7 + "x" + "q" * 9)]
     for d in range(60):
         t = list(decontam.normal(items[d % 12][1]))
         for _ in range(rng.randrange(14)):
@@ -321,12 +382,14 @@ def test_decontamination_equals_brute_force(spark):
     for d, t in rows:
         for it in m.items:
             e = plain_distance(it.text, decontam.normal(t))
-            if len(it.text) >= decontam.SHORT and e <= it.budget:
+            assert it.budget == len(it.text) // 10
+            if e <= it.budget:
                 want.add((d, it.item_id, e))
     bench = spark.createDataFrame(items, "item_id bigint, text string").selectExpr("*", "1 as doc_id")
-    got = {tuple(r) for r in decontam.hits(frame(spark, rows, True), bench, block=5).collect() if len(dict(items)[r.item_id]) >= decontam.SHORT}
+    got = {tuple(r) for r in decontam.hits(frame(spark, rows, True), bench, block=5).collect()}
     assert got == want and len(want) > 10
     bad = {d for d, _, _ in decontam.hits(frame(spark, rows), bench).collect()}
+    assert {100, 101, 103, 105, 107} <= bad and not {102, 104, 106} & bad
     assert {r.doc_id for r in decontam.clean(frame(spark, rows, True), bench).collect()} == {d for d, _ in rows} - bad
     assert decontam.hits(frame(spark, odd_rows()), bench.limit(0)).count() == 0 == decontam.report(frame(spark, []), bench).count()
 
@@ -356,6 +419,40 @@ def test_counts_equal_brute_force(spark):
     assert list(zip(*(c[k].tolist() for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), strict=True)) == [plain_counts(t) for t in texts]
 
 
+def plain_mcd(x, picks, share):
+    """The estimate of one group by the same starts, with exact subsets, in numpy."""
+    floor = np.diag(np.array(list(outliers.FLOOR.values())) ** 2)
+    c = outliers.consistency(share, x.shape[1])
+
+    def estimate(rows):
+        return rows.mean(0), np.cov(rows.T, bias=True) * c + floor * (1 + outliers.LEAST / len(rows))
+
+    med = np.median(x, 0)
+    starts = [(med, np.diag((1.4826 * np.median(abs(x - med), 0)) ** 2) + floor), estimate(x)]
+    starts += [estimate(x[picks % 10 == k]) for k in range(outliers.DRAWS) if (picks % 10 == k).any()]
+    best = None
+    for m, v in starts:
+        for _ in range(100):
+            d = ((x - m) @ np.linalg.inv(v) * (x - m)).sum(1)
+            m, v = estimate(x[d <= np.sort(d)[int(np.ceil(share * len(x))) - 1]])
+        if best is None or np.linalg.slogdet(v)[1] < best[0]:
+            best = np.linalg.slogdet(v)[1], m, v
+    return best
+
+
+def test_mcd_equals_plain_numpy(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (400, 5)) @ rng.normal(0, 1, (5, 5)) + 3
+    x[:60] = x[:60] * 0.1 + 40  # a cluster of outliers, which a plain covariance takes in
+    picks = rng.integers(0, 1000, 400)
+    df = spark.createDataFrame([("g", int(p), *map(float, r)) for p, r in zip(picks, x, strict=True)], ["grp", "pick", *outliers.FEATURES])
+    got = outliers.mcd(df, 1).collect()[0]
+    det, m, v = plain_mcd(x, picks, outliers.SHARE)
+    assert abs(got.det - det) < 0.05 and np.allclose([got[f"m_{k}"] for k in outliers.FEATURES], m, atol=0.1)
+    inverse = np.linalg.inv(v)
+    assert np.allclose([got[f"i_{k}_{k}"] for k in outliers.FEATURES], np.diag(inverse), rtol=0.1)
+
+
 def test_screen(spark):
     rng = random.Random(6)
     rows = [(i, " ".join("".join(rng.choice("abcdefghi") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(60, 300)))) for i in range(300)]
@@ -366,5 +463,10 @@ def test_screen(spark):
     assert all(got[i].kept for i in range(300)) and not any(got[1000 + i].kept for i in range(8))
     assert got[2000].base_failed and not got[2001].kept
     alone = outliers.screen(frame(spark, rows[:30], True)).collect()
-    assert all(r.kept for r in alone)  # too few for an estimate
+    assert all(r.kept and r.distance < 60 for r in alone)  # judged by an estimate of those 30
+    assert outliers.screen(frame(spark, rows[-2:], True)).where("kept").count() == 0
+    # one source of another language with few texts is judged too, by the whole corpus
+    few = frame(spark, [*rows[:4], *rows[300:303]], True).withColumn("lang", F.lit("other"))
+    both = outliers.screen(frame(spark, rows[:200], True).unionByName(few)).where("distance is not null").collect()
+    assert len(both) == 207 and sum(not r.kept for r in both if r.doc_id >= 1000) == 3
     assert outliers.screen(frame(spark, [], True)).count() == 0
