@@ -14,11 +14,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from cadenza.llm.subword import Subword, drawn, learnable, sample, softmax, split_words
+from cadenza.llm.common import pieces
+from cadenza.llm.subword import SAMPLE_BYTES, SAMPLE_ROWS, Subword, choose, fetch, learnable, softmax, split_words
 
-#: At most this many texts of each language are learned from, and at most this many languages, the most frequent first.
-MOST, LANGUAGES = 800, 200
+#: At most this many texts of each language are learned from.
+MOST = 800
 UNKNOWN = "und"
 
 
@@ -43,7 +45,8 @@ class Languages:
 def train(texts: pa.Array, labels: list[str], seed: int = 7) -> Languages:
     """Fit on texts; every fifth is kept for the temperature and the least confidence."""
     names = sorted(set(labels))
-    y = np.array([names.index(x) for x in labels], np.int64)
+    number = {x: i for i, x in enumerate(names)}
+    y = np.array([number[x] for x in labels], np.int64)
     words, at, offsets = split_words(texts, True)
     part = np.arange(len(y)) % 5
     model = Subword(len(names), 2, 4, 1 << 15, 12, True, seed)
@@ -69,14 +72,18 @@ def train(texts: pa.Array, labels: list[str], seed: int = 7) -> Languages:
     return Languages(names, folded, temperature, float(min(0.5, np.quantile(p, 0.005))))
 
 
-def fit(docs: DataFrame, most: int = MOST, languages: int = LANGUAGES) -> Languages:
-    """Learn from at most `most` texts of each language, of documents that are not held out and whose language is given."""
-    known = docs.where(learnable() & F.col("lang").isNotNull()).select("doc_id", F.col("lang").alias("_lang"))
-    common = known.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(languages)
-    t = sample(docs, drawn(known.join(F.broadcast(common.select("_lang")), "_lang"), "_lang", most), [])
+def fit(docs: DataFrame, most: int = MOST, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Languages:
+    """Learn from documents that are not held out and whose lang is given: every language, whatever their number.
+
+    At most `most` texts of each, and so many of all that neither `sample_rows` nor `sample_bytes` is passed; each language
+    has one text drawn before any has its second. Texts that repeat with their doc_id and language count once.
+    """
+    known = docs.where(learnable() & F.col("lang").isNotNull())
+    keys = known.where(F.octet_length("text") > 0).select(F.col("lang").alias("y"), F.xxhash64("doc_id", "text").alias("h"), F.octet_length("text").alias("n"))
+    t = fetch(known, choose(keys, most, sample_rows, sample_bytes), StringType())
     if not t.num_rows:
         return Languages([], Subword(1), 1.0, 1.0)
-    return train(t.column("text").combine_chunks(), t.column("_lang").to_pylist())
+    return train(t.column("text").combine_chunks(), t.column("y").to_pylist())
 
 
 def identify(docs: DataFrame, model: Languages) -> DataFrame:
@@ -86,10 +93,9 @@ def identify(docs: DataFrame, model: Languages) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one table of buckets, whatever the corpus
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lang, s, ok = shared.value.predict(b.column(2))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(s, pa.float64()), pa.array(ok)], ["doc_id", "held_out", "lang_pred", "score", "accepted"])
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        lang, s, ok = shared.value.predict(b.column(2))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(s, pa.float64()), pa.array(ok)], ["doc_id", "held_out", "lang_pred", "score", "accepted"])
 
     narrow = docs.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"), "text")
-    return narrow.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double, accepted boolean")
+    return narrow.mapInArrow(pieces(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, accepted boolean")

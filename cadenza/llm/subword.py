@@ -15,14 +15,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from cadenza.llm.common import mix
 from cadenza.llm.words import factors
 
-#: Texts longer than this are not drawn into training samples, so that a sample's bytes are bounded as its rows are.
-SAMPLE_CHARS = 20_000
-
 
 def spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """The indices start, start+1, ... of each run, end to end."""
@@ -153,22 +151,33 @@ class Subword:
                 np.add.at(self.embed, ids, -np.repeat(g_word, g_len[uniq], 0))
 
     def fold(self) -> Subword:
-        """The table of logits, without the embeddings."""
-        return Subword(self.classes, self.shortest, self.longest, self.buckets, self.width, self.lower, self.seed, (self.embed @ self.out).astype(np.float32), self.bias.copy())
-
-    def logits_of_words(self, words: list[str]) -> np.ndarray:
-        table = self.table if self.table is not None else self.embed @ self.out
-        out = np.zeros((len(words), self.classes), np.float32)
+        """The model for scoring: a table of logits, or the embeddings where there are more classes than dimensions."""
+        own = (self.classes, self.shortest, self.longest, self.buckets, self.width, self.lower, self.seed)
+        if self.classes > self.width:
+            return Subword(*own, None, self.bias.copy(), self.embed, self.out)
+        return Subword(*own, (self.embed @ self.out).astype(np.float32), self.bias.copy())
+
+    def _of_words(self, words: list[str], table: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(words), table.shape[1]), np.float32)
         for i in range(0, len(words), 20_000):
             ids, off = ngrams(words[i : i + 20_000], self.shortest, self.longest, self.buckets)
             out[i : i + 20_000] = sums(table[ids], off) / np.diff(off)[:, None]
         return out
 
+    def logits_of_words(self, words: list[str]) -> np.ndarray:
+        if self.table is not None:
+            return self._of_words(words, self.table)
+        return self._of_words(words, self.embed @ self.out) if self.classes <= self.width else self._of_words(words, self.embed) @ self.out
+
+    def bags(self, words: list[str], at: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Logits of each text as one bag, the average of its words; of a text without words, the bias."""
+        unfolded = self.table is None
+        rows = self._of_words(words, self.embed if unfolded else self.table)
+        mean = sums(rows[at].astype(np.float64), offsets) / np.maximum(np.diff(offsets), 1)[:, None]
+        return (mean @ self.out if unfolded else mean) + self.bias
+
     def logits(self, texts: pa.Array) -> np.ndarray:
-        """Logits of each text as one bag; of a text without words, the bias."""
-        words, at, offsets = split_words(texts, self.lower)
-        total = sums(self.logits_of_words(words)[at].astype(np.float64), offsets)
-        return total / np.maximum(np.diff(offsets), 1)[:, None] + self.bias
+        return self.bags(*split_words(texts, self.lower))
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -204,29 +213,55 @@ def platt(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = N
     return float(a / s), float(b - a * m / s)
 
 
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, weights: np.ndarray | None = None) -> np.ndarray:
+    """Weights of a ridge logistic regression, by Newton's method."""
+    w, k = np.zeros(x.shape[1]), np.ones(len(y)) if weights is None else weights
+    for _ in range(25):
+        p = sigmoid(x @ w)
+        d = np.linalg.solve((x * (k * p * (1 - p) + 1e-6)[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (k * (y - p)) - ridge * w)
+        w += d
+        if np.abs(d).max() < 1e-6:
+            break
+    return w
+
+
 def learnable() -> F.Column:
     """Rows whose labels may be learned: the checksum of doc_id as text is not 2 modulo 4."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 != 2, F.lit(False))
 
 
-def drawn(keys: DataFrame, by: str, most: int) -> DataFrame:
-    """At most `most` rows of (doc_id, by) for each value of by, in the order of a hash of doc_id.
+#: Bounds of a training sample: its rows, whatever the number of classes, and the bytes of its texts.
+SAMPLE_ROWS, SAMPLE_BYTES = 20_000, 32_000_000
+
+
+def text_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, n) of each row with a text that is not empty: a hash of doc_id and text, and the text's bytes."""
+    return docs.where(F.octet_length("text") > 0).select("doc_id", F.xxhash64("doc_id", "text").alias("h"), F.octet_length("text").cast("bigint").alias("n"))
+
 
-    The values are few (classes, languages). Their counts come first, and a threshold on the hash leaves about twice what
-    is wanted, so the rows that the window ranks are bounded however many tasks there are.
+def choose(keys: DataFrame, most: int, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> list[tuple]:
+    """A bounded sample (y, h) of keys (y, h, n), by hash: at most `most` of each y, each y's first before any's second.
+
+    It ends at `sample_rows`; a text that no longer fits into `sample_bytes` is left out. Equal keys count once. The counts
+    of y come first, and a threshold on the hash leaves about twice what is wanted, so what the window ranks is bounded
+    however many rows there are.
     """
-    counts = {r[by]: r["count"] for r in keys.groupBy(by).count().collect()}
-    if not counts:
-        return keys
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(2.0, (2 * most + 200) / n))])
-    h = F.xxhash64("doc_id", F.lit(11))
-    few = keys.where((h / float(2**63) + 1) / 2 < share[F.col(by)])
-    w = Window.partitionBy(by).orderBy(h, "doc_id")
-    return few.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= most).drop("_rank")
-
-
-def sample(docs: DataFrame, keys: DataFrame, cols: list[str]) -> pa.Table:
-    """The drawn documents, whole texts, on the driver. keys has a bounded number of rows, so it may be broadcast."""
-    texts = docs.select(*{"doc_id": 0, "text": 0, **dict.fromkeys(cols, 0)}).where(F.length("text").between(1, SAMPLE_CHARS))
-    t = texts.join(F.broadcast(keys), "doc_id").toArrow()
-    return t.sort_by("doc_id") if t.num_rows else t
+    keys = keys.select("y", "h", "n").distinct()
+    counted = keys.join(keys.groupBy("y").agg(F.count("*").alias("all")), "y")
+    few = counted.where((F.col("h") / float(2**63) + 1) / 2 * F.col("all") < 2 * most + 200)
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("y").orderBy("h"))).where(F.col("rank") <= most)
+    out, left = [], sample_bytes
+    for r in ranked.orderBy("rank", "h", "y").limit(sample_rows).collect():
+        if r.n <= left:
+            out.append((r.y, r.h))
+            left -= r.n
+    return out
+
+
+def fetch(docs: DataFrame, chosen: list[tuple], kind: DataType, cols: tuple[str, ...] = ()) -> pa.Table:
+    """The chosen texts, whole, on the driver: doc_id, text, cols, y, h, in the order of doc_id. Rows that repeat come once."""
+    keys = docs.sparkSession.createDataFrame(chosen, StructType([StructField("y", kind), StructField("h", LongType())]))
+    own = docs.where(F.octet_length("text") > 0).select("doc_id", "text", *cols, F.xxhash64("doc_id", "text").alias("h"))
+    found = own.join(F.broadcast(keys), "h").groupBy("y", "h").agg(*[F.min(c).alias(c) for c in ("doc_id", "text", *cols)])  # SAMPLE_ROWS keys at most
+    t = found.select("doc_id", "text", *cols, "y", "h").toArrow()
+    return t.sort_by([("doc_id", "ascending"), ("h", "ascending"), ("y", "ascending")])

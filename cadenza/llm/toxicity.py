@@ -1,8 +1,9 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
-A long text may hold two toxic words among thousands, which an average over the text would drown. The bags are therefore
-all runs of a few consecutive words; a text's score is that of its most toxic run, calibrated on labelled texts. Training
-starts on short toxic texts as single bags, then takes the runs that the model itself finds most toxic in each text.
+A text is scored as bags of subwords, each averaged and put through the softmax: the whole text as one bag, and every run
+of a few consecutive words, because a long text may hold two toxic words among thousands, which one average drowns. The
+average of the whole text and that of its most toxic run are weighted and calibrated on labelled texts kept back from
+training. Training starts on short toxic texts as single bags, then takes the runs that the model itself finds most toxic.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
-from cadenza.llm.subword import Subword, drawn, learnable, platt, sample, sigmoid, split_words, spread
+from cadenza.llm.common import pieces
+from cadenza.llm.subword import SAMPLE_BYTES, Subword, choose, fetch, learnable, logistic, platt, sigmoid, split_words, spread, sums, text_rows
 
 RUN = 2
 #: At most this many labelled texts of each class are learned from.
@@ -55,14 +58,19 @@ class Toxicity:
     """A fitted model: score() gives the calibrated probability of each text."""
 
     words: Subword
-    slope: float
-    offset: float
+    weights: tuple[float, float, float]  # of one, the most toxic run, the whole text
 
     def score(self, texts: pa.Array) -> np.ndarray:
         words, at, offsets = split_words(texts, True)
         z = self.words.logits_of_words(words)
-        best, _ = best_runs(z[:, 1] - z[:, 0], at, offsets)
-        return sigmoid(self.slope * best + self.offset)
+        return sigmoid(views(z[:, 1] - z[:, 0], at, offsets) @ np.array(self.weights))
+
+
+def views(word_scores: np.ndarray, at: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each text one, the average of its most toxic run, and the average of the whole text."""
+    best, _ = best_runs(word_scores, at, offsets)
+    whole = sums(word_scores[at].astype(np.float64), offsets) / np.maximum(np.diff(offsets), 1)
+    return np.stack([np.ones(len(best)), best, whole], 1)
 
 
 def train(texts: pa.Array, labels: np.ndarray, prior: float | None = None, seed: int = 7) -> Toxicity:
@@ -75,7 +83,7 @@ def train(texts: pa.Array, labels: np.ndarray, prior: float | None = None, seed:
     part = np.arange(len(labels)) % 5
     learn = part != 4
     if labels[learn].min(initial=1) == labels[learn].max(initial=0) or not n.sum():
-        return Toxicity(model.fold(), 1.0, float(np.log(max(labels.mean() if len(labels) else 0.01, 1e-3))))
+        return Toxicity(model.fold(), (float(np.log(max(labels.mean() if len(labels) else 0.01, 1e-3))), 1.0, 0.0))
     pos = np.flatnonzero(learn & (labels == 1) & (n > 0))
     neg = np.flatnonzero(learn & (labels == 0) & (n > 0))
 
@@ -101,23 +109,27 @@ def train(texts: pa.Array, labels: np.ndarray, prior: float | None = None, seed:
         bags, ends, ys = [], [], []
         for docs, label in ((pos, 1), (neg, 0)):
             bags.append(where[docs]), ends.append(np.minimum(where[docs] + RUN, offsets[docs] + n[docs])), ys.append(np.full(len(docs), label))
-    best, _ = best_runs(z[:, 1] - z[:, 0], at, offsets)
     held = part == 4
-    w = None
-    if prior is not None and 0 < labels[held].mean() < 1:
-        w = np.where(labels[held] == 1, prior / labels[held].mean(), (1 - prior) / (1 - labels[held].mean()))
-    a, b = platt(best[held], labels[held], w)
-    return Toxicity(model.fold(), a, b)
-
-
-def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Toxicity:
-    """Learn from at most `most` labelled texts of each class, none of them held out; conflicting labels count as toxic."""
-    known = labels.where(learnable() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("_y"))
-    counts = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
-    t = sample(docs, drawn(known, "_y", most), ["_y"] if "_y" in docs.columns else [])
+    x, y, w = views(z[:, 1] - z[:, 0], at, offsets)[held], labels[held], None
+    if prior is not None and 0 < y.mean() < 1:
+        w = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
+    joint = logistic(x, y, 1.0, w)
+    slope, offset = platt(x @ joint, y, w)
+    return Toxicity(model.fold(), tuple((slope * joint + np.array([offset, 0, 0])).tolist()))
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, sample_bytes: int = SAMPLE_BYTES) -> Toxicity:
+    """Learn from at most `most` labelled texts of each class, none of them held out, and at most `sample_bytes` of text.
+
+    Conflicting labels of a doc_id count as toxic, labels other than 0 and 1 are left out. Texts that repeat with their
+    doc_id count once. Only doc_id and text of docs are read.
+    """
+    known = labels.where(learnable() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
+    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    t = fetch(docs, choose(text_rows(docs).join(known, "doc_id"), most, sample_bytes=sample_bytes), IntegerType())
     if not t.num_rows:
-        return Toxicity(Subword(2, table=np.zeros((1 << 16, 2), np.float32), bias=np.zeros(2, np.float32)), 1.0, -3.0)
-    return train(t.column("text").combine_chunks(), t.column("_y").to_numpy().astype(np.int64), counts.get(1, 0) / max(1, sum(counts.values())))
+        return Toxicity(Subword(2, table=np.zeros((1 << 16, 2), np.float32), bias=np.zeros(2, np.float32)), (-3.0, 1.0, 0.0))
+    return train(t.column("text").combine_chunks(), t.column("y").to_numpy().astype(np.int64), counts.get(1, 0) / max(1, sum(counts.values())))
 
 
 def score(docs: DataFrame, model: Toxicity, threshold: float = THRESHOLD) -> DataFrame:
@@ -127,10 +139,9 @@ def score(docs: DataFrame, model: Toxicity, threshold: float = THRESHOLD) -> Dat
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one table of buckets, whatever the corpus
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = shared.value.score(b.column(2))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        s = shared.value.score(b.column(2))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     narrow = docs.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"), "text")
-    return narrow.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+    return narrow.mapInArrow(pieces(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")

@@ -1,11 +1,13 @@
 """Operators that learn: held-out accuracy and defined results at the edges."""
 
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from cadenza.llm import langid, quality, subword, toxicity
 
@@ -24,7 +26,17 @@ def labels(spark):
 
 def edge(spark):
     rows = [(1, None, None, None), (2, "", "en", "s"), (3, "12 34 !", "en", None), (4, "x" * 100_000, None, "s"), (4, "x" * 100_000, None, "s"), (None, "the of and", "en", "s")]
-    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").withColumns({"score": F.lit(1), "predicted": F.lit(2), "_quality": F.lit(3), "_y": F.lit(4)})
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").withColumns({"score": F.lit(1), "predicted": F.lit(2), "_quality": F.lit(3), "_y": F.lit(4), "quality_score": F.lit(5), "y": F.lit("z"), "h": F.lit(6), "n": F.lit(7)})
+
+
+def clashing(docs):
+    return docs.withColumns({c: F.lit("x") for c in ("_y", "y", "h", "n", "rank", "all", "score", "held_out", "_quality", "quality_score", "toxic", "quality", "s")})
+
+
+def other_labels(labels, col):
+    """The labels with those of held-out documents turned round, and labels of documents that do not exist."""
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return labels.withColumn(col, F.when(held, 1 - F.col(col)).otherwise(F.col(col)))
 
 
 def test_toxicity(spark):
@@ -37,6 +49,37 @@ def test_toxicity(spark):
     assert len(e) == 6 and all(0 <= r.score <= 1 for r in e) and [r.predicted for r in e if r.doc_id in (1, 2)] == [0, 0]
     none = toxicity.fit(edge(spark), labels.limit(0))
     assert all(r.predicted == 0 for r in toxicity.score(edge(spark), none).collect())
+    assert toxicity.score(docs.limit(0), m).count() == 0
+
+
+def test_toxicity_learns_from_no_held_out_label_nor_clashing_column(spark, docs, labels):
+    plain = toxicity.score(docs, toxicity.fit(docs, labels)).orderBy("doc_id").collect()
+    odd = toxicity.score(clashing(docs), toxicity.fit(clashing(docs), other_labels(labels, "toxic"))).orderBy("doc_id").collect()
+    assert plain == odd
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in plain)
+
+
+def test_samples_are_bounded_under_repeated_ids(spark):
+    """One doc_id in three thousand rows of two texts, and one language for each text."""
+    rows = [(1 if i % 2 else i, f"some text {i % 2 or i}", f"l{i % 40}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    keys = docs.select(F.col("lang").alias("y"), F.xxhash64("doc_id", "text").alias("h"), F.octet_length("text").alias("n"))
+    chosen = subword.choose(keys, 5, 100)
+    t = subword.fetch(docs, chosen, StringType())
+    assert len(chosen) == 100 and len({y for y, _ in chosen}) == 40 and t.num_rows <= 20 * 40 and t.num_rows == len(set(zip(t["doc_id"].to_pylist(), t["text"].to_pylist(), t["y"].to_pylist(), strict=True)))
+    assert len(subword.choose(keys, 10**6, 10**6, 200)) <= 16 and subword.choose(keys.limit(0), 5) == []
+
+
+def test_every_language_is_learned(spark):
+    """However many there are: none is dropped for being rare."""
+    rng = random.Random(2)
+    alphabets = ["".join(chr(0x4E00 + 40 * k + j) for j in range(40)) for k in range(300)]
+    rows = [(i, " ".join("".join(rng.choice(alphabets[i % 300]) for _ in range(4)) for _ in range(12)), f"lang{i % 300}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    m = langid.fit(docs, most=8)
+    assert len(m.names) == 300 and m.words.table is None  # more classes than dimensions: embeddings, no table of logits
+    got = langid.identify(docs, m).join(docs, "doc_id").where("held_out").collect()
+    assert sum(r.lang_pred == r.lang for r in got) > 0.1 * len(got)  # 30 times chance, from six texts of each
 
 
 def test_misspelt_words_are_scored_by_their_ngrams():
@@ -59,6 +102,12 @@ def test_langid(spark, docs):
     assert sum(r.lang_pred == r.lang for r in got) >= 0.95 * len(got)
     e = {r.doc_id: r for r in langid.identify(edge(spark), m).collect()}
     assert e[1].lang_pred == e[2].lang_pred == e[3].lang_pred == "und" and e[None].lang_pred == "en"
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got) and all(0 <= r.score <= 1 for r in got)
+    # neither the languages of held-out documents nor columns of other names count
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    other = clashing(docs).withColumns({"lang": F.when(held, "xx").otherwise(F.col("lang")), "source": F.lit("none")})
+    assert langid.identify(docs, m).orderBy("doc_id").collect() == langid.identify(other, langid.fit(other)).orderBy("doc_id").collect()
+    assert langid.identify(docs.limit(0), m).count() == 0
     none = langid.fit(docs.limit(0))
     assert {r.lang_pred for r in langid.identify(edge(spark), none).collect()} == {"und"}
 
@@ -70,8 +119,18 @@ def test_quality(spark, docs, labels):
     assert sum(r.kept for r in good) >= 0.97 * len(good) and sum(not r.kept for r in poor) >= 0.6 * len(poor)
     e = edge(spark)
     kept = quality.keep(e, m)
-    assert kept.columns == [c for c in e.columns if c != "_quality"] and kept.count() <= 6
+    assert kept.columns == e.columns and kept.count() <= 6
     assert quality.verdicts(e, quality.fit(e, labels.limit(0))).count() == 6
+    assert quality.verdicts(docs.limit(0), m).count() == 0 == quality.keep(docs.limit(0), m).count()
+    odd = clashing(docs)
+    again = quality.fit(odd, labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, 1 - F.col("quality")).otherwise(F.col("quality"))))
+    assert quality.verdicts(docs, m).orderBy("doc_id").collect() == quality.verdicts(odd, again).orderBy("doc_id").collect()
+
+
+def test_the_page_view_reads_no_text(spark, docs):
+    some = docs.limit(50).select("text", "lang", "source", "n_chars").toArrow()
+    blank = some.set_column(0, "text", pa.array([""] * 50))
+    assert (quality.page_features(some) == quality.page_features(blank)).all()
 
 
 def test_bags_and_sums():
