@@ -8,11 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cadenza.functions.dist import f_cdf
 from cadenza.functions.numeric import hankel, randomized_svd
 from cadenza.operators.models import diagonal_average
+from cadenza.operators.ordered import with_lags
 from cadenza.schema import ConfigError, DataError
 
 
@@ -109,8 +109,7 @@ def mssa(df: DataFrame, cols: list[str], window: int, rank: int = 10, order: str
 def var_fit(df: DataFrame, cols: list[str], max_lag: int = 5, criterion: str = "aic", order: str = "mjd") -> dict:
     """Vector autoregression without intercept, order by aic, bic or hqc; normal equations as distributed sums."""
     p = len(cols)
-    w = Window.orderBy(order)
-    x = complete(df, cols).withColumns({f"{c}__{k}": F.lag(c, k).over(w) for c in cols for k in range(1, max_lag + 1)}).withColumn("_r", F.row_number().over(w))
+    x = with_lags(complete(df, cols), order, cols, max_lag)
     names = [f"{c}__{k}" for k in range(1, max_lag + 1) for c in cols]
     best = None
     for q in range(1, max_lag + 1):
@@ -135,8 +134,7 @@ def var_fit(df: DataFrame, cols: list[str], max_lag: int = 5, criterion: str = "
 
 def granger(df: DataFrame, cols: list[str], lag: int, order: str = "mjd") -> list[dict]:
     """Does each channel help to predict each other one? F test on the drop of the squared residuals."""
-    w = Window.orderBy(order)
-    x = complete(df, cols).withColumns({f"{c}__{k}": F.lag(c, k).over(w) for c in cols for k in range(1, lag + 1)}).withColumn("_r", F.row_number().over(w)).where(F.col("_r") > lag)
+    x = with_lags(complete(df, cols), order, cols, lag).where(F.col("_r") > lag)
     names = [f"{c}__{k}" for c in cols for k in range(1, lag + 1)] + cols
     g = np.array(x.agg(*[F.sum(F.col(a) * F.col(b)) for a in names for b in names]).first(), float).reshape(len(names), -1)
     n = x.count()
@@ -304,3 +302,21 @@ def manova(df: DataFrame, cols: list[str], label: str) -> dict:
 
 def labels_from(df: DataFrame, channel: str, to: str = "label") -> DataFrame:
     return df.withColumn(to, F.round(channel).cast("int"))
+
+
+ANALYSES = {
+    "pca": pca, "mssa": mssa, "var": var_fit, "granger": granger, "factor_analysis": factor_analysis, "cca": cca, "lda": lda, "mahalanobis": mahalanobis, "manova": manova,
+}
+
+
+def analyze(df: DataFrame, method: str, cols: list[str], **kw):
+    """The analysis of that name over the channels cols; "ccf" takes two channels and max_lag."""
+    if method == "ccf":
+        from cadenza.operators.relational import ccf
+
+        if len(cols) != 2:
+            raise ConfigError("a cross-correlation has two channels")
+        return ccf(df, *cols, **kw)
+    if method not in ANALYSES:
+        raise ConfigError(f"unknown analysis {method!r}; known: ccf, {', '.join(ANALYSES)}")
+    return ANALYSES[method](df, cols, **kw)

@@ -68,28 +68,69 @@ def sync_inner(anchor: DataFrame, others: list[DataFrame], tolerance: float, ord
     return out
 
 
-def sync_outer(channels: list[DataFrame], tolerance: float, order: str = "mjd") -> DataFrame:
+def at_time(df: DataFrame, t: float, tolerance: float, keys: list[str] = KEYS, order: str = "mjd") -> DataFrame:
+    """Of each series the row nearest to t, ties to the later one. The job fails if a series has none within the tolerance."""
+    d = F.abs(F.col(order) - F.lit(float(t)))
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in df.columns if c not in keys]), F.struct(-d, F.col(order))).alias("_r"), F.min(d).alias("_d"))
+    far = F.raise_error(F.concat(F.lit(f"nothing within {tolerance} days of {t} in "), F.concat_ws("/", *keys)))
+    return best.withColumn("_r", F.when(F.col("_d") <= tolerance, F.col("_r")).otherwise(far.cast(best.schema["_r"].dataType))).select(*keys, "_r.*").select(*df.columns)
+
+
+def ends(df: DataFrame, keys: list[str] = KEYS, order: str = "mjd", value: str = "value") -> DataFrame:
+    """First and last row of each series by position: times and values, missing values too."""
+    at = F.struct(F.col(order), F.col(value).alias("v"))
+    g = df.groupBy(*keys).agg(F.min_by(at, order).alias("a"), F.max_by(at, order).alias("b"), F.count("*").alias("n"))
+    return g.select(*keys, "n", F.col(f"a.{order}").alias(f"first_{order}"), F.col("a.v").alias(f"first_{value}"), F.col(f"b.{order}").alias(f"last_{order}"), F.col("b.v").alias(f"last_{value}"))
+
+
+#: What a step appends to the name of the component that it makes.
+SUFFIXES = {"deseasonalize": "_deseas", "filter": "_filtered", "fill": "_filled", "adjust": "_adj", "clean": "_clean", "difference": "_diff"}
+
+
+def derived(df: DataFrame, step: str, value: str, component: str = "component") -> DataFrame:
+    """The result column as a series of its own: `value` becomes value, and the component's name gets the step's suffix."""
+    if step not in SUFFIXES:
+        raise ConfigError(f"unknown step {step!r}")
+    return df.withColumns({component: F.concat(F.col(component), F.lit(SUFFIXES[step])), "value": F.col(value)}).drop(*({value} - {"value"}))
+
+
+def sync_outer(channels: list[DataFrame], tolerance: float, order: str = "mjd", range_rows: int = 1_000_000) -> DataFrame:
     """The pooled epochs, grouped greedily from each group's first epoch; a group stands at its mean.
 
-    Epochs further apart than the tolerance cannot share a group, so islands separated by such gaps are found with a
-    window, and only the greedy walk inside an island is sequential.
+    Epochs further apart than the tolerance cannot share a group, so islands between such gaps are walked one by one. They
+    are found by range of time: inside a range by a window, and at the ranges' edges from the last epoch before each.
     """
     pool = channels[0].select(order)
     for c in channels[1:]:
         pool = pool.union(c.select(order))
-    # the window runs over days, and a gap at a day's edge is looked up from the day before
-    day = F.floor(order).cast("bigint")
-    per_day = pool.groupBy(day.alias("_day")).agg(F.array_sort(F.collect_list(order)).alias("ts"))
     if tolerance <= 0:
         return pool.distinct()
-    islands = per_day.withColumn("_tie", F.coalesce(F.get("ts", F.lit(0)) - F.lag(F.element_at("ts", -1)).over(Window.orderBy("_day")) <= tolerance, F.lit(False)))
-    islands = islands.withColumn("_run", F.sum((~F.col("_tie")).cast("bigint")).over(Window.orderBy("_day")))
+    from cadenza.operators.ordered import with_range
+
+    x = with_range(pool, order, "_range", range_rows)
+    # a range's edges, of which there are few, tell the last epoch before it
+    last, edges = None, []
+    for r in sorted(x.groupBy("_range").agg(F.max(order).alias("hi")).collect()):
+        edges.append((r["_range"], last))
+        last = r["hi"]
+    edges = pool.sparkSession.createDataFrame(edges, "_range bigint, _last double")
+    w = Window.partitionBy("_range").orderBy(order)
+    x = x.join(F.broadcast(edges), "_range").withColumn("_prev", F.coalesce(F.lag(order).over(w), F.col("_last")))
+    x = x.withColumn("_new", F.coalesce(F.col(order) - F.col("_prev") > tolerance, F.lit(True)))
+    # an island is named by its first epoch; one that crosses edges takes the name that was open at each edge
+    x = x.withColumn("_run", F.last(F.when(F.col("_new"), F.col(order)), True).over(w))
+    open_, names = None, []
+    for r in sorted(x.groupBy("_range").agg(F.max("_run").alias("run")).collect()):
+        names.append((r["_range"], open_))
+        open_ = r["run"] if r["run"] is not None else open_
+    names = pool.sparkSession.createDataFrame(names, "_range bigint, _open double")
+    x = x.join(F.broadcast(names), "_range").select(order, F.coalesce("_run", "_open").alias("_run"))
 
     def walk(pdf):
         import numpy as np
         import pandas as pd
 
-        ts = np.sort(np.concatenate(pdf["ts"].to_list()))
+        ts = np.sort(pdf[order].to_numpy(float))
         out, i = [], 0
         while i < len(ts):
             j = int(np.searchsorted(ts, ts[i] + tolerance, side="right"))
@@ -97,7 +138,7 @@ def sync_outer(channels: list[DataFrame], tolerance: float, order: str = "mjd")
             i = j
         return pd.DataFrame({order: out})
 
-    return islands.groupBy("_run").applyInPandas(walk, f"{order} double")
+    return x.groupBy("_run").applyInPandas(walk, f"{order} double")
 
 
 def pivot_channels(df: DataFrame, channels: list[str], channel: str = "component", order: str = "mjd", value: str = "value") -> DataFrame:
@@ -113,12 +154,46 @@ def standardise(df: DataFrame, cols: list[str]) -> DataFrame:
     return out.withColumns(z).select(*df.columns)
 
 
-def ccf(df: DataFrame, x: str, y: str, max_lag: int, order: str = "mjd") -> DataFrame:
-    """Cross-correlation of two columns at lags -max_lag..max_lag: y is shifted against x."""
-    w = Window.orderBy(order)
-    cols = {f"_{k}": F.lag(y, k).over(w) if k >= 0 else F.lead(y, -k).over(w) for k in range(-max_lag, max_lag + 1)}
-    a = df.withColumns(cols).agg(*[F.corr(x, f"`_{k}`").alias(f"_{k}") for k in range(-max_lag, max_lag + 1)])
-    return a.select(F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"`_{k}`").alias("r")) for k in range(-max_lag, max_lag + 1)])).alias("e")).select("e.*")
+def assemble(channels: dict[str, DataFrame], tolerance: float, how: str = "inner", fill: str | None = "linear", max_fill: int = 0, z_scores: bool = False, order: str = "mjd", value: str = "value") -> DataFrame:
+    """Channels (order, value) on one axis: synchronise, align each to it, fill, and standardise.
+
+    how: "inner", epochs of the first channel that all others have within the tolerance, or "outer", all pooled epochs. A
+    channel's value at an epoch is its nearest one within the tolerance, else missing; fill: "linear", "forward", "mean",
+    or None, which leaves NaN.
+    """
+    from cadenza.operators import gaps
+
+    if how not in ("inner", "outer"):
+        raise ConfigError(f"unknown way to synchronise {how!r}")
+    parts = list(channels.values())
+    axis = sync_inner(parts[0].select(order), [p.select(order) for p in parts[1:]], tolerance, order) if how == "inner" else sync_outer([p.select(order) for p in parts], tolerance, order)
+    out = axis.select(order).distinct()
+    for name, p in channels.items():
+        key = F.lit(name).alias("_c")
+        one = nearest(out.select(key, order), p.select(key, order, value), tolerance, ["_c"], order, value).select("_c", order, F.coalesce(F.col(f"near_{value}"), F.lit(float("nan"))).alias(value))
+        if fill == "linear":
+            one = gaps.fill_linear(one, max_fill, ["_c"], order, value).drop(value).withColumnRenamed("filled", value)
+        elif fill == "forward":
+            one = gaps.fill_forward(one, max_fill, ["_c"], order, value).drop(value).withColumnRenamed("filled", value)
+        elif fill == "mean":
+            one = gaps.fill_mean(one, ["_c"], value).drop(value).withColumnRenamed("filled", value)
+        elif fill is not None:
+            raise ConfigError(f"unknown fill {fill!r}")
+        out = out.join(one.select(order, F.col(value).alias(name)), order)
+    return standardise(out, list(channels)) if z_scores else out
+
+
+def ccf(df: DataFrame, x: str, y: str, max_lag: int, order: str = "mjd", range_rows: int = 1_000_000) -> DataFrame:
+    """Cross-correlation of two columns at lags -max_lag..max_lag: y is shifted against x.
+
+    Rows are numbered by ranges of the order, and the lags are one equi-join on those numbers.
+    """
+    from cadenza.operators.ordered import numbered
+
+    n = numbered(df.select(order, F.col(x).alias("_x"), F.col(y).alias("_y")), order, "_i", range_rows)
+    lags = F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("lag")
+    shifted = n.select("_y", "_i", lags).select("_y", "lag", (F.col("_i") + F.col("lag")).alias("_i"))
+    return n.select("_x", "_i").join(shifted, "_i").groupBy("lag").agg(F.corr("_x", "_y").alias("r"))
 
 
 def variogram(df: DataFrame, max_lag: float, bins: int, keys: list[str] = KEYS, order: str = "mjd", value: str = "value") -> DataFrame:

@@ -39,3 +39,29 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(PACKAGE.parent))
     sc.addPyFile(at)
     sc._cadenza_shipped = True
+
+
+def with_checkpoints(spark: SparkSession) -> None:
+    """Have the context a checkpoint folder: that of spark.checkpoint.dir; a temporary one in local sessions without one."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: the executors need a folder that they share")
+        import tempfile
+
+        at = tempfile.mkdtemp(prefix="cadenza-checkpoint")
+    sc.setCheckpointDir(at)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the executors share, for files that go when the session's JVM ends."""
+    import uuid
+
+    with_checkpoints(spark)
+    at = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return at
