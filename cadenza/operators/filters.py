@@ -47,26 +47,41 @@ def weighted(df: DataFrame, weights: list[float], keys: list[str] = KEYS, order:
     return df.withColumn("filtered", F.coalesce(out, F.lit(float("nan"))))
 
 
-KERNELS = {
-    "epanechnikov": lambda u: 0.75 * (1 - u * u),
-    "uniform": lambda u: F.lit(0.5),
-    "triangular": lambda u: 1 - F.abs(u),
-    "gaussian": lambda u: F.exp(-0.5 * u * u),
-}
+#: Kernels that are polynomials of the distance on either side, as coefficients of 1, |u| and u^2.
+KERNELS = {"epanechnikov": (0.75, 0.0, -0.75), "uniform": (0.5, 0.0, 0.0), "triangular": (1.0, -1.0, 0.0)}
 
 
 def kernel_smooth(df: DataFrame, half_width: int, kernel: str = "epanechnikov", keys: list[str] = KEYS, order: str = "mjd", value: str = "value") -> DataFrame:
-    """Kernel mean over row distances, renormalised at the edges. Bandwidth in rows; the Gaussian is cut at three of them."""
+    """Kernel mean over row distances, renormalised at the edges. Bandwidth in rows; the Gaussian is cut at three of them.
+
+    A polynomial kernel needs sums of value and its first two moments over the frame's halves, so no row carries its frame;
+    the Gaussian is a sum over its lags.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    if kernel == "gaussian":
+        weight = lambda k: math.exp(-0.5 * (k / half_width) ** 2)
+        lag = lambda k: F.lag(value, k).over(w) if k > 0 else F.lead(value, -k).over(w) if k < 0 else F.col(value)
+        num, den = F.lit(0.0), F.lit(0.0)
+        for k in range(-3 * half_width, 3 * half_width + 1):
+            num = num + F.coalesce(lag(k) * weight(k), F.lit(0.0))
+            den = den + F.when(lag(k).isNotNull(), F.lit(weight(k))).otherwise(F.lit(0.0))
+        return df.withColumn("filtered", num / den)
     if kernel not in KERNELS:
         raise ConfigError(f"unknown kernel {kernel!r}")
-    reach = half_width * (3 if kernel == "gaussian" else 1)
-    w = Window.partitionBy(*keys).orderBy(order)
-    frame = F.collect_list(F.struct(F.col("_i").alias("i"), F.col(value).alias("v"))).over(w.rowsBetween(-reach, reach))
-    x = df.withColumn("_i", F.row_number().over(w)).withColumn("_f", frame)
-    k = lambda e: KERNELS[kernel]((e["i"] - F.col("_i")) / F.lit(float(half_width)))
-    num = F.aggregate("_f", F.lit(0.0), lambda a, e: a + k(e) * e["v"])
-    den = F.aggregate("_f", F.lit(0.0), lambda a, e: a + k(e))
-    return x.withColumn("filtered", num / den).drop("_f", "_i")
+    c0, c1, c2 = KERNELS[kernel]
+    h = float(half_width)
+    v = F.when(F.col(value).isNotNull(), F.col(value))
+    one = F.when(F.col(value).isNotNull(), F.lit(1.0))
+    x = df.withColumn("_i", F.row_number().over(w).cast("double"))
+    num, den = F.lit(0.0), F.lit(0.0)
+    for sign, frame in ((-1.0, w.rowsBetween(-half_width, -1)), (1.0, w.rowsBetween(0, half_width))):
+        # distance is sign * (j - i); its powers are expanded about the row's own number
+        for y, add in ((v, "num"), (one, "den")):
+            s0, s1, s2 = (F.coalesce(F.sum(y * p).over(frame), F.lit(0.0)) for p in (F.lit(1.0), F.col("_i"), F.col("_i") * F.col("_i")))
+            d1, d2 = s1 - F.col("_i") * s0, s2 - 2 * F.col("_i") * s1 + F.col("_i") * F.col("_i") * s0
+            term = c0 * s0 + c1 * sign * d1 / h + c2 * d2 / (h * h)
+            num, den = (num + term, den) if add == "num" else (num, den + term)
+    return x.withColumn("filtered", num / den).drop("_i")
 
 
 def savgol_coefficients(window: int, degree: int, at: int | None = None) -> np.ndarray:
@@ -110,26 +125,41 @@ def ema(df: DataFrame, alpha: float, keys: list[str] = KEYS, order: str = "mjd",
 
 
 def loess_fit(x: np.ndarray, bandwidth: float, degree: int = 1, robust: int = 0, kernel: str = "tricube") -> np.ndarray:
-    """Local regression in row space over the nearest share of rows, with bisquare reweighting if asked for."""
+    """Local regression in row space over the nearest share of rows, with bisquare reweighting if asked for.
+
+    The weighted moments of all rows of a block come as sums over a strided view, and small normal systems are solved at
+    once; distances are scaled to one, so that those stay well conditioned.
+    """
     n = len(x)
     k = max(degree + 1, min(n, math.ceil(bandwidth * n)))
     rob = np.ones(n)
     out = np.empty(n)
-    for step in range(robust + 1):
-        for i in range(n):
-            lo = min(max(0, i - (k - 1) // 2), n - k)
-            j = np.arange(lo, lo + k)
-            h = max(i - lo, lo + k - 1 - i) or 1
-            u = np.abs(j - i) / h
+    place = np.arange(n)
+    lo = np.minimum(np.maximum(0, place - (k - 1) // 2), n - k)
+    h = np.maximum(np.maximum(place - lo, lo + k - 1 - place), 1)
+    block = max(1, 2_000_000 // k)
+    for _ in range(robust + 1):
+        xs, rs = np.lib.stride_tricks.sliding_window_view(x, k), np.lib.stride_tricks.sliding_window_view(rob, k)
+        for a in range(0, n, block):
+            i = slice(a, min(n, a + block))
+            u = (lo[i, None] + np.arange(k)[None] - place[i, None]) / h[i, None]
+            au = np.minimum(np.abs(u), 1)
             if kernel == "tricube":
-                w = (1 - np.minimum(u, 1) ** 3) ** 3
+                w = (1 - au**3) ** 3
             elif kernel == "epanechnikov":
-                w = 0.75 * (1 - np.minimum(u, 1) ** 2)
+                w = 0.75 * (1 - au**2)
             else:
-                w = np.exp(-0.5 * (3 * u) ** 2)
-            w = np.sqrt(w * rob[j])
-            a = np.vander(j - i, degree + 1, increasing=True) * w[:, None]
-            out[i] = np.linalg.lstsq(a, x[j] * w, rcond=None)[0][0]
+                w = np.exp(-0.5 * (3 * np.abs(u)) ** 2)
+            w = w * rs[lo[i]]
+            y = xs[lo[i]]
+            powers = [w]
+            for _p in range(2 * degree):
+                powers.append(powers[-1] * u)
+            m = np.stack([p.sum(1) for p in powers], 1)
+            gram = m[:, np.arange(degree + 1)[:, None] + np.arange(degree + 1)[None]]
+            rhs = np.stack([(powers[p] * y).sum(1) for p in range(degree + 1)], 1)
+            scale = np.maximum(m[:, 0], 1e-300)
+            out[i] = (np.linalg.pinv(gram / scale[:, None, None], hermitian=True) @ (rhs / scale[:, None])[..., None])[:, 0, 0]
         r = x - out
         s = np.median(np.abs(r))
         if s <= 0:
@@ -166,3 +196,10 @@ def advise_window(x: np.ndarray, method: str = "silverman_mad") -> int:
     s = np.median(np.abs(x - np.median(x))) / 0.6745 if method == "silverman_mad" else x.std(ddof=1)
     spread = x.max() - x.min()
     return odd(max(3, min(n // 2, int(1.06 * (s / spread if spread else 0) * n ** (-0.2) * n))))
+
+
+def window_advice(df: DataFrame, method: str = "silverman_mad", keys: list[str] = KEYS, order: str = "mjd", value: str = "value") -> DataFrame:
+    """Per series the odd window that advise_window() suggests for its valid values."""
+    from cadenza.operators.series import reduce_series
+
+    return reduce_series(df, lambda t, x: {"window": advise_window(x[~np.isnan(x)], method)}, "window int", keys, order, value)
