@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -79,6 +80,38 @@ def fill_mean(df: DataFrame, keys: list[str] = KEYS, value: str = "value") -> Da
     return df.withColumn("filled", F.coalesce(ok, F.avg(ok).over(Window.partitionBy(*keys))))
 
 
+def fill_spline(df: DataFrame, max_fill: int = 0, keys: list[str] = KEYS, order: str = "mjd", value: str = "value") -> DataFrame:
+    """A cubic spline through all valid rows of a series; edges held, runs longer than max_fill stay NaN.
+
+    Fewer than four valid rows are joined by lines. A spline needs the whole series, so a series is one group.
+    """
+    from cadenza.functions.numeric import cubic_spline
+    from cadenza.operators.series import per_series
+
+    def run(t: np.ndarray, x: np.ndarray) -> dict:
+        ok = np.flatnonzero(~np.isnan(x))
+        if not len(ok):
+            return {"filled": x}
+        y = cubic_spline(t[ok], x[ok])(t) if len(ok) > 3 else np.interp(t, t[ok], x[ok])
+        y = np.where(np.isnan(x), y, x)
+        y[: ok[0]], y[ok[-1] + 1 :] = x[ok[0]], x[ok[-1]]
+        if max_fill:
+            for a, b in zip(ok[:-1], ok[1:], strict=True):
+                if b - a - 1 > max_fill:
+                    y[a + 1 : b] = np.nan
+        return {"filled": y}
+
+    return per_series(df, run, "filled double", keys, order, value)
+
+
+def fill(df: DataFrame, method: str = "linear", **kw) -> DataFrame:
+    """By the name of the method: linear, forward, mean, spline, median_year or none."""
+    methods = {"linear": fill_linear, "forward": fill_forward, "mean": fill_mean, "spline": fill_spline, "median_year": fill_median_year, "none": fill_none}
+    if method not in methods:
+        raise ConfigError(f"unknown method {method!r}")
+    return methods[method](df, **kw)
+
+
 def fill_none(df: DataFrame, value: str = "value") -> DataFrame:
     return df.withColumn("filled", F.col(value))
 

@@ -77,6 +77,24 @@ def yao_davis(x: np.ndarray, alpha: float = 0.05, compat: bool = False) -> dict:
     return {"k": kk, "detected": bool(stat > crit), "statistic": float(stat), "p_value": float(p), "critical": crit * star, "shift": float(x[kk:].mean() - x[:kk].mean())}
 
 
+def split_interval(x: np.ndarray, k: int, alpha: float = 0.05) -> tuple[int, int]:
+    """Places between which the split at k lies with probability 1 - alpha: splits whose likelihood ratio is not too small.
+
+    Under normal noise the residual sum of squares of a split, over the variance, falls behind the best one's by less than
+    the quantile of chi-square with one degree of freedom.
+    """
+    from cadenza.functions.dist import chi2_quantile
+
+    n = len(x)
+    c = x - x.mean()
+    m = np.arange(1, n)
+    s = np.cumsum(c)[:-1]
+    rss = (c * c).sum() - s * s / m - s * s / (n - m)
+    best = rss[k - 1]
+    near = np.flatnonzero((rss - best) / max(best / max(n - 2, 1), 1e-300) <= float(chi2_quantile(1 - alpha, 1)))
+    return int(m[near[0]]), int(m[near[-1]])
+
+
 def snht_np(x: np.ndarray, permutations: int = 999, alpha: float = 0.05, seed: int = 42) -> dict:
     n = len(x)
     z = x - x.mean()
@@ -167,11 +185,11 @@ def segment(t: np.ndarray, x: np.ndarray, method: str = "yao_davis", least: int
     """All change points: binary segmentation by a split test, or one pass of pelt or bocpd."""
     ok = np.flatnonzero(~np.isnan(x))
     t, x = t[ok], x[ok]
-    found: list[tuple[int, float, float]] = []
+    found: list[tuple] = []
     if method in ("pelt", "bocpd"):
         cuts = pelt_np(x, **kw) if method == "pelt" else bocpd_np(x, **kw)
         edges = [0, *cuts, len(x)]
-        found = [(c, float(x[c : edges[i + 2]].mean() - x[edges[i] : c].mean()), np.nan) for i, c in enumerate(cuts)]
+        found = [(c, float(x[c : edges[i + 2]].mean() - x[edges[i] : c].mean()), np.nan, c, c) for i, c in enumerate(cuts)]
     elif method in ("yao_davis", "snht"):
         test = (lambda v: yao_davis(v, alpha)) if method == "yao_davis" else (lambda v: snht_np(v, alpha=alpha))
         stack = [(0, len(x))]
@@ -182,16 +200,20 @@ def segment(t: np.ndarray, x: np.ndarray, method: str = "yao_davis", least: int
             r = test(x[i:j])
             k = i + r["k"]
             if r["detected"] and k - i >= least and j - k >= least and min(t[k] - t[i], t[j - 1] - t[k]) * 86400 >= least_seconds:
-                found.append((k, r["shift"], r["p_value"]))
+                a, b = split_interval(x[i:j], r["k"], alpha)
+                found.append((k, r["shift"], r["p_value"], i + a, i + b))
                 stack += [(i, k), (k, j)]
     else:
         raise ConfigError(f"unknown method {method!r}")
-    return [{"global_index": int(ok[k]), "mjd": float(t[k]), "shift": s, "p_value": p} for k, s, p in sorted(found)]
+    return [{"global_index": int(ok[k]), "mjd": float(t[k]), "shift": s, "p_value": p, "mjd_low": float(t[a]), "mjd_high": float(t[min(b, len(t) - 1)])} for k, s, p, a, b in sorted(found)]
 
 
 def change_points(df: DataFrame, method: str = "yao_davis", keys: list[str] = KEYS, order: str = "mjd", value: str = "value", **kw) -> DataFrame:
-    """(keys, global_index, mjd, shift, p_value) of each change point; series without one give no row."""
-    out = reduce_series(df, lambda t, x: segment(t, x, method, **kw), "global_index bigint, mjd double, shift double, p_value double", keys, order, value)
+    """(keys, global_index, mjd, shift, p_value, mjd_low, mjd_high) of each change point; series without one give no row.
+
+    Between mjd_low and mjd_high a split lies with probability 1 - alpha; segmenting methods give the point itself.
+    """
+    out = reduce_series(df, lambda t, x: segment(t, x, method, **kw), "global_index bigint, mjd double, shift double, p_value double, mjd_low double, mjd_high double", keys, order, value)
     return out.drop("error")
 
 

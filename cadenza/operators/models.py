@@ -15,7 +15,7 @@ from cadenza.functions import numeric as N
 from cadenza.functions.dist import adf_critical, kpss_critical
 from cadenza.operators.filters import loess_fit, odd
 from cadenza.operators.series import per_series, reduce_series
-from cadenza.schema import KEYS, ConfigError, DataError
+from cadenza.schema import KEYS, ConfigError, DataError, SeriesTooShort
 
 # ---- stationarity --------------------------------------------------------------------------------------------------
 
@@ -233,47 +233,64 @@ def classical_np(x: np.ndarray, period: int, use_median: bool = False) -> dict:
     return {"trend": tr, "seasonal": s, "residual": x - tr - s}
 
 
-def _loess_at(x: np.ndarray, w: np.ndarray, width: int, degree: int) -> np.ndarray:
-    """Weighted local regression over `width` rows, neighbourhoods shrinking at the edges; closed form for lines."""
-    n = len(x)
-    h = max(1, width // 2)
-    out = np.empty(n)
-    for i in range(n):
-        j = np.arange(max(0, i - h), min(n, i + h + 1))
-        u = np.abs(j - i) / (h + 1)
-        k = (1 - u**3) ** 3 * w[j]
-        if k.sum() <= 0:
-            out[i] = x[i]
-            continue
-        k = k / k.sum()
-        m = k @ j
-        v = k @ (j - m) ** 2
-        out[i] = k @ x[j] + ((i - m) * (k @ ((j - m) * x[j])) / v if degree and v > 1e-12 else 0)
+def _stl_loess(y: np.ndarray, w: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
+    """Local lines over the `width` nearest of the rows 0..n-1 with weights w, read off at the places `at`, also outside."""
+    n = len(y)
+    q = min(width, n)
+    out = np.empty(len(at))
+    block = max(1, 2_000_000 // q)
+    for a in range(0, len(at), block):
+        t = at[a : a + block]
+        left = np.clip(t - q // 2, 0, n - q)
+        j = left[:, None] + np.arange(q)[None]
+        h = np.maximum(t - left, left + q - 1 - t) + max(0, (width - n) // 2)
+        u = np.abs(j - t[:, None]) / np.maximum(h, 1)[:, None]
+        k = np.where(u <= 0.999, np.where(u <= 0.001, 1.0, (1 - np.minimum(u, 1) ** 3) ** 3), 0.0) * w[j]
+        total = k.sum(1)
+        empty = total <= 0
+        k[empty, np.clip(t - left, 0, q - 1)[empty]] = 1.0
+        k = k / k.sum(1)[:, None]
+        m = (k * j).sum(1)
+        d = j - m[:, None]
+        v = (k * d * d).sum(1)
+        steep = np.sqrt(v) > 0.001 * max(n - 1, 1)
+        k = np.where(steep[:, None], k * (1 + ((t - m) / np.where(steep, v, 1))[:, None] * d), k)
+        out[a : a + block] = (k * y[j]).sum(1)
     return out
 
 
+def _means(x: np.ndarray, width: int) -> np.ndarray:
+    s = np.append(0.0, np.cumsum(x))
+    return (s[width:] - s[:-width]) / width
+
+
 def stl_np(x: np.ndarray, period: int, s_width: int = 7, t_width: int = 0, inner: int = 2, outer: int = 0) -> dict:
-    """Seasonal and trend by local regression, with bisquare weights in outer rounds."""
+    """Seasonal and trend by local regression, with bisquare weights in outer rounds.
+
+    In each inner round the cycle subseries are smoothed and carried on by one period at both ends; three moving averages
+    (twice the period, then three) and a local regression over the next odd number to the period take the low frequencies
+    out of them; what is left is the season, and the series without it is smoothed to the trend.
+    """
     n = len(x)
-    t_width = t_width or odd(int(1.5 * period / (1 - 1.5 / s_width)) + 1)
-    tr, w = np.zeros(n), np.ones(n)
+    if n < 2 * period:
+        raise SeriesTooShort(f"{n} rows are fewer than two periods of {period}")
+    t_width = t_width or odd(math.ceil(1.5 * period / (1 - 1.5 / s_width)))
+    tr, season, w = np.zeros(n), np.zeros(n), np.ones(n)
+    every = np.arange(n)
     for round_ in range(outer + 1):
         for _ in range(inner):
             d = x - tr
-            cyc = np.empty(n)
+            cyc = np.empty(n + 2 * period)
             for k in range(period):
-                cyc[k::period] = _loess_at(d[k::period], w[k::period], s_width, 1)
-            low = cyc
-            for width in (odd(period), odd(period), 3):
-                m = moving(low, width)
-                ok = np.flatnonzero(~np.isnan(m))
-                low = np.interp(np.arange(n), ok, m[ok]) if len(ok) else low
-            season = cyc - low
-            tr = _loess_at(x - season, w, t_width, 1)
+                part = d[k::period]
+                cyc[k::period] = _stl_loess(part, w[k::period], s_width, np.arange(-1, len(part) + 1))
+            low = _stl_loess(_means(_means(_means(cyc, period), period), 3), np.ones(n), odd(period), every)
+            season = cyc[period : period + n] - low
+            tr = _stl_loess(x - season, w, t_width, every)
         r = np.abs(x - tr - season)
         h = 6 * np.median(r)
         if round_ < outer and h > 0:
-            w = np.where(r < h, (1 - (r / h) ** 2) ** 2, 0)
+            w = np.where(r <= 0.001 * h, 1.0, np.where(r <= 0.999 * h, (1 - np.minimum(r / h, 1) ** 2) ** 2, 0.0))
     return {"trend": tr, "seasonal": season, "residual": x - tr - season}
 
 
