@@ -234,11 +234,11 @@ def ecef_np(x: np.ndarray, e: Ellipsoid = WGS84) -> np.ndarray:
 
 
 def jacobian(f, x: np.ndarray) -> np.ndarray:
-    """Central differences, with steps that suit degrees and metres alike."""
-    cols = []
+    """Central differences. Steps of the cube root of the rounding unit balance rounding against curvature."""
+    cols, most = [], np.abs(x).max()
     for k in range(len(x)):
         d = np.zeros(len(x))
-        d[k] = max(1e-6, abs(x[k]) * 1e-7)
+        d[k] = 6e-6 * max(1.0, abs(x[k]), 1e-3 * most)
         cols.append((f(x + d) - f(x - d)) / (2 * d[k]))
     return np.stack(cols, 1)
 

@@ -146,6 +146,9 @@ def dbscan(df: DataFrame, cols: list[str], eps: float, min_points: int = 5, metr
         raise ConfigError(f"unknown metric {metric!r}")
     near = p.join(q, "c").withColumn("d", dist).where(F.col("d") <= eps).select("a", "b", "d")
     core = near.groupBy("a").count().where(F.col("count") >= min_points).select("a")
+    from cadenza.session import with_checkpoints
+
+    with_checkpoints(df.sparkSession)
     edges = near.join(core, "a").join(core.withColumnRenamed("a", "b"), "b").where("a >= b").select("a", "b")
     label = edges.select("a", F.col("a").alias("cluster")).distinct()
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
