@@ -16,6 +16,14 @@ LAYOUTS = {
     "kriging": ["mjd", "utc", "value", "variance", "ci_lower", "ci_upper", "is_observed"],
     "spline": ["index", "mjd", "utc", "observed", "fitted", "residual", "ci_lower", "ci_upper"],
     "spatial": ["x", "y", "value", "variance", "ci_lower", "ci_upper"],
+    "spatial_cv": ["x", "y", "observed", "predicted", "error"],
+    "regression": ["mjd", "observed", "fitted", "residual", "ci_lower", "ci_upper"],
+    "regression_influence": ["mjd", "residual", "leverage", "standardized", "cooks_distance", "is_influential"],
+    "gnss_spp": ["t", "x", "y", "z", "clock", "n_sats", "sigma0", "pdop", "converged"],
+    "gnss_clock": ["t", "sat", "clock"],
+    "gnss_tropo": ["t", "sat", "elevation", "zhd", "zwd", "delay"],
+    "gnss_ppp": ["t", "x", "y", "z", "clock", "zwd", "sigma_x", "sigma_y", "sigma_z", "n_sats"],
+    "gnss_ppp_tropo": ["t", "zwd", "ztd"],
     "simulate": ["t", "p05", "p25", "p50", "p75", "p95"],
     "stationarity": ["mjd", "original", "residual", "diff1", "diff2"],
     "ssa": ["mjd", "original", "trend", "noise"],

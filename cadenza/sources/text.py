@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.functions.timefn import parse_time
-from cadenza.schema import ConfigError, ParseError
+from cadenza.functions.timefn import parse_time, timestamp_from_mjd
+from cadenza.schema import CadenzaError, ConfigError, FileNotFound, ParseError
 
 EXTENSIONS = "{*.csv,*.txt,*.log,[!.]*}"
 
@@ -20,6 +21,13 @@ def lines(spark: SparkSession, paths: str | Sequence[str], comment: str = "%") -
     return t.where((F.length(F.trim("line")) > 0) & ~F.ltrim("line").startswith(comment)).drop("_at")
 
 
+def line_counts(spark: SparkSession, paths: str | Sequence[str], comment: str = "%") -> DataFrame:
+    """Per file: its lines, the blank ones, the comments, and the lines of data."""
+    t = spark.read.text(paths if isinstance(paths, str) else list(paths)).select(F.col("_metadata.file_path").alias("path"), F.rtrim(F.col("value"), F.lit("\r")).alias("line"))
+    blank, note = F.length(F.trim("line")) == 0, F.ltrim("line").startswith(comment)
+    return t.groupBy("path").agg(F.count("*").alias("n_lines"), F.count_if(blank).alias("n_blank"), F.count_if(~blank & note).alias("n_comment"), F.count_if(~blank & ~note).alias("n_data"))
+
+
 def header_names(spark: SparkSession, path: str, comment: str = "%") -> list[str]:
     """Names of a comment line '<comment> columns: a, b [m]' among the first lines, whatever its case."""
     pat = re.compile(rf"^\s*{re.escape(comment)}\s*columns\s*:\s*(.*)$", re.I)
@@ -34,13 +42,8 @@ def name_and_unit(name: str) -> tuple[str, str]:
     return (m[1].strip(), m[2].strip()) if m else (name, "-")
 
 
-def read_series(spark: SparkSession, paths: str | Sequence[str], delimiter: str = ";", comment: str = "%", time_format: str = "mjd", time_columns: Sequence[int] = (0,), columns: Sequence[int] = (), station: str | None = None) -> DataFrame:
-    """Series in long form (station_id, component, unit, seq, t, mjd, value, flag), one for each value column.
-
-    columns: field numbers from 1; empty: all that are not time fields, counted on the first data row. A line with too few
-    fields, a bad time or a bad number in any chosen column is dropped whole. The delimiter is one character and repeats
-    are not collapsed; a trailing empty field does not count.
-    """
+def _rows(spark: SparkSession, paths: str | Sequence[str], delimiter: str = ";", comment: str = "%", time_format: str = "mjd", time_columns: Sequence[int] = (0,), columns: Sequence[int] = ()) -> tuple[DataFrame, list[int], dict[int, tuple[str, str]]]:
+    """(path, seq, mjd, _v<column>...) of the lines that can be read; the columns chosen, their names and units."""
     if len(delimiter) != 1:
         raise ConfigError("the delimiter is one character")
     first = lines(spark, paths, comment)
@@ -57,16 +60,49 @@ def read_series(spark: SparkSession, paths: str | Sequence[str], delimiter: str
     ok = F.col("mjd").isNotNull()
     for c in chosen:
         ok = ok & F.col(f"_v{c}").isNotNull()
-    label = {c: name_and_unit(names[c - 1]) if c <= len(names) else (f"col_{c}", "-") for c in chosen}
+    return f.where(ok), chosen, {c: name_and_unit(names[c - 1]) if c <= len(names) else (f"col_{c}", "-") for c in chosen}
+
+
+def read_series(spark: SparkSession, paths: str | Sequence[str], delimiter: str = ";", comment: str = "%", time_format: str = "mjd", time_columns: Sequence[int] = (0,), columns: Sequence[int] = (), station: str | None = None) -> DataFrame:
+    """Series in long form (station_id, component, unit, seq, t, mjd, value, flag), one for each value column.
+
+    columns: field numbers from 1; empty: all that are not time fields, counted on the first data row. A line with too few
+    fields, a bad time or a bad number in any chosen column is dropped whole. The delimiter is one character and repeats
+    are not collapsed; a trailing empty field does not count.
+    """
+    f, chosen, label = _rows(spark, paths, delimiter, comment, time_format, time_columns, columns)
     long = F.array(*[F.struct(F.lit(label[c][0]).alias("component"), F.lit(label[c][1]).alias("unit"), F.col(f"_v{c}").alias("value")) for c in chosen]) if chosen else F.array().cast("array<struct<component:string,unit:string,value:double>>")
     s = F.lit(station) if station else F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
-    from cadenza.functions.timefn import timestamp_from_mjd
+    return f.withColumn("_e", F.explode(long)).select(s.alias("station_id"), "_e.component", "_e.unit", "seq", timestamp_from_mjd(F.col("mjd")).alias("t"), "mjd", "_e.value", F.lit(0).cast("smallint").alias("flag"))
 
-    return f.where(ok).withColumn("_e", F.explode(long)).select(s.alias("station_id"), "_e.component", "_e.unit", "seq", timestamp_from_mjd(F.col("mjd")).alias("t"), "mjd", "_e.value", F.lit(0).cast("smallint").alias("flag"))
 
+def read_report(spark: SparkSession, paths: str | Sequence[str], comment: str = "%", **kw) -> DataFrame:
+    """line_counts(), with the lines of data that read_series() takes (n_read) and those that it drops (n_skipped)."""
+    rows = _rows(spark, paths, comment=comment, **kw)[0]
+    n = line_counts(spark, paths, comment).join(rows.groupBy("path").agg(F.count("*").alias("n_read")), "path", "left").withColumn("n_read", F.coalesce("n_read", F.lit(0)))
+    return n.withColumn("n_skipped", F.col("n_data") - F.col("n_read"))
 
-def scan_directory(spark: SparkSession, path: str, **kw) -> DataFrame:
-    """All data files of one directory level, by name; hidden files and other endings are passed over."""
+
+def read_each(spark: SparkSession, paths: Sequence[str], **kw) -> tuple[DataFrame | None, dict[str, str]]:
+    """The series of all files that can be read, and an error for each that cannot: one bad file does not stop the rest.
+
+    Each file has its own header, columns and units. Only its first lines come to the driver.
+    """
+    out, errors = None, {}
+    for p in paths:
+        try:
+            one = read_series(spark, p, **kw)
+            if not one.limit(1).count():
+                raise ParseError("no line of data could be read")
+        except (CadenzaError, PySparkException) as e:
+            errors[p] = f"{type(e).__name__}: {str(e).splitlines()[0]}"
+            continue
+        out = one if out is None else out.unionByName(one)
+    return out, errors
+
+
+def data_files(spark: SparkSession, path: str) -> list[str]:
+    """The data files of one directory level, by name; hidden files and other endings are passed over."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
     found = []
@@ -75,10 +111,13 @@ def scan_directory(spark: SparkSession, path: str, **kw) -> DataFrame:
         if st.isFile() and not n.startswith(".") and (n.rsplit(".", 1)[-1] in ("csv", "txt", "log") if "." in n else True):
             found.append(st.getPath().toString())
     if not found:
-        from cadenza.schema import FileNotFound
-
         raise FileNotFound(path)
-    return read_series(spark, sorted(found), **kw)
+    return sorted(found)
+
+
+def scan_directory(spark: SparkSession, path: str, **kw) -> DataFrame:
+    """All data files of one directory level in one scan, which must have the same layout; read_each() takes any."""
+    return read_series(spark, data_files(spark, path), **kw)
 
 
 def read_points(spark: SparkSession, path: str, x: int = 0, y: int = 1, values: Sequence[int] = (2,), delimiter: str = " ", comment: str = "#", mark: float | None = None, tolerance: float = 0.01) -> DataFrame:
