@@ -240,26 +240,35 @@ def spp_epoch(t: float, sats: list[str], pr: list[float], position, alpha=None,
 SPP = "t double, converged boolean, n_sats int, x double, y double, z double, clock double, sigma0 double, gdop double, pdop double, hdop double, vdop double, tdop double"
 
 
-def spp(obs: DataFrame, nav: DataFrame, mask: float = 10.0, alpha: list[float] | None = None, beta: list[float] | None = None) -> DataFrame:
-    """A solution for each epoch. Ephemerides of the observed days are a bounded table, broadcast; epochs run in parallel."""
-    recs = nav.drop("path").toPandas().to_dict("records")
-    if len(recs) > 200_000:
-        from cadenza.schema import DataError
+#: Seconds of the day that a record of one day may also serve on the next and the one before.
+REACH = 14_400.0
 
-        raise DataError("too many ephemerides to broadcast; select the observed days")
-    by: dict[str, list[dict]] = {}
-    for r in recs:
-        by.setdefault(r["sat"], []).append(r)
-    shared = obs.sparkSession.sparkContext.broadcast(by)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = float(pdf["t"].iloc[0])
-        pairs = [(s, pick_code(dict(o), s[0])) for s, o in sorted(zip(pdf["sat"], pdf["obs"], strict=True))]
-        pairs = [(s, p) for s, p in pairs if p is not None]
-        r = spp_epoch(t, [s for s, _ in pairs], [p for _, p in pairs], lambda s, u: broadcast_position(shared.value.get(s, []), u), alpha, beta, mask)
-        return pd.DataFrame([r]).reindex(columns=[c.split()[0] for c in SPP.split(", ")])
+def _by_day(df: DataFrame, t: str = "t", reach: float = REACH) -> DataFrame:
+    """Rows with the day of their time, and again with a neighbouring day that is within reach."""
+    day = lambda c: F.floor(c / 86400).cast("bigint")
+    days = F.array_distinct(F.array(day(F.col(t)), day(F.col(t) - reach), day(F.col(t) + reach)))
+    return df.withColumn("_day", F.explode(days))
+
+
+def spp(obs: DataFrame, nav: DataFrame, mask: float = 10.0, alpha: list[float] | None = None, beta: list[float] | None = None) -> DataFrame:
+    """A solution for each epoch. Observations and ephemerides meet by day, so a task holds one day of either."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        by: dict[str, list[dict]] = {}
+        for r in right.to_dict("records"):
+            by.setdefault(r["sat"], []).append(r)
+        out = []
+        for t, g in left.groupby("t"):
+            pairs = [(s, pick_code(dict(o), s[0])) for s, o in sorted(zip(g["sat"], g["obs"], strict=True), key=lambda p: p[0])]
+            pairs = [(s, p) for s, p in pairs if p is not None]
+            out.append(spp_epoch(float(t), [s for s, _ in pairs], [p for _, p in pairs], lambda s, u: broadcast_position(by.get(s, []), u), alpha, beta, mask))
+        return pd.DataFrame(out).reindex(columns=[c.split()[0] for c in SPP.split(", ")])
 
-    return obs.select("t", "sat", "obs").groupBy("t").applyInPandas(run, SPP)
+    o = obs.select("t", "sat", "obs", F.floor(F.col("t") / 86400).cast("bigint").alias("_day"))
+    ref = F.when(F.col("system").isin("R", "S"), F.col("toc")).otherwise(F.col("week") * 604800.0 + F.col("toe"))
+    e = _by_day(nav.drop("path").withColumn("_t", ref), "_t").drop("_t")
+    return o.groupBy("_day").cogroup(e.groupBy("_day")).applyInPandas(run, SPP)
 
 
 def iono_free(a: float, b: float, system: str) -> float:
@@ -278,8 +287,13 @@ class PppFilter:
         self.seen: dict[str, int] = {}
         self.k, self.sc, self.sp, self.slip, self.forget, self.walk, self.kin, self.last = 0, sigma_code, sigma_phase, slip, forget, zwd_walk, kinematic, None
 
-    def step(self, t: float, obs: list[tuple[str, float, float, float, float]], position) -> dict:
-        """obs: (satellite, code and phase without ionosphere in metres, geometry-free phase, elevation weight ignored)."""
+    def step(self, t: float, obs: list[tuple[str, float, float, float]], position, shift: np.ndarray | None = None) -> dict:
+        """obs: (satellite, code and phase without ionosphere in metres, geometry-free phase).
+
+        position(satellite) gives the place at transmission, turned with the Earth, and the clock in seconds, or None;
+        shift: what is added to the station's place, of tides and the antenna.
+        """
+        shift = np.zeros(3) if shift is None else shift
         self.k += 1
         dt = 0.0 if self.last is None else t - self.last
         self.last = t
@@ -293,11 +307,11 @@ class PppFilter:
             self.x, self.p = np.delete(self.x, i), np.delete(np.delete(self.p, i, 0), i, 1)
             self.sats.remove(s)
         used = 0
-        for s, code, phase, gf, _ in obs:
-            got = position(s, t - code / C)
+        for s, code, phase, gf in obs:
+            got = position(s)
             if got is None:
                 continue
-            p = sagnac(got[0], code / C)
+            p = got[0] - shift
             rho = float(np.linalg.norm(p - self.x[:3]))
             _, el = azimuth_elevation(self.x[:3], p)
             if el < 7:
@@ -334,34 +348,115 @@ class PppFilter:
 
 
 PPP = "t double, n_sats int, x double, y double, z double, clock double, zwd double, sigma_x double, sigma_y double, sigma_z double"
+#: Code and phase names on both frequencies of each system, and the names of these frequencies in antenna files.
+PAIRS = {"G": ("C1C", "C2W", "L1C", "L2W"), "E": ("C1C", "C5Q", "L1C", "L5Q")}
+BANDS = {"G": ("G01", "G02"), "E": ("E01", "E05")}
+
+
+def combinations(obs: DataFrame, keys: list[str], pairs: dict[str, tuple[str, str, str, str]] | None = None, biases: DataFrame | None = None) -> DataFrame:
+    """keys, t, sat, code, phase (without ionosphere, metres) and gf (geometry-free phase) of each row of observations.
+
+    biases (sat, code, bias, unit): what each code or phase is too long, in ns; a code without one counts as unbiased.
+    """
+    names = pairs or PAIRS
+    if biases is not None:
+        by = biases.where("unit = 'ns'").groupBy("sat").agg(F.map_from_entries(F.collect_list(F.struct("code", F.col("bias") * (C * 1e-9)))).alias("_bias"))
+        obs = obs.join(by, "sat", "left")
+    else:
+        obs = obs.withColumn("_bias", F.lit(None).cast("map<string,double>"))
+    bias = lambda n: F.coalesce(F.try_element_at("_bias", F.lit(n)), F.lit(0.0))
+    made = None
+    for system, (c1, c2, l1, l2) in names.items():
+        f1, f2 = FREQ[system]
+        code = [F.try_element_at("obs", F.lit(n)) - bias(n) for n in (c1, c2)]
+        phase = [F.try_element_at("obs", F.lit(n)) * (C / (f * 1e6)) - bias(n) for n, f in ((l1, f1), (l2, f2))]
+        free = lambda a, b, f1=f1, f2=f2: (f1 * f1 * a - f2 * f2 * b) / (f1 * f1 - f2 * f2)
+        row = F.struct(free(*code).alias("code"), free(*phase).alias("phase"), (phase[0] - phase[1]).alias("gf"))
+        made = F.when(F.col("sat").startswith(system), row) if made is None else made.when(F.col("sat").startswith(system), row)
+    return obs.withColumn("_m", made).select(*keys, "t", "sat", "_m.*").where("code is not null and phase is not null")
+
+
+def transmitted(rows: DataFrame, orbits: DataFrame, antennas: DataFrame | None = None) -> DataFrame:
+    """rows (t, sat, code, ...) with the satellite's place sx, sy, sz at transmission, turned with the Earth, and clock sclk.
+
+    Rows and orbits (t, sat, x, y, z, clock) meet by satellite and day, so a task holds one satellite's day; rows without an
+    orbit drop out. antennas (serial, frequency, offset): adds the antenna's place, which the orbit's centre of mass lacks.
+    """
+    names = [f.name for f in rows.schema.fields]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", sx double, sy double, sz double, sclk double"
+    o = _by_day(orbits.where("clock is not null").select("t", "sat", "x", "y", "z", "clock"))
+    if antennas is not None:
+        a = antennas.where("offset is not null").groupBy(F.col("serial").alias("sat")).agg(F.map_from_entries(F.collect_list(F.struct("frequency", "offset"))).alias("_off"))
+        o = o.join(a, "sat", "left")
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=[*names, "sx", "sy", "sz", "sclk"])
+        right = right.drop_duplicates("t").sort_values("t")
+        ts, xyz, clk = right["t"].to_numpy(float), right[["x", "y", "z"]].to_numpy(float), right["clock"].to_numpy(float)
+        off = right["_off"].iloc[0] if "_off" in right else None
+        pco = antenna_offset(dict(off), str(left["sat"].iloc[0])[0]) if off is not None else None
+        out = []
+        for t, code in zip(left["t"], left["code"], strict=True):
+            got = precise_position(ts, xyz, clk, t - code / C)
+            if got is None:
+                out.append((np.nan,) * 4)
+                continue
+            p = got[0] if pco is None else got[0] + body_axes(got[0], sun_moon(t)[0]).T @ pco
+            # a body that moves gains or loses on its clock
+            v = (precise_position(ts, xyz, clk, t - code / C + 0.5)[0] - precise_position(ts, xyz, clk, t - code / C - 0.5)[0]) if ts[0] <= t - code / C - 0.5 and t - code / C + 0.5 <= ts[-1] else np.zeros(3)
+            out.append((*sagnac(p, code / C), got[1] - 2 * float(got[0] @ v) / C**2))
+        return left[names].assign(**dict(zip(("sx", "sy", "sz", "sclk"), np.array(out).T, strict=True)))
+
+    r = rows.withColumn("_day", F.floor(F.col("t") / 86400).cast("bigint"))
+    return r.groupBy("sat", "_day").cogroup(o.groupBy("sat", "_day")).applyInPandas(run, schema).where("not isnan(sx)")
+
+
+def body_axes(sat: np.ndarray, sun: np.ndarray) -> np.ndarray:
+    """Rows: the axes of a satellite that points at the Earth and keeps its panels at the Sun."""
+    ez = -sat / np.linalg.norm(sat)
+    ey = np.cross(ez, sun - sat)
+    ey /= np.linalg.norm(ey)
+    return np.array([np.cross(ey, ez), ey, ez])
+
+
+def antenna_offset(offsets: dict[str, list[float]], system: str) -> np.ndarray | None:
+    """The offset of the combination without ionosphere, from those on both frequencies."""
+    a, b = (offsets.get(n) for n in BANDS.get(system, ("", "")))
+    return None if a is None or b is None else np.array([iono_free(x, y, system) for x, y in zip(a, b, strict=True)])
 
 
-def ppp(obs: DataFrame, orbits: DataFrame, start: tuple[float, float, float], keys: list[str], pairs: dict[str, tuple[str, str, str, str]] | None = None) -> DataFrame:
-    """The precise filter for each station (keys); orbits (t, sat, x, y, z, clock) of the observed days, broadcast.
+def ppp(obs: DataFrame, orbits: DataFrame, start: tuple[float, float, float], keys: list[str], pairs: dict[str, tuple[str, str, str, str]] | None = None, biases: DataFrame | None = None, antennas: DataFrame | None = None, antenna_neu: tuple[float, float, float] = (0.0, 0.0, 0.0), tides: bool = True, turns: bool = True) -> DataFrame:
+    """The precise filter for each station (keys) with orbits and clocks (t, sat, x, y, z, clock).
 
-    pairs: code and phase names on both frequencies of each system.
+    Corrections: code biases and satellite antennas if their tables are given, the receiver's antenna (north, east, up, in
+    metres), solid tides, and phase wind-up (turns). Satellites are placed by satellite and day; only the filter itself is
+    sequential within a station.
     """
-    names = pairs or {"G": ("C1C", "C2W", "L1C", "L2W"), "E": ("C1C", "C5Q", "L1C", "L5Q")}
-    o = orbits.where("clock is not null").toPandas().sort_values("t")
-    table = {s: (g["t"].to_numpy(float), g[["x", "y", "z"]].to_numpy(float), g["clock"].to_numpy(float)) for s, g in o.groupby("sat")}
-    shared = obs.sparkSession.sparkContext.broadcast(table)
+    rows = transmitted(combinations(obs, keys, pairs, biases), orbits, antennas)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        f, rows = PppFilter(start), []
-        pos = lambda s, u: precise_position(*shared.value[s], u) if s in shared.value else None
+        f, out, wound = PppFilter(start), [], {}
         for t, g in pdf.sort_values("t").groupby("t"):
+            at = {r.sat: (np.array([r.sx, r.sy, r.sz]), r.sclk) for r in g.itertuples()}
+            here = f.x[:3]
+            lat, lon, _ = ecef_np(here)
+            e, n, u = enu_rotation(lat, lon)
+            shift = antenna_neu[0] * n + antenna_neu[1] * e + antenna_neu[2] * u
+            if tides:
+                shift = shift + solid_tide(here, float(t))
             use = []
-            for s, m in zip(g["sat"], g["obs"], strict=True):
-                m, nm = dict(m), names.get(s[0])
-                if nm and all(n in m for n in nm):
-                    f1, f2 = FREQ[s[0]]
-                    l1, l2 = m[nm[2]] * C / (f1 * 1e6), m[nm[3]] * C / (f2 * 1e6)
-                    use.append((s, iono_free(m[nm[0]], m[nm[1]], s[0]), iono_free(l1, l2, s[0]), l1 - l2, 1.0))
-            rows.append(f.step(float(t), sorted(use), pos))
-        return pd.DataFrame(rows).assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, *[c.split()[0] for c in PPP.split(", ")]]]
+            for r in g.sort_values("sat").itertuples():
+                phase = r.phase
+                if turns:
+                    wound[r.sat] = wind_up(at[r.sat][0], here, sun_moon(float(t))[0], wound.get(r.sat))
+                    phase -= wound[r.sat] * C / (sum(FREQ[r.sat[0]]) * 1e6)
+                use.append((r.sat, r.code, phase, r.gf))
+            out.append(f.step(float(t), use, at.get, shift))
+        return pd.DataFrame(out).assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, *[c.split()[0] for c in PPP.split(", ")]]]
 
     types = {x.name: x.dataType.simpleString() for x in obs.schema.fields}
-    return obs.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", " + PPP)
+    return rows.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", " + PPP)
 
 
 def summary(solutions: DataFrame) -> DataFrame:
