@@ -9,11 +9,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cadenza.functions import geodesy as geo
 from cadenza.functions import timefn as tf
-from cadenza.operators import filters, gaps, homogeneity, models, outliers, qc, regression, relational, stats
+from cadenza.operators import filters, gaps, homogeneity, models, ordered, outliers, qc, regression, relational, stats
 from cadenza.plans import fixtures as fx
 from cadenza.plans.fixtures import KEY, SQL_EVENTS, SQL_GAPPY, SQL_ORDERS, SQL_SHIP
 
@@ -413,12 +412,14 @@ def sync_outer(spark, sf):
     return relational.sync_outer([fx.orders_daily(spark, sf), fx.ship_daily(spark, sf)], 0.5)
 
 
-@query("nearest_align", _with(SQL_ORDERS, SQL_SHIP) + f""", s AS (SELECT mjd AS near_mjd, value AS near_value FROM ship_daily WHERE mjd::BIGINT % 3 = 0),
-    j AS (SELECT o.*, near_mjd, near_value, row_number() OVER (PARTITION BY mjd ORDER BY abs(near_mjd - mjd), near_mjd DESC) AS k FROM orders_daily o LEFT JOIN s ON abs(near_mjd - mjd) <= 1.0)
+@query("nearest_align", _with(SQL_ORDERS, SQL_SHIP) + f""", s AS (SELECT mjd + 0.25 * (1 + mjd::BIGINT % 3) AS near_mjd, value AS near_value FROM ship_daily),
+    j AS (SELECT o.*, near_mjd, near_value, row_number() OVER (PARTITION BY mjd ORDER BY abs(near_mjd - mjd), near_mjd DESC) AS k FROM orders_daily o LEFT JOIN s ON abs(near_mjd - mjd) <= 0.4)
     SELECT {K}, mjd, value, near_mjd, near_value FROM j WHERE k = 1""")
 def nearest_align(spark, sf):
-    s = fx.ship_daily(spark, sf).where(F.col("mjd").cast("bigint") % 3 == 0).select(F.lit("orders").alias("station_id"), F.lit("revenue").alias("component"), "mjd", "value")
-    return relational.nearest(fx.orders_daily(spark, sf), s, 1.0).select(*KEY, "mjd", "value", "near_mjd", "near_value")
+    """All shipping days, at a quarter, a half or three quarters of their day, so that the nearest one differs."""
+    shift = 0.25 * (1 + F.col("mjd").cast("bigint") % 3)
+    s = fx.ship_daily(spark, sf).select(F.lit("orders").alias("station_id"), F.lit("revenue").alias("component"), (F.col("mjd") + shift).alias("mjd"), "value")
+    return relational.nearest(fx.orders_daily(spark, sf), s, 0.4).select(*KEY, "mjd", "value", "near_mjd", "near_value")
 
 
 @query("pivot_channels", _with(SQL_ORDERS, SQL_SHIP) + "SELECT coalesce(o.mjd, s.mjd) AS mjd, o.value AS revenue, s.value AS quantity FROM orders_daily o FULL JOIN ship_daily s ON o.mjd = s.mjd")
@@ -490,14 +491,16 @@ def breusch_pagan(spark, sf):
     return rounded(regression.breusch_pagan(fx.orders_daily(spark, sf)), 6, "lm")
 
 
-@query("lomb_scargle", _with(SQL_EVENTS) + f""", x AS (SELECT {K}, mjd - min(mjd) OVER ({W}) AS t, value - avg(value) OVER ({W}) AS c, max(mjd) OVER ({W}) - min(mjd) OVER ({W}) AS span FROM events_hourly),
-    f AS (SELECT x.*, k, k / (span * 4.0) AS f, 2 * pi() * k / (span * 4.0) * t AS a FROM x CROSS JOIN (SELECT unnest(range(1, 41)) AS k)),
+@query("lomb_scargle", _with(SQL_EVENTS) + f""", d AS (SELECT *, mjd - lag(mjd) OVER ({WO}) AS d FROM events_hourly), st AS (SELECT {K}, median(d) AS step FROM d WHERE d > 0 GROUP BY {K}),
+    x AS (SELECT e.station_id, e.component, step, mjd - min(mjd) OVER (PARTITION BY e.component) AS t, value - avg(value) OVER (PARTITION BY e.component) AS c, max(mjd) OVER (PARTITION BY e.component) - min(mjd) OVER (PARTITION BY e.component) AS span FROM events_hourly e JOIN st ON e.component = st.component),
+    n AS (SELECT DISTINCT component AS own, unnest(range(1, CAST(floor(4.0 * span / (2 * step) + 1e-6) AS BIGINT) + 1)) AS k FROM (SELECT component, any_value(span) AS span, any_value(step) AS step FROM x GROUP BY 1)),
+    f AS (SELECT x.*, k, k / (span * 4.0) AS f, 2 * pi() * k / (span * 4.0) * t AS a FROM x JOIN n ON own = component),
     s AS (SELECT {K}, k, any_value(f) AS f, count(*) AS n, sum(sin(2 * a)) AS s2, sum(cos(2 * a)) AS c2, sum(c * sin(a)) AS ys, sum(c * cos(a)) AS yc, sum(c * c) AS yy FROM f GROUP BY {K}, k),
     u AS (SELECT *, cos(atan2(s2, c2) / 2) AS co, sin(atan2(s2, c2) / 2) AS si, sqrt(s2 * s2 + c2 * c2) AS r FROM s)
-    SELECT {K}, k, round(f, 8) AS frequency, round(0.5 * (pow(yc * co + ys * si, 2) / ((n + r) / 2) + pow(ys * co - yc * si, 2) / ((n - r) / 2)) / (yy / (n - 1)), 7) AS power FROM u""")
+    SELECT {K}, k, round(f, 8) AS frequency, round(0.5 * (pow(yc * co + ys * si, 2) / ((n + r) / 2) + CASE WHEN (n - r) / 2 > 1e-10 * n THEN pow(ys * co - yc * si, 2) / ((n - r) / 2) ELSE 0 END) / (yy / (n - 1)), 6) AS power FROM u""")
 def lomb_scargle(spark, sf):
-    x = models.lomb_scargle(fx.events_hourly(spark, sf), 40).drop("fap").withColumn("k", F.col("k").cast("bigint"))
-    return rounded(rounded(x, 8, "frequency"), 7, "power")
+    """The whole grid, to half the inverse of the median step; a sine that vanishes at all epochs adds no power."""
+    return rounded(rounded(models.lomb_scargle(fx.events_hourly(spark, sf)).drop("fap").withColumn("k", F.col("k").cast("bigint")), 8, "frequency"), 6, "power")
 
 
 @query("block_maxima", _with(SQL_ORDERS) + f""", r AS (SELECT *, (row_number() OVER ({WO}) - 1) // 30 AS block, count(*) OVER ({W}) AS n FROM orders_daily) SELECT {K}, CAST(block AS BIGINT) AS block, max(value) AS maximum FROM r WHERE (block + 1) * 30 <= n GROUP BY {K}, block""")
@@ -538,8 +541,7 @@ POINTS = "p AS (SELECT c_custkey, (c_custkey % 160 - 80)::DOUBLE AS lat, (c_cust
 @query("haversine_consecutive", f"""WITH {POINTS}, n AS (SELECT *, lead(lat) OVER (ORDER BY c_custkey) AS lat2, lead(lon) OVER (ORDER BY c_custkey) AS lon2 FROM p)
     SELECT c_custkey, round(2 * 6371000.0 * asin(sqrt(least(pow(sin(radians(lat2 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon) / 2), 2), 1.0))), 2) AS distance FROM n WHERE lat2 IS NOT NULL""")
 def haversine_consecutive(spark, sf):
-    w = Window.orderBy("c_custkey")
-    n = customer_points(spark, sf).withColumns({"lat2": F.lead("lat").over(w), "lon2": F.lead("lon").over(w)}).where("lat2 is not null")
+    n = ordered.with_lead(customer_points(spark, sf), "c_custkey", ["lat", "lon"])
     return n.select("c_custkey", F.round(geo.haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")), 2).alias("distance"))
 
 
@@ -663,7 +665,6 @@ def _late():
         "kriging_grid": lambda s, f: spatial.interpolate(plane(s, f), cells(s), "kriging"),
         "kriging_series": lambda s, f: spatial.krige_series(_hourly(s, f), [60320.0]),
         "homogenize": lambda s, f: homogenize(fx.gappy(fx.orders_daily(s, f)), HomogenizeConfig(deseasonalize="moving_average", window=31))[0],
-        "vincenty_consecutive": lambda s, f: customer_points(s, f).select("c_custkey", geo.vincenty_inverse(F.col("lat"), F.col("lon"), F.lit(49.5), F.lit(15.0)).alias("v")).select("c_custkey", "v.distance", "v.azimuth1", "v.azimuth2"),
     })
 
 

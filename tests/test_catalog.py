@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from cadenza.plans import catalog
+from cadenza.plans import catalog, more
 
 SF = "/root/testdata/sf0.01"
 
@@ -20,7 +20,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES | more.ORACLES))
 def test_query_equals_sql(spark, duck, name):
     got, want = catalog.QUERIES[name](spark, SF).toPandas(), duck.sql(catalog.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
