@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cadenza.functions import dist, geodesy, numeric, timefn
 from cadenza.operators import cluster, extremes, filters, gaps, gnss, homogeneity, models, multivariate, outliers, regression, relational, resample, spatial, stats
 from cadenza.plans.homogenize import HomogenizeConfig, homogenize
-from cadenza.schema import ConfigError
+from cadenza.schema import ConfigError, DataError
 
 NAN = float("nan")
 
@@ -365,3 +365,103 @@ def test_tides_and_wind_up():
         last = gnss.wind_up(26.5e6 * np.array([math.cos(a), math.sin(a) * 0.6, math.sin(a) * 0.8]), rec, sun, last)
         w.append(last)
     assert np.abs(np.diff(w)).max() <= 0.5
+
+
+def test_precise_positions(spark):
+    """A station at rest, satellites on circles, observations with clock, troposphere, tide, wind-up and biases."""
+    truth = np.array([3975472.0, 1050389.0, 4857697.0])
+    lat, lon, h = geodesy.ecef_np(truth)
+    rng = np.random.default_rng(12)
+    t0 = 2295 * 604800.0 + 40_000.0
+    planes = [(rng.uniform(0, 2 * math.pi), rng.uniform(0.7, 1.1), rng.uniform(0, 2 * math.pi)) for _ in range(24)]
+
+    def sat(k, t):
+        node, inc, phase = planes[k]
+        a = phase + 1.2e-4 * (t - t0)
+        p = 26.56e6 * np.array([math.cos(a), math.sin(a) * math.cos(inc), math.sin(a) * math.sin(inc)])
+        return np.array([p[0] * math.cos(node) - p[1] * math.sin(node), p[0] * math.sin(node) + p[1] * math.cos(node), p[2]])
+
+    orbits = [(t0 + 300.0 * j, f"G{k + 1:02d}", *map(float, sat(k, t0 + 300.0 * j)), 1e-5 * k) for k in range(24) for j in range(-12, 30)]
+    offset = lambda k: [0.2, 0.0, 1.0 + 1.5 * (k % 4)]
+    delay = lambda k: 4.0 * (k % 3)  # noqa: E731  nanoseconds of the first code
+    zhd, _ = gnss.saastamoinen(lat, h)
+    f1, f2 = (f * 1e6 for f in gnss.FREQ["G"])
+    rows, wound = [], {}
+    for j in range(40):
+        t = t0 + 60.0 * j
+        sun = gnss.sun_moon(t)[0]
+        here = truth + gnss.solid_tide(truth, t)
+        for k in range(24):
+            tau = 0.07
+            for _ in range(6):
+                c = sat(k, t - tau)
+                rho = float(np.linalg.norm(gnss.sagnac(c + gnss.body_axes(c, sun).T @ offset(k), tau) - here))
+                tau = rho / gnss.C
+            p = gnss.sagnac(c + gnss.body_axes(c, sun).T @ offset(k), tau)
+            _, el = gnss.azimuth_elevation(truth, p)
+            if el < 10:
+                continue
+            v = sat(k, t - tau + 0.5) - sat(k, t - tau - 0.5)
+            mh, mw = gnss.niell(lat, h, (t / 86400) % 365.25, el)
+            base = rho + 30.0 - gnss.C * (1e-5 * k - 2 * float(c @ v) / gnss.C**2) + zhd * mh + 0.12 * mw
+            wound[k] = gnss.wind_up(p, truth, sun, wound.get(k))
+            obs = {"C1C": base + delay(k) * gnss.C * 1e-9, "C2W": base, "L1C": (base + 3.0 * gnss.C / f1) * f1 / gnss.C + wound[k], "L2W": (base + 5.0 * gnss.C / f2) * f2 / gnss.C + wound[k]}
+            obs = {n: float(x) for n, x in obs.items()}
+            rows.append(("st", t, f"G{k + 1:02d}", obs))
+    obs = spark.createDataFrame(rows, "station string, t double, sat string, obs map<string,double>")
+    orb = spark.createDataFrame(orbits, "t double, sat string, x double, y double, z double, clock double")
+    bias = spark.createDataFrame([(f"G{k + 1:02d}", "C1C", delay(k), "ns") for k in range(24)], "sat string, code string, bias double, unit string")
+    ant = spark.createDataFrame([(f"G{k + 1:02d}", b, offset(k)) for k in range(24) for b in ("G01", "G02")], "serial string, frequency string, offset array<double>")
+    start = tuple(truth + [3.0, -2.0, 4.0])
+    last = lambda **kw: gnss.ppp(obs, orb, start, ["station"], **kw).orderBy("t").toPandas().iloc[-1]
+    r = last(biases=bias, antennas=ant)
+    error = lambda r: float(np.linalg.norm(r[["x", "y", "z"]].to_numpy(float) - truth))
+    assert error(r) < 0.1 and r["n_sats"] >= 5
+    assert error(last(antennas=ant)) > 3 * error(r) and error(last(biases=bias)) > 1.5 * error(r)
+
+
+def test_order_without_one_partition(spark):
+    from cadenza.operators import ordered
+
+    rng = np.random.default_rng(3)
+    t = np.sort(rng.exponential(1, 500)) * 100
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(t, rng.normal(size=500), strict=True)], "mjd double, v double").repartition(7)
+    got = ordered.numbered(df, "mjd", range_rows=40).orderBy("mjd").toPandas()
+    assert got["idx"].tolist() == list(range(500)) and got["mjd"].tolist() == t.tolist()
+    lead = ordered.with_lead(df, "mjd", ["v"], 2, range_rows=40).orderBy("mjd").toPandas()
+    assert len(lead) == 498 and lead["v2"].tolist() == got["v"].tolist()[2:]
+    lags = ordered.with_lags(df, "mjd", ["v"], 2, range_rows=40).orderBy("_r").toPandas()
+    assert lags["v__2"].tolist()[2:] == got["v"].tolist()[:-2] and lags["v__1"].isna().sum() == 1
+    whole = relational.sync_outer([df.select("mjd")], 0.05).orderBy("mjd").toPandas()["mjd"].to_numpy()
+    cut = relational.sync_outer([df.select("mjd")], 0.05, range_rows=30).orderBy("mjd").toPandas()["mjd"].to_numpy()
+    assert np.allclose(whole, cut)
+
+
+def test_seasonal_trend_regression(spark):
+    """Parts of a series that is made of a trend, a season and little noise come back; a spike does not move them."""
+    i = np.arange(240)
+    season = np.sin(2 * np.pi * i / 24) + 0.4 * np.cos(4 * np.pi * i / 24)
+    x = 5 + 0.02 * i + season + 0.01 * np.random.default_rng(1).normal(size=240)
+    s = models.stl_np(x, 24)
+    assert np.abs(s["seasonal"] - season).max() < 0.1 and np.abs(s["trend"] - 5 - 0.02 * i).max() < 0.1
+    x[100] += 50
+    r = models.stl_np(x, 24, outer=10)
+    assert np.abs(np.delete(r["seasonal"] - season, 100)).max() < 0.2 and r["residual"][100] > 45
+    assert np.allclose(s["trend"] + s["seasonal"] + s["residual"], np.where(i == 100, x - 50, x))
+    with pytest.raises(DataError):
+        models.stl_np(x[:40], 24)
+
+
+def test_local_regression_equals_row_by_row():
+    rng = np.random.default_rng(2)
+    x = np.cumsum(rng.normal(size=90))
+    for degree, kernel in ((1, "tricube"), (2, "epanechnikov"), (1, "gaussian")):
+        got = filters.loess_fit(x, 0.3, degree, 0, kernel)
+        k = math.ceil(0.3 * 90)
+        for i in (0, 3, 44, 89):
+            lo = min(max(0, i - (k - 1) // 2), 90 - k)
+            j = np.arange(lo, lo + k)
+            u = np.abs(j - i) / max(i - lo, lo + k - 1 - i)
+            w = {"tricube": (1 - u**3) ** 3, "epanechnikov": 1 - u**2, "gaussian": np.exp(-4.5 * u**2)}[kernel]
+            a = np.vander(j - i, degree + 1, increasing=True) * np.sqrt(w)[:, None]
+            assert abs(np.linalg.lstsq(a, x[j] * np.sqrt(w), rcond=None)[0][0] - got[i]) < 1e-8
