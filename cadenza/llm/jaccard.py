@@ -334,29 +334,33 @@ class Index:
         return some[7 * overlap >= 3 * (n + self.size[some])]
 
 
-def spanning(ids: np.ndarray, hashes: np.ndarray, offsets: np.ndarray, queries: np.ndarray) -> tuple[list[int], list[int]]:
-    """Links between the queries and all documents that join components; one link for each join."""
+def spanning(ids: np.ndarray, hashes: np.ndarray, offsets: np.ndarray) -> tuple[list[int], list[int]]:
+    """Links between the documents that join components; one link for each join.
+
+    A pair is looked for once, when the first of it asks, and not if links already join it. Whoever asks next is outside
+    the component that has the most documents left to ask; when all that are left are of one component, none needs to.
+    """
     index = Index(hashes, offsets)
     of = np.arange(len(ids))  # the component of each document
-    open_ = np.ones(len(ids), bool)  # those that have not asked yet
+    left = np.ones(len(ids), bool)  # those that have not asked
     a, b = [], []
-    for q in queries.tolist():
-        open_[q] = False  # a pair is looked for once
-        among = open_ & (of != of[q])
-        if not among.any():
-            continue
-        for d in index.search(hashes[offsets[q] : offsets[q + 1]], among).tolist():
+    while True:
+        at = np.flatnonzero(left)
+        sizes = np.bincount(of[at], minlength=len(ids))
+        largest = int(sizes.argmax()) if len(at) else 0
+        others = at[of[at] != largest]
+        if not len(others):
+            return a, b
+        q = int(others[0])
+        left[q] = False
+        for d in index.search(hashes[offsets[q] : offsets[q + 1]], left & (of != of[q])).tolist():
             if of[q] != of[d]:
                 of[of == of[d]] = of[q]
                 a.append(int(ids[q])), b.append(int(ids[d]))
-    return a, b
 
 
 def _search_block(key: tuple, t: pa.Table) -> pa.Table:
-    ids, hashes, offsets = _load(t)
-    mine = set(t.column("cls").filter(t.column("asks")).to_pylist())
-    queries = np.flatnonzero(np.fromiter((i in mine for i in ids.tolist()), bool, len(ids)))
-    a, b = spanning(ids, hashes, offsets, queries)
+    a, b = spanning(*_load(t))
     return _table(a=pa.array(a, pa.int64()), b=pa.array(b, pa.int64()))
 
 
@@ -368,11 +372,11 @@ def in_parts(of_block: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def links(sets: DataFrame) -> DataFrame:
     """(a, b): enough links between the classes of sets (cls, block, parts, part, sets) to join all that link."""
-    # part i meets part j in task (i, j), i <= j; the classes of i ask
+    # part i meets part j in task (i, j), i <= j
     tasks = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("part")).cast("int").alias("i"), F.greatest(k, F.col("part")).cast("int").alias("j")))
     )
-    dealt = sets.select("block", "cls", "sets", "part", F.explode(tasks).alias("t")).select("block", "t.i", "t.j", "cls", "sets", (F.col("part") == F.col("t.i")).alias("asks"))
+    dealt = sets.select("block", "cls", "sets", F.explode(tasks).alias("t")).select("block", "t.i", "t.j", "cls", "sets")
     return dealt.groupBy("block", "i", "j").applyInArrow(lean(_search_block), "a bigint, b bigint")
 
 

@@ -15,7 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, LongType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 from pyspark.sql.window import Window
 
 from cadenza.llm.common import mix
@@ -260,7 +261,7 @@ def choose(keys: DataFrame, most: int, sample_rows: int = SAMPLE_ROWS, sample_by
 
 def fetch(docs: DataFrame, chosen: list[tuple], kind: DataType, cols: tuple[str, ...] = ()) -> pa.Table:
     """The chosen texts, whole, on the driver: doc_id, text, cols, y, h, in the order of doc_id. Rows that repeat come once."""
-    keys = docs.sparkSession.createDataFrame(chosen, StructType([StructField("y", kind), StructField("h", LongType())]))
+    keys = docs.sparkSession.createDataFrame(pa.table({"y": pa.array([y for y, _ in chosen], to_arrow_type(kind)), "h": pa.array([h for _, h in chosen], pa.int64())}))
     own = docs.where(F.octet_length("text") > 0).select("doc_id", "text", *cols, F.xxhash64("doc_id", "text").alias("h"))
     found = own.join(F.broadcast(keys), "h").groupBy("y", "h").agg(*[F.min(c).alias(c) for c in ("doc_id", "text", *cols)])  # SAMPLE_ROWS keys at most
     t = found.select("doc_id", "text", *cols, "y", "h").toArrow()
