@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import os
 import shutil
 import tempfile
 import uuid
@@ -15,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 #: An Arrow batch of texts has at most so many rows and, but for a longer row alone, so many bytes.
 BATCH_ROWS, BATCH_BYTES = 4000, 8_000_000
@@ -62,8 +64,18 @@ def held(key: Hashable, make: Callable[[], Any]) -> Any:
     return _held[key]
 
 
+#: Bytes of a worker from which what it no longer uses is worth giving back.
+RESIDENT = 200_000_000
+
+
 def release() -> None:
     """Give the system back what is free. Spark keeps its workers between tasks, and the allocators keep what they had."""
+    try:
+        with open("/proc/self/statm") as f:
+            if int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") < RESIDENT:
+                return
+    except OSError:
+        pass
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
@@ -122,8 +134,13 @@ def goes_at_exit(spark: SparkSession, at: str) -> None:
     fs.deleteOnExit(path)
 
 
+def on_disk(df: DataFrame) -> DataFrame:
+    """df on the executors' disks once it is made, for tables that are used again; what a lost executor had is made again."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 #: Bytes that a file of a narrow table should have at least.
-FILE_BYTES = 8_000_000
+FILE_BYTES = 32_000_000
 
 
 def write_out(df: DataFrame, name: str, most_bytes: float | None = None) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import components, drop_out, lean, mix, pieces, unused, utf8_lists, write_out
+from cadenza.llm.common import components, drop_out, lean, mix, on_disk, pieces, unused, utf8_lists, write_out
 from cadenza.llm.subword import spread, sums
 from cadenza.llm.suffix_dedup import bucket_of, changes, pack, unpack
 from cadenza.llm.words import LOWER, blocks, shingles, word_hashes
@@ -383,7 +383,7 @@ def links(sets: DataFrame) -> DataFrame:
 def _classes(docs: DataFrame, block: int) -> DataFrame:
     """classes(), with the text's key (t1, t2)."""
     docs = docs.select("doc_id", "text")
-    own = write_out(prints(docs), "prints")
+    own = on_disk(prints(docs))
     rows = own.count()
     reps = own.where("n_shingles > 0").groupBy("p", "q").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("need").alias("need"), F.min(F.struct("t1", "t2")).alias("t"))
     reps = write_out(reps.select(F.monotonically_increasing_id().alias("cls"), "p", "q", "rep", "n", "need", "t.t1", "t.t2"), "classes", 64 * rows)
@@ -393,7 +393,7 @@ def _classes(docs: DataFrame, block: int) -> DataFrame:
     shared = _shared(docs, buckets)
     alive = reps.where("n > 2").withColumn("p40", F.shiftrightunsigned("p", 24)).join(shared, "p40").where("shared >= need").select("cls", "p", "n", "t1", "t2")
     alive = write_out(alive, "alive", 48 * rows)
-    left, shingles_left = alive.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    shingles_left = alive.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # one text of each class left: copies are combined before the shuffle, and classes grow with the corpus, so neither side
     # is broadcast
     texts = docs.select("text", *text_key("text")).groupBy("t1", "t2").agg(F.first("text").alias("text"))
@@ -403,13 +403,11 @@ def _classes(docs: DataFrame, block: int) -> DataFrame:
     prefixes = write_out(_rare_prefixes(sets, groups), "prefixes", 4 * shingles_left)
     first = prefixes.groupBy("h").agg(F.min("cls").alias("m"), F.count("*").alias("c")).where("c > 1").select("h", "m")
     stars = prefixes.join(first, "h").where("cls <> m").select(F.col("cls").alias("a"), F.col("m").alias("b")).distinct()
-    of_block = write_out(components(stars).toDF("cls", "block"), "blocks", 16 * left)
-    of_part = write_out(in_parts(of_block, block), "parts", 24 * left)
-    linked = components(links(sets.join(of_part, "cls"))).toDF("cls", "component")
-    # a component is named by the smallest doc_id among its classes
-    linked = write_out(linked, "linked", 16 * left)
-    for done in (alive, sets, prefixes, of_block, of_part):
+    of_block = components(stars).toDF("cls", "block")
+    linked = components(links(sets.join(in_parts(of_block, block), "cls"))).toDF("cls", "component")
+    for done in (alive, sets, prefixes, of_block):
         drop_out(done)
+    # a component is named by the smallest doc_id among its classes
     named = linked.join(reps.select("cls", "rep"), "cls")
     least = named.groupBy("component").agg(F.min("rep").alias("least"))
     to = reps.select("cls", "p", "q", "rep").join(linked.join(least, "component").select("cls", "least", F.lit(True).alias("found")), "cls", "left")

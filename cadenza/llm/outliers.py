@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cadenza.functions.dist import chi2_cdf, chi2_quantile
-from cadenza.llm.common import drop_out, pieces, utf8_lists, write_out
+from cadenza.llm.common import drop_out, on_disk, pieces, utf8_lists, write_out
 from cadenza.llm.words import blocks, shingles, word_hashes
 
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -188,7 +188,7 @@ def screen(docs: DataFrame, share: float = SHARE, least: int = LEAST, cutoff: fl
     base rules. Other columns of docs are ignored.
     """
     own = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
-    t = write_out(transformed(count_table(docs)).withColumns({"lang_key": own("lang"), "fine": F.concat_ws("\x1f", own("lang"), own("source"))}), "counts")
+    t = on_disk(transformed(count_table(docs)).withColumns({"lang_key": own("lang"), "fine": F.concat_ws("\x1f", own("lang"), own("source"))}))
     sizes = t.where("not base_failed").groupBy("lang_key", "fine").count()
     of_lang = sizes.groupBy("lang_key").agg(F.sum("count").alias("in_lang"))
     # every (lang, source) of the table, those without a text that passes too

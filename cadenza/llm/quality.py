@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from cadenza.llm.common import drop_out, mix, pieces, unused, utf8_lists, write_out
+from cadenza.llm.common import mix, on_disk, pieces, unused, utf8_lists
 from cadenza.llm.subword import SAMPLE_BYTES, Subword, choose, fetch, learnable, logistic, platt, sigmoid, split_words, spread, sums, text_rows
 from cadenza.llm.words import blocks
 
@@ -165,13 +165,13 @@ def _exchange(docs: DataFrame, labels: DataFrame, model: Quality, pool: int, sam
     rows = docs.where(F.octet_length("text") > 0).select("*", F.xxhash64("doc_id", "text").alias("h"), F.octet_length("text").cast("bigint").alias("n"), F.pmod(F.xxhash64("lang", "source"), F.lit(STRATA)).cast("int").alias("s"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h bigint, n bigint, s int, by_text int, by_page int"
     said = rows.mapInArrow(pieces(run), schema).where("by_text >= 0 or by_page >= 0")
-    said = write_out(said.join(labels.select("doc_id").distinct(), "doc_id", "left_anti"), "said")
+    said = on_disk(said.join(labels.select("doc_id").distinct(), "doc_id", "left_anti"))
     out = []
     for by in ("by_page", "by_text"):
         keys = said.where(F.col(by) >= 0).select((F.col("s") * 2 + F.col(by)).alias("y"), "h", "n")
         t = fetch(docs, choose(keys, pool, sample_bytes=sample_bytes), IntegerType(), tuple(READS[1:]))
         out.append((t, t.column("y").to_numpy().astype(np.int64) % 2) if t.num_rows else None)
-    drop_out(said)
+    said.unpersist()
     return out
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cadenza.llm.common import lean, mix, utf8_lists, write_out
+from cadenza.llm.common import lean, mix, on_disk, utf8_lists
 from cadenza.llm.subword import spread
 from cadenza.llm.words import blocks, factors
 
@@ -521,18 +521,21 @@ def _bounds(docs: DataFrame, group_bytes: float) -> tuple[np.ndarray, int]:
 
     Ids are sorted range by range, as narrow rows, and a group ends where its bytes are full; an id's rows stay together.
     """
-    ids = write_out(docs.groupBy("id").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")), "sizes")
+    ids = on_disk(docs.groupBy("id").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")))
     total = ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     group_bytes = max(group_bytes, total / MOST_GROUPS)
     groups = -(-total // group_bytes)
     if groups <= 1:
+        ids.unpersist()
         return np.zeros(0, np.int64), total
     ranges = int(min(MOST_RANGES, -(-groups // RANGE)))
     edges = sorted(set(ids.select(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or [])) if ranges > 1 else []
     of = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col("id"))) if edges else F.lit(0)
     part = F.floor((F.sum("n").over(Window.partitionBy("r").orderBy("id")) - F.col("n")) / F.lit(float(group_bytes)))
     firsts = ids.withColumn("r", of).withColumn("part", part).groupBy("r", "part").agg(F.min("id").alias("first"))
-    return np.sort(np.array([x.first for x in firsts.select("first").collect()], np.int64))[1:], total
+    bounds = np.sort(np.array([x["first"] for x in firsts.select("first").collect()], np.int64))[1:]
+    ids.unpersist()
+    return bounds, total
 
 
 def _solve(docs: DataFrame, cols: list[str], make: Callable, schema: str, group_bytes: float, wide: int, narrow: int) -> DataFrame:
@@ -545,14 +548,14 @@ def _solve(docs: DataFrame, cols: list[str], make: Callable, schema: str, group_
         return pa.array(np.searchsorted(shared.value, ids.to_numpy(zero_copy_only=False), side="right"), pa.int64())
 
     buckets = max(1, int(-(-total * 0.075 // BUCKET)))
-    # the partitions of groups follow the bytes, whatever the session's shuffle partitions
+    # partitions follow the bytes, whatever the session's shuffle partitions
     parts = max(1, int(-(-total // PARTITION)))
     dealt = docs.select((group_of("id") if len(bounds) else F.lit(0).cast("bigint")).alias("g"), "id", "text", *cols).repartition(parts, "g")
     said = dealt.groupBy("g").applyInArrow(lean(_announce(buckets, narrow)), "bucket bigint, g bigint, rows binary")
-    heard = said.groupBy("bucket").applyInArrow(lean(_answer(wide)), "g bigint, kind int, rows binary")
+    heard = said.repartition(parts, "bucket").groupBy("bucket").applyInArrow(lean(_answer(wide)), "g bigint, kind int, rows binary")
     ask, have = heard.where(F.col("kind") != WHOLE), heard.where(F.col("kind") == WHOLE)
     sent = dealt.groupBy("g").cogroup(ask.repartition(parts, "g").groupBy("g")).applyInArrow(lean(_send(4 * buckets)), "bucket bigint, g bigint, rows binary")
-    found = sent.groupBy("bucket").applyInArrow(lean(_compare), "g bigint, kind int, rows binary")
+    found = sent.repartition(2 * parts, "bucket").groupBy("bucket").applyInArrow(lean(_compare), "g bigint, kind int, rows binary")
     return dealt.groupBy("g").cogroup(have.unionByName(found).repartition(parts, "g").groupBy("g")).applyInArrow(lean(_finish(make)), schema)
 
 
