@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.llm import bpe, decontam, jaccard, quality, suffix_dedup
-from cadenza.llm.common import table, write_out
+from cadenza.llm.common import drop_out, table, write_out
 from cadenza.session import ship
 
 
@@ -52,7 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = write_out(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            drop_out(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
