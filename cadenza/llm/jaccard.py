@@ -259,27 +259,35 @@ def merge_skip(lists: list[list[int]], least: int) -> list[tuple[int, int]]:
     Where the least document of the heap is in too few lists, least-1 heads go, and their lists skip by binary search to
     the head that is then the least: nothing before it can be in `least` lists.
     """
-    heap = [(x[0], k, 0) for k, x in enumerate(lists) if x]
+    # a head is one number: its document, then its list
+    shift = len(lists).bit_length()
+    mask = (1 << shift) - 1
+    heap = [x[0] << shift | k for k, x in enumerate(lists) if x]
     heapq.heapify(heap)
+    place = [0] * len(lists)
     out: list[tuple[int, int]] = []
+    pop, push = heapq.heappop, heapq.heappush
     while len(heap) >= least:
-        doc, seen = heap[0][0], []
-        while heap and heap[0][0] == doc:
-            seen.append(heapq.heappop(heap))
+        doc = heap[0] >> shift
+        limit = doc + 1 << shift
+        seen = []
+        while heap and heap[0] < limit:
+            seen.append(pop(heap) & mask)
         if len(seen) >= least:
             out.append((doc, len(seen)))
-            to = doc + 1
-        else:
-            while heap and len(seen) < least - 1:
-                seen.append(heapq.heappop(heap))
-            if not heap:
-                break
-            to = heap[0][0]
-        for _, k, at in seen:
+            for k in seen:
+                at = place[k] = place[k] + 1
+                if at < len(lists[k]):
+                    push(heap, lists[k][at] << shift | k)
+            continue
+        for _ in range(least - 1 - len(seen)):
+            seen.append(pop(heap) & mask)
+        to = heap[0] >> shift
+        for k in seen:
             x = lists[k]
-            at = bisect_left(x, to, at)
+            at = place[k] = bisect_left(x, to, place[k])
             if at < len(x):
-                heapq.heappush(heap, (x[at], k, at))
+                push(heap, x[at] << shift | k)
     return out
 
 
@@ -287,7 +295,7 @@ class Index:
     """Inverted lists over the sets of a block, and the DivideSkip search in them."""
 
     #: Cost of merging against probing that sets how many lists count as long.
-    MU = 0.01
+    MU = 0.003
 
     def __init__(self, hashes: np.ndarray, offsets: np.ndarray):
         self.tokens, inverse = np.unique(hashes, return_inverse=True)
