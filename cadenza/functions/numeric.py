@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 from cadenza.schema import ConfigError, DataError, SingularMatrix
@@ -260,6 +262,33 @@ def randomized_svd(a: np.ndarray, rank: int, oversample: int = 10, power: int =
     return (q @ u)[:, :rank], s[:rank], vt[:rank]
 
 
+class Svd:
+    """The thin singular value decomposition of a matrix, and what is read off it."""
+
+    def __init__(self, a: np.ndarray):
+        self.u, self.s, self.vt = np.linalg.svd(np.asarray(a, float), full_matrices=False)
+
+    def rank(self, tol: float | None = None) -> int:
+        top = self.s[0] if len(self.s) else 0.0
+        return int((self.s > (tol if tol is not None else max(self.u.shape[0], self.vt.shape[1]) * np.finfo(float).eps * top)).sum())
+
+    def condition(self) -> float:
+        return float(self.s[0] / self.s[-1]) if len(self.s) and self.s[-1] > 0 else math.inf
+
+    def explained(self) -> np.ndarray:
+        """Share of the sum of squares of each component."""
+        total = float((self.s**2).sum())
+        return self.s**2 / total if total > 0 else np.zeros_like(self.s)
+
+    def truncated(self, k: int) -> np.ndarray:
+        """The nearest matrix of rank k."""
+        return (self.u[:, :k] * self.s[:k]) @ self.vt[:k]
+
+    def pinv(self, tol: float | None = None) -> np.ndarray:
+        k = self.rank(tol)
+        return (self.vt[:k].T / self.s[:k]) @ self.u[:, :k].T
+
+
 def hankel(x: np.ndarray, window: int) -> np.ndarray:
     """Rows of `window` consecutive values."""
     return np.lib.stride_tricks.sliding_window_view(x, window)

@@ -371,12 +371,57 @@ def spectrogram(df: DataFrame, window: int = 1461, overlap: float = 0.5, low: fl
     return reduce_series(df, run, "mid double, frequency double, psd double", keys, order, value).drop("error")
 
 
+#: Frequencies that a row meets at once.
+FREQUENCY_BLOCK = 4096
+
+
+def _trigonometric_sums(x: DataFrame, oversampling: float, keys: list[str]) -> DataFrame:
+    """Per key and frequency number _k: the sums of a spectrum over the rows (_t, _c) of x; _w frequencies, _span days."""
+    names = ["s2", "c2", "ys", "yc"]
+    types = {f.name: f.dataType.simpleString() for f in x.schema.fields}
+    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["_k int, frequency double, _w int, n bigint", *[f"{c} double" for c in names], "yy double"])
+
+    def run(parts):
+        import pandas as pd
+
+        sums: dict[tuple, list] = {}
+
+        def rows():
+            for key, (f, w, n, a, yy) in sums.items():
+                k = np.arange(key[-1] * FREQUENCY_BLOCK + 1, min(w, (key[-1] + 1) * FREQUENCY_BLOCK) + 1)
+                yield pd.DataFrame({**{c: [v] * len(k) for c, v in zip(keys, key, strict=False)}, "_k": k, "frequency": f, "_w": w, "n": n, **dict(zip(names, a, strict=True)), "yy": yy})
+
+        for pdf in parts:
+            for key, g in pdf.groupby([*keys, "_block"], dropna=False):
+                t, c, w = g["_t"].to_numpy(float), g["_c"].to_numpy(float), int(g["_w"].iloc[0])
+                k = np.arange(key[-1] * FREQUENCY_BLOCK + 1, min(w, (key[-1] + 1) * FREQUENCY_BLOCK) + 1)
+                f = k / (float(g["_span"].iloc[0]) * oversampling)
+                if key not in sums:
+                    sums[key] = [f, w, 0, np.zeros((4, len(k))), 0.0]
+                for i in range(0, len(t), 64):
+                    angle = 2 * np.pi * (t[i : i + 64, None] * f[None])
+                    sin, cos = np.sin(angle), np.cos(angle)
+                    sums[key][3] += np.stack([2 * (sin * cos).sum(0), len(angle) - 2 * (sin * sin).sum(0), c[i : i + 64] @ sin, c[i : i + 64] @ cos])
+                sums[key][2] += len(t)
+                sums[key][4] += float((c * c).sum())
+            if len(sums) > 500:  # sums of one block may come in parts
+                yield from rows()
+                sums.clear()
+        yield from rows()
+
+    blocks = x.withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_w") - 1) / FREQUENCY_BLOCK).cast("int"))))
+    spark = x.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)  # few rows, much work
+    parts = blocks.repartition(tasks, "_block", *keys).mapInPandas(run, schema)
+    return parts.groupBy(*keys, "_k").agg(F.first("frequency").alias("frequency"), F.first("_w").alias("_w"), F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in [*names, "yy"]])
+
+
 def lomb_scargle(df: DataFrame, frequencies: int = 0, oversampling: float = 4.0, keys: list[str] = KEYS, order: str = "mjd", value: str = "value", compat: bool = False) -> DataFrame:
     """Normalised power at `frequencies` steps of 1/(oversampling span), and its false-alarm probability.
 
-    frequencies 0: as many as reach 1/(2 median step) of each series. Each frequency is a grouped sum over the rows, so
-    the work spreads over frequencies and rows alike and no series has to fit in a task. A sine or cosine that vanishes
-    at all epochs adds no power. compat divides the power by n once more.
+    frequencies 0: as many as reach 1/(2 median step) of each series. Rows meet blocks of frequencies, a block of a series
+    is summed in one task batch by batch, and no series has to fit in memory. A sine or cosine that vanishes at all epochs
+    adds no power. compat divides the power by n once more.
     """
     from pyspark.sql.window import Window
 
@@ -389,12 +434,7 @@ def lomb_scargle(df: DataFrame, frequencies: int = 0, oversampling: float = 4.0,
         x = x.withColumn("_step", F.when(d > 0, d))
         count = F.greatest(F.lit(1), F.floor(span * oversampling / (2 * F.median("_step").over(w)) + 1e-6).cast("int"))
     x = x.select(*keys, (F.col(order) - F.min(order).over(w)).alias("_t"), (F.col(value) - F.avg(value).over(w)).alias("_c"), span.alias("_span"), count.alias("_w"))
-    x = x.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_w")))).withColumn("frequency", F.col("_k") / (F.col("_span") * oversampling))
-    a = 2 * math.pi * F.col("frequency") * F.col("_t")
-    s = x.groupBy(*keys, "_k").agg(
-        F.first("frequency").alias("frequency"), F.first("_w").alias("_w"), F.count("*").alias("n"), F.sum(F.sin(2 * a)).alias("s2"), F.sum(F.cos(2 * a)).alias("c2"),
-        F.sum(F.col("_c") * F.sin(a)).alias("ys"), F.sum(F.col("_c") * F.cos(a)).alias("yc"), F.sum(F.col("_c") * F.col("_c")).alias("yy"),
-    )
+    s = _trigonometric_sums(x, oversampling, keys)
     tau = F.atan2("s2", "c2") / 2
     co, si = F.cos(tau), F.sin(tau)
     yc, ys = F.col("yc") * co + F.col("ys") * si, F.col("ys") * co - F.col("yc") * si

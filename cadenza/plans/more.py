@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cadenza.functions import dist
+from cadenza.functions import dist, numeric
 from cadenza.functions import geodesy as geo
 from cadenza.functions import timefn as tf
-from cadenza.operators import cluster, extremes, filters, gaps, gnss, homogeneity, models, multivariate, ordered, regression, relational, spatial, stats
+from cadenza.operators import cluster, extremes, filters, gaps, gnss, homogeneity, hypothesis, models, multivariate, ordered, regression, relational, resample, spatial, splines, stats
+from cadenza.operators.series import reduce_series
 from cadenza.plans import fixtures as fx
 from cadenza.plans.catalog import ORACLES, QUERIES, K, POINTS, W, WO, _with, customer_points, query, rounded
 from cadenza.plans.fixtures import KEY, SQL_EVENTS, SQL_GAPPY, SQL_ORDERS, SQL_SHIP
@@ -164,6 +165,12 @@ def protocol_text(spark, sf):
     return sinks.protocol(s)
 
 
+@query("protocol_of_summary", _with(SQL_EVENTS) + f"""SELECT {K}, 'Quality control' || chr(10) || '===============' || chr(10) || 'station_id: ' || station_id || chr(10) || 'component: ' || component || chr(10) || 'rows: ' || count(*) || chr(10) || 'missing: 0' || chr(10) || 'other: 7' AS protocol FROM events_hourly GROUP BY {K}""")
+def protocol_of_summary(spark, sf):
+    s = fx.events_hourly(spark, sf).groupBy(*KEY).agg(F.lit(7).alias("other"), F.count_if(F.isnan("value")).alias("n_missing"), F.count("*").alias("n"))
+    return sinks.protocol(s, kind="qc")
+
+
 # ---- sets, look-ups and joins on time ------------------------------------------------------------------------------
 
 
@@ -615,3 +622,217 @@ def stream_windows(spark, sf):
 def window_advice(spark, sf):
     """The first peak of the autocorrelation of a daily cycle, as an odd window."""
     return filters.window_advice(known_series(spark, 480, lambda i: F.sin(i * 2 * 3.141592653589793 / 24), 1 / 24), "acf_peak").select(*KEY, "window")
+
+
+# ---- tests, fits and smoothers in closed form ----------------------------------------------------------------------
+
+
+@query("partial_autocorrelation", _with(SQL_EVENTS) + f""", x AS (SELECT {K}, mjd, value - avg(value) OVER ({W}) AS c FROM events_hourly), l AS (SELECT *, lag(c, 1) OVER ({WO}) AS l1, lag(c, 2) OVER ({WO}) AS l2 FROM x),
+    r AS (SELECT {K}, sum(c * l1) / sum(c * c) AS r1, sum(c * l2) / sum(c * c) AS r2 FROM l GROUP BY {K}) SELECT {K}, round(r1, 8) AS pacf1, round((r2 - r1 * r1) / (1 - r1 * r1), 8) AS pacf2 FROM r""")
+def partial_autocorrelation(spark, sf):
+    d = hypothesis.dependence(fx.events_hourly(spark, sf), 3)
+    return d.select(*KEY, (F.round(F.col("pacf")[1], 8) + 0.0).alias("pacf1"), (F.round(F.col("pacf")[2], 8) + 0.0).alias("pacf2"))
+
+
+@query("kolmogorov_distance", _with(SQL_EVENTS) + f""", z AS (SELECT {K}, (value - avg(value) OVER ({W})) / stddev_samp(value) OVER ({W}) AS z, row_number() OVER ({W} ORDER BY value) AS i, count(*) OVER ({W}) AS n FROM events_hourly),
+    f AS (SELECT {K}, i, n, 0.5 + sum((CASE WHEN k IN (0, 200) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(z * k / 200, 2) / 2)) * z / 600 / sqrt(2 * pi()) AS f FROM z CROSS JOIN (SELECT unnest(range(0, 201)) AS k) GROUP BY {K}, i, n, z)
+    SELECT {K}, round(max(greatest(i / n::DOUBLE - f, f - (i - 1) / n::DOUBLE)), 6) AS d FROM f GROUP BY {K}""")
+def kolmogorov_distance(spark, sf):
+    return hypothesis.normality(fx.events_hourly(spark, sf), "kolmogorov_smirnov").select(*KEY, F.round("statistic", 6).alias("d"))
+
+
+@query("critical_values", "SELECT n, round(-2.8621 - 2.738 / n - 8.36 / (n * n), 8) AS adf, round(-3.4335 - 5.999 / n - 29.25 / (n * n), 8) AS adf01, 0.463::DOUBLE AS kpss, 0.146::DOUBLE AS kpss_trend FROM (SELECT unnest([25.0, 100.0, 1000.0]) AS n)")
+def critical_values(spark, sf):
+    rows = [(n, round(dist.adf_critical(int(n)), 8), round(dist.adf_critical(int(n), alpha=0.01), 8), dist.kpss_critical(), dist.kpss_critical("trend")) for n in (25.0, 100.0, 1000.0)]
+    return spark.createDataFrame(rows, "n double, adf double, adf01 double, kpss double, kpss_trend double")
+
+
+@query("calendar_fields", "SELECT event_id, dayofyear(ts)::INT AS doy, strftime(ts, '%Y-%m-%d %H:%M:%S') AS utc FROM events")
+def calendar_fields(spark, sf):
+    e = fx.read(spark, sf, "events").select("event_id", tf.mjd_from_timestamp(F.col("ts").cast("timestamp")).alias("m"))
+    shown = tf.utc_string(F.col("m") + 2e-6 / 86400)  # the fraction of a day may fall short of a second by less than a microsecond
+    return e.select("event_id", tf.day_of_year(F.col("m") + 2e-6 / 86400).alias("doy"), F.substring(shown, 1, 19).alias("utc"))
+
+
+@query("welch_sums", _with(SQL_EVENTS) + f""", x AS (SELECT {K}, row_number() OVER ({WO}) - 1 AS j, count(*) OVER ({W}) AS n, value FROM events_hourly), s AS (SELECT x.*, p, j - 64 * p AS i FROM x CROSS JOIN (SELECT unnest(range(0, 40)) AS p) WHERE j >= 64 * p AND j < 64 * p + 128 AND 64 * p + 128 <= n),
+    c AS (SELECT *, value - avg(value) OVER ({W}, p) AS c FROM s), f AS (SELECT {K}, p, k, sum(c * cos(2 * pi() * k * i / 128)) AS a, sum(c * sin(2 * pi() * k * i / 128)) AS b FROM c CROSS JOIN (SELECT unnest(range(1, 64)) AS k) GROUP BY {K}, p, k)
+    SELECT {K}, k, round(avg(2 * (a * a + b * b) / 24 / 128), 5) AS psd FROM f GROUP BY {K}, k""")
+def welch_sums(spark, sf):
+    p = models.spectrum(fx.events_hourly(spark, sf), "welch", segment=128, window="rectangular")
+    w = Window.partitionBy(*KEY).orderBy("frequency")
+    return p.withColumn("k", (F.row_number().over(w) - 1).cast("bigint")).where("k between 1 and 63").select(*KEY, "k", (F.round("psd", 5) + 0.0).alias("psd"))
+
+
+@query("stft_sums", _with(SQL_EVENTS) + f""", x AS (SELECT {K}, row_number() OVER ({WO}) - 1 AS j, count(*) OVER ({W}) AS n, mjd, value FROM events_hourly), s AS (SELECT x.*, p, j - 128 * p AS i FROM x CROSS JOIN (SELECT unnest(range(0, 20)) AS p) WHERE j >= 128 * p AND j < 128 * p + 256 AND 128 * p + 256 <= n),
+    c AS (SELECT *, (value - avg(value) OVER ({W}, p)) * (0.5 - 0.5 * cos(2 * pi() * i / 255)) AS c, pow(0.5 - 0.5 * cos(2 * pi() * i / 255), 2) AS w FROM s),
+    f AS (SELECT {K}, p, k, avg(mjd) AS mid, sum(w) AS w, sum(c * cos(2 * pi() * k * i / 256)) AS a, sum(c * sin(2 * pi() * k * i / 256)) AS b FROM c CROSS JOIN (SELECT unnest(range(1, 33)) AS k) GROUP BY {K}, p, k)
+    SELECT {K}, round(mid, 6) AS mid, k, round(2 * (a * a + b * b) / 24 / w, 5) AS psd FROM f""")
+def stft_sums(spark, sf):
+    p = models.spectrogram(fx.events_hourly(spark, sf), 256, 0.5)
+    w = Window.partitionBy(*KEY, "mid").orderBy("frequency")
+    return p.withColumn("k", (F.row_number().over(w) - 1).cast("bigint")).where("k between 1 and 32").select(*KEY, F.round("mid", 6).alias("mid"), "k", (F.round("psd", 5) + 0.0).alias("psd"))
+
+
+LEVEL = SQL_EVENTS + f""", y AS (SELECT {K}, mjd, value, row_number() OVER ({WO}) AS i FROM events_hourly),
+    r AS (SELECT {K}, mjd, i, value AS y, 20.1::DOUBLE AS pp, value AS xp, 20.1 * 2.0::DOUBLE / 22.1 AS p, value AS x FROM y WHERE i = 1
+      UNION ALL SELECT y.station_id, y.component, y.mjd, y.i, y.value, r.p + 0.1, r.x, (r.p + 0.1) * 2.0 / (r.p + 0.1 + 2.0), r.x + (r.p + 0.1) / (r.p + 0.1 + 2.0) * (y.value - r.x) FROM r JOIN y ON y.i = r.i + 1 AND y.component = r.component)"""
+
+
+@query("kalman_likelihood", "WITH RECURSIVE " + LEVEL + f" SELECT {K}, round(sum(-0.5 * (ln(2 * pi() * (pp + 2)) + pow(y - xp, 2) / (pp + 2))), 4) AS loglik FROM r GROUP BY {K}")
+def kalman_likelihood(spark, sf):
+    k = models.kalman(fx.events_hourly(spark, sf), "local_level", "manual", 0.1, 2.0)
+    return k.groupBy(*KEY).agg((F.round(F.first("loglik"), 4) + 0.0).alias("loglik"))
+
+
+@query("smoother_recursion", "WITH RECURSIVE " + LEVEL + f""", n AS (SELECT component AS c, max(i) AS n FROM r GROUP BY 1),
+    s AS (SELECT {K}, mjd, i, x AS s, pp FROM r JOIN n ON c = component AND i = n UNION ALL SELECT r.station_id, r.component, r.mjd, r.i, r.x + r.p / (r.p + 0.1) * (s.s - r.x), r.pp FROM s JOIN r ON r.i = s.i - 1 AND r.component = s.component)
+    SELECT {K}, mjd, round(s, 5) AS smoothed FROM s""")
+def smoother_recursion(spark, sf):
+    return rounded(models.kalman(fx.events_hourly(spark, sf), "local_level", "manual", 0.1, 2.0).select(*KEY, "mjd", "smoothed"), 5, "smoothed")
+
+
+@query("autoregression_fit", _with(SQL_EVENTS) + f""", x AS (SELECT {K}, mjd, value - avg(value) OVER ({W}) AS c FROM events_hourly), l AS (SELECT *, lag(c) OVER ({WO}) AS l FROM x), a AS (SELECT {K}, sum(c * l) / sum(l * l) AS a FROM l WHERE l IS NOT NULL GROUP BY {K})
+    SELECT l.station_id, l.component, round(any_value(a), 7) AS ar1, round(avg(pow(c - a * l, 2)), 6) AS sigma2 FROM l JOIN a ON a.component = l.component WHERE l IS NOT NULL GROUP BY 1, 2""")
+def autoregression_fit(spark, sf):
+    def run(t, x):
+        f = models.arima_fit(x, 1, 0)
+        return {"ar1": f["ar"][0], "sigma2": f["sigma2"]}
+
+    f = reduce_series(fx.events_hourly(spark, sf), run, "ar1 double, sigma2 double")
+    return f.select(*KEY, (F.round("ar1", 7) + 0.0).alias("ar1"), F.round("sigma2", 6).alias("sigma2"))
+
+
+@query("line_with_errors", _with(SQL_ORDERS) + f""", x AS (SELECT {K}, mjd - min(mjd) OVER ({W}) AS x, value FROM orders_daily), m AS (SELECT {K}, count(*) AS n, avg(x) AS mx, regr_slope(value, x) AS b, regr_intercept(value, x) AS a, sum(x * x) - count(*) * avg(x) * avg(x) AS sxx FROM x GROUP BY {K}),
+    e AS (SELECT m.*, sum(pow(value - a - b * x, 2)) / (any_value(n) - 2) AS s2 FROM x JOIN m USING (station_id, component) GROUP BY ALL) SELECT {K}, round(sqrt(s2), 2) AS sigma0, round(sqrt(s2 / sxx), 5) AS se_slope, round(sqrt(s2 * (1.0 / n + mx * mx / sxx)), 2) AS se_intercept FROM e""")
+def line_with_errors(spark, sf):
+    f = regression.fit(fx.orders_daily(spark, sf), "linear")
+    return f.select(*KEY, F.round("sigma0", 2).alias("sigma0"), F.round(F.col("std_errors")[1], 5).alias("se_slope"), F.round(F.col("std_errors")[0], 2).alias("se_intercept"))
+
+
+@query("trend_known", "SELECT 'made' AS station_id, 'x' AS component, 7.0::DOUBLE AS a0, 0.02::DOUBLE AS a1, 3.0::DOUBLE AS sin1, -1.5::DOUBLE AS cos1")
+def trend_known(spark, sf):
+    x = known_series(spark, 800, lambda i: 7 + 0.02 * i + 3 * F.sin(i * (2 * 3.141592653589793 / 365.25)) - 1.5 * F.cos(i * (2 * 3.141592653589793 / 365.25)))
+    c = F.col("coefficients")
+    return regression.fit(x, "trend", period=365.25).select(*KEY, *[(F.round(c[i], 6) + 0.0).alias(n) for i, n in enumerate(("a0", "a1", "sin1", "cos1"))])
+
+
+@query("bspline_known", "SELECT 'made' AS station_id, 'x' AS component, 60000.0 + i AS mjd, round(1 + 0.5 * i - 0.02 * i * i + 0.0003 * pow(i, 3), 6) AS fitted FROM (SELECT unnest(range(0, 80)) AS i)")
+def bspline_known(spark, sf):
+    """A cubic is in the space of cubic splines."""
+    return rounded(splines.fit(known_series(spark, 80, lambda i: 1 + 0.5 * i - 0.02 * i * i + 0.0003 * i * i * i), 12).select(*KEY, "mjd", "fitted"), 6, "fitted")
+
+
+@query("kriging_series_known", "SELECT 'made' AS station_id, 'x' AS component, unnest([60010.5, 60033.25])::DOUBLE AS mjd, unnest([26.0, 71.5])::DOUBLE AS value")
+def kriging_series_known(spark, sf):
+    """Universal kriging gives a line back."""
+    k = spatial.krige_series(known_series(spark, 60, lambda i: 5 + 2 * i), [60010.5, 60033.25], "universal")
+    return rounded(k.where("not is_observed").select(*KEY, "mjd", "value"), 3, "value")
+
+
+@query("idw_left_out", """WITH p AS (SELECT s_suppkey AS id, (s_suppkey * 37 % 101)::DOUBLE AS x, (s_suppkey * 53 % 97)::DOUBLE AS y, s_acctbal AS v FROM supplier WHERE s_suppkey <= 90),
+    d AS (SELECT a.id, a.v, b.v AS w, pow(a.x - b.x, 2) + pow(a.y - b.y, 2) AS d FROM p a JOIN p b ON a.id <> b.id) SELECT id, round(sum(w / d) / sum(1 / d) - any_value(v), 4) AS error FROM d GROUP BY id""")
+def idw_left_out(spark, sf):
+    """Leave-one-out errors of the first ninety suppliers, whose places differ."""
+    p = plane(spark, sf, "s_suppkey").where("s_suppkey <= 90").orderBy("s_suppkey").toPandas()
+    e = spatial.loo(p[["x", "y", "value"]].to_numpy(float), spatial.idw_model)
+    return spark.createDataFrame([(int(i), round(float(v), 4)) for i, v in zip(p["s_suppkey"], e, strict=True)], "id bigint, error double")
+
+
+@query("envelope_quantiles", _with(SQL_ORDERS) + """, s AS (SELECT mjd::BIGINT % 30 AS seq, value FROM orders_daily) SELECT seq, round(quantile_cont(value, 0.05), 4) AS p05, round(quantile_cont(value, 0.25), 4) AS p25, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.75), 4) AS p75, round(quantile_cont(value, 0.95), 4) AS p95 FROM s GROUP BY seq""")
+def envelope_quantiles(spark, sf):
+    return rounded(resample.envelope(fx.orders_daily(spark, sf).select((F.col("mjd").cast("bigint") % 30).alias("seq"), "value")), 4, "p05", "p25", "p50", "p75", "p95")
+
+
+@query("minimum_known", "SELECT 1.0::DOUBLE AS x, 1.0::DOUBLE AS y, true AS found")
+def minimum_known(spark, sf):
+    """The simplex search in a narrow valley."""
+    p, v, done = numeric.nelder_mead(lambda q: (1 - q[0]) ** 2 + 100 * (q[1] - q[0] ** 2) ** 2, [-1.2, 1.0], rounds=5000)
+    return spark.createDataFrame([(round(float(p[0]), 3), round(float(p[1]), 3), bool(v < 1e-6))], "x double, y double, found boolean")
+
+
+@query("singular_values", f"""WITH {LINES}, m AS (SELECT sum(x * x) AS a, sum(x * y) AS b, sum(y * y) AS c FROM c) SELECT round(sqrt((a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b)), 4) AS s1, round(sqrt((a + c) / 2 - sqrt(pow((a - c) / 2, 2) + b * b)), 4) AS s2 FROM m""")
+def singular_values(spark, sf):
+    """Of a tall table: from the triangle of its sums of products, which has the same ones."""
+    import numpy as np
+
+    g = lines_of(spark, sf).agg(F.sum(F.col("x") * F.col("x")), F.sum(F.col("x") * F.col("y")), F.sum(F.col("y") * F.col("y"))).first()
+    s = numeric.Svd(np.linalg.cholesky(np.array([[g[0], g[1]], [g[1], g[2]]])).T).s
+    return spark.createDataFrame([(round(float(s[0]), 4), round(float(s[1]), 4))], "s1 double, s2 double")
+
+
+# ---- navigation files and corrections ------------------------------------------------------------------------------
+
+
+@query("ionosphere_delay", f"""WITH {POINTS}, a AS (SELECT c_custkey, lat, lon, (c_custkey % 36) * 10.0 AS az, 15.0 + c_custkey % 70 AS el, (c_custkey % 24) * 3600.0 AS t FROM p),
+    b AS (SELECT *, 0.0137 / (el / 180 + 0.11) - 0.022 AS psi FROM a), c AS (SELECT *, greatest(-0.416, least(0.416, lat / 180 + psi * cos(radians(az)))) AS phi FROM b), d AS (SELECT *, lon / 180 + psi * sin(radians(az)) / cos(phi * pi()) AS lam FROM c),
+    e AS (SELECT *, phi + 0.064 * cos((lam - 1.617) * pi()) AS pm, (43200 * lam + t) - 86400 * floor((43200 * lam + t) / 86400) AS tt FROM d),
+    f AS (SELECT *, greatest(0, 1.2e-8 + 1.5e-8 * pm - 6e-8 * pm * pm - 6e-8 * pow(pm, 3)) AS amp, 2 * pi() * (tt - 50400) / greatest(72000, 9e4 + 9.8e4 * pm - 6.5e4 * pm * pm - 2e5 * pow(pm, 3)) AS x FROM e)
+    SELECT c_custkey, round(299792458.0 * (1 + 16 * pow(0.53 - el / 180, 3)) * (5e-9 + CASE WHEN abs(x) < 1.57 THEN amp * (1 - x * x / 2 + pow(x, 4) / 24) ELSE 0 END), 6) AS delay FROM f""")
+def ionosphere_delay(spark, sf):
+    k = F.col("c_custkey")
+    a = customer_points(spark, sf).select("c_custkey", "lat", "lon", ((k % 36) * 10.0).alias("az"), (15.0 + k % 70).alias("el"), ((k % 24) * 3600.0).alias("t"))
+
+    def run(parts):
+        import pandas as pd
+
+        for pdf in parts:
+            d = [gnss.klobuchar(r.lat, r.lon, r.az, r.el, r.t, [1.2e-8, 1.5e-8, -6e-8, -6e-8], [9e4, 9.8e4, -6.5e4, -2e5]) for r in pdf.itertuples()]
+            yield pd.DataFrame({"c_custkey": pdf["c_custkey"], "delay": [round(v, 6) for v in d]})
+
+    return a.mapInPandas(run, "c_custkey bigint, delay double")
+
+
+@query("navigation_file", "SELECT printf('G%02d', i) AS sat, 'G' AS system, 1388102400.0 + 7200 * i AS toc, i * 1e-5 AS af0, 5153.0 + i * 0.25 AS sqrt_a, 0.001 * i AS e, 100.0 * i AS toe, 2295.0 + i AS week FROM (SELECT unnest(range(1, 11)) AS i)")
+def navigation_file(spark, sf):
+    """Ten navigation records of version 3, written in fixed columns and read back."""
+    i = F.col("id").cast("double")
+    num = lambda v: F.regexp_replace(F.format_string("%19.12e", v if not isinstance(v, (int, float)) else F.lit(float(v))), "e", "D")
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 7200)
+    r = spark.range(1, 11)
+    line = lambda k, *vals: r.select((i * 10 + k).alias("n"), F.concat(F.lit("    "), *[num(v) for v in vals]).alias("line"))
+    head = r.select((i * 10).alias("n"), F.concat(F.format_string("G%02d ", F.col("id")), F.date_format(at, "yyyy MM dd HH mm ss"), num(i * 1e-5), num(0), num(0)).alias("line"))
+    rows = [head, line(1, 1, 2, 3, 0.5), line(2, 0, i * 0.001, 0, 5153 + i * 0.25), line(3, i * 100, 0, 1, 0), line(4, 0.95, 200, 0.3, -8e-9), line(5, 0, 1, i + 2295, 0), line(6, 2, 0, 1e-8, 1), line(7, 0, 4, 0, 0)]
+    out = spark.createDataFrame([(-2.0, "     3.04           N: GNSS NAV DATA    G: GPS              RINEX VERSION / TYPE"), (-1.0, " " * 60 + "END OF HEADER")], "n double, line string")
+    for x in rows:
+        out = out.unionByName(x)
+    return files.read_nav(spark, f"{file_of(out, 'nav')}/part-*").select("sat", "system", "toc", "af0", "sqrt_a", "e", "toe", "week")
+
+
+@query("observation_file", "SELECT 1388102400.0 + 30 * k AS t, printf('G%02d', s) AS sat, round(2.0e7 + 1000 * s + k, 3) AS c1c, round(1.05e8 + s + 10 * k, 3) AS l1c FROM (SELECT unnest(range(0, 20)) AS k) CROSS JOIN (SELECT unnest([3, 7, 21]) AS s)")
+def observation_file(spark, sf):
+    k = F.col("id").cast("double")
+    e = spark.range(20)
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 30)
+    out = spark.createDataFrame([(-2.0, "G    2 C1C L1C" + " " * 46 + "SYS / # / OBS TYPES"), (-1.0, " " * 60 + "END OF HEADER")], "n double, line string")
+    out = out.unionByName(e.select((k * 10).alias("n"), F.concat(F.lit("> "), F.date_format(at, "yyyy MM dd HH mm ss"), F.lit(".0000000  0  3")).alias("line")))
+    for j, s in enumerate((3, 7, 21)):
+        out = out.unionByName(e.select((k * 10 + 1 + j).alias("n"), F.concat(F.lit(f"G{s:02d}"), F.format_string("%14.3f  ", 2.0e7 + 1000 * s + k), F.format_string("%14.3f  ", 1.05e8 + s + 10 * k)).alias("line")))
+    o = files.read_obs(spark, f"{file_of(out, 'obs')}/part-*")
+    return o.select("t", "sat", F.col("obs")["C1C"].alias("c1c"), F.col("obs")["L1C"].alias("l1c"))
+
+
+@query("clock_and_bias_files", "SELECT 'clock' AS kind, printf('G%02d', i) AS name, i * 1e-6 AS value FROM (SELECT unnest(range(1, 6)) AS i) UNION ALL SELECT 'bias', printf('G%02d', i), i * 0.5 FROM (SELECT unnest(range(1, 6)) AS i)")
+def clock_and_bias_files(spark, sf):
+    i = F.col("id").cast("double")
+    r = spark.range(1, 6)
+    clk = r.select(i.alias("n"), F.format_string("AS G%02d  2024 01 01 00 00  0.000000  2   %.12e  1.0e-11", F.col("id"), i * 1e-6).alias("line"))
+    osb = r.select(i.alias("n"), F.format_string(" OSB  G%03d G%02d           C1C       2024:001:00000 2024:002:00000 ns   %.4f  0.0100", F.col("id"), F.col("id"), i * 0.5).alias("line"))
+    c = files.read_clk(spark, f"{file_of(clk, 'clk')}/part-*").select(F.lit("clock").alias("kind"), "name", F.col("bias").alias("value"))
+    return c.unionByName(files.read_osb(spark, f"{file_of(osb, 'osb')}/part-*").select(F.lit("bias").alias("kind"), F.col("sat").alias("name"), F.col("bias").alias("value")))
+
+
+@query("antenna_file", "SELECT printf('G%02d', i) AS serial, 'G01' AS frequency, round(i * 0.001, 6) AS north, round(2.5 + i * 0.01, 6) AS up, 3 AS n FROM (SELECT unnest(range(1, 6)) AS i)")
+def antenna_file(spark, sf):
+    i = F.col("id").cast("double")
+    r = spark.range(1, 6)
+    tag = lambda body, name: F.concat(F.rpad(body if hasattr(body, "alias") else F.lit(body), 60, " "), F.lit(name))
+    lines = [
+        tag("", "START OF ANTENNA"), tag(F.concat(F.rpad(F.lit("BLOCK IIF"), 20, " "), F.format_string("G%02d", F.col("id"))), "TYPE / SERIAL NO"), tag("     0.0  10.0   5.0", "ZEN1 / ZEN2 / DZEN"), tag("   G01", "START OF FREQUENCY"),
+        tag(F.format_string("%10.2f%10.2f%10.2f", i, F.lit(0.0), 2500 + i * 10), "NORTH / EAST / UP"), F.lit("   NOAZI    1.00    2.00    3.00"), tag("   G01", "END OF FREQUENCY"), tag("", "END OF ANTENNA"),
+    ]
+    out = None
+    for k, l in enumerate(lines):
+        one = r.select((i * 10 + k).alias("n"), l.alias("line"))
+        out = one if out is None else out.unionByName(one)
+    a = files.read_antex(spark, f"{file_of(out, 'atx')}/part-*")
+    return a.select("serial", "frequency", F.round(F.col("offset")[0], 6).alias("north"), F.round(F.col("offset")[2], 6).alias("up"), F.size("variation").alias("n"))

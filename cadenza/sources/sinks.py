@@ -64,8 +64,29 @@ def write(df: DataFrame, path: str, layout: str | None = None, fmt: str = "csv",
         raise ConfigError(f"unknown format {fmt!r}")
 
 
-def protocol(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """One text for each row of a summary: 'name: value' lines."""
-    cols = [c for c in df.columns if c not in keys]
-    text = F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in cols])
-    return df.select(*keys, text.alias("protocol"))
+#: Title and first lines of each module's protocol; further columns follow under their names.
+PROTOCOLS = {
+    "filter": ("Filter", {"method": "method", "window": "window (rows)", "n": "rows", "rmse": "deviation of residuals"}),
+    "homogeneity": ("Change points", {"global_index": "row", "mjd": "time (MJD)", "mjd_low": "from", "mjd_high": "to", "shift": "shift", "p_value": "p-value"}),
+    "qc": ("Quality control", {"n": "rows", "n_missing": "missing", "n_gaps": "gaps", "coverage": "share covered", "n_outliers": "outliers"}),
+    "kalman": ("Kalman filter", {"q": "process noise", "r": "measurement noise", "loglik": "log-likelihood"}),
+    "arima": ("ARIMA", {"p": "autoregressive order", "d": "differences", "q": "moving-average order", "aic": "AIC", "bic": "BIC", "sigma2": "residual variance"}),
+    "regression": ("Regression", {"names": "terms", "coefficients": "coefficients", "std_errors": "standard errors", "r2": "R squared", "sigma0": "unit weight error"}),
+    "stationarity": ("Stationarity", {"adf": "augmented Dickey-Fuller", "kpss": "KPSS", "pp": "Phillips-Perron", "recommendation": "recommended differences"}),
+    "evt": ("Extremes", {"threshold": "threshold", "return_period": "return period", "estimate": "return level", "lower_ci": "from", "upper_ci": "to"}),
+    "spatial": ("Interpolation", {"method": "method", "n": "points", "rmse": "cross-validated error"}),
+    "multivariate": ("Channels", {"n": "complete rows", "variances": "variances", "shares": "shares", "statistic": "statistic", "p_value": "p-value"}),
+    "gnss": ("Positioning", {"n": "epochs", "mean_x": "X (m)", "mean_y": "Y (m)", "mean_z": "Z (m)", "sd_x": "scatter of X (m)", "sd_y": "scatter of Y (m)", "sd_z": "scatter of Z (m)"}),
+}
+
+
+def protocol(df: DataFrame, keys: list[str] = KEYS, kind: str | None = None) -> DataFrame:
+    """One text for each row of a summary: 'name: value' lines; kind: under a module's title, its own lines first."""
+    if kind is not None and kind not in PROTOCOLS:
+        raise ConfigError(f"unknown protocol {kind!r}")
+    title, names = PROTOCOLS[kind] if kind else (None, {})
+    keys = [k for k in keys if k in df.columns]
+    cols = [c for c in names if c in df.columns] + [c for c in df.columns if c not in keys and c not in names]
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    head = [F.lit(f"{title}\n{'=' * len(title)}"), *[F.concat(F.lit(f"{k}: "), shown(k)) for k in keys]] if title else []
+    return df.select(*keys, F.concat_ws("\n", *head, *[F.concat(F.lit(f"{names.get(c, c)}: "), shown(c)) for c in cols]).alias("protocol"))

@@ -465,3 +465,35 @@ def test_local_regression_equals_row_by_row():
             w = {"tricube": (1 - u**3) ** 3, "epanechnikov": 1 - u**2, "gaussian": np.exp(-4.5 * u**2)}[kernel]
             a = np.vander(j - i, degree + 1, increasing=True) * np.sqrt(w)[:, None]
             assert abs(np.linalg.lstsq(a, x[j] * np.sqrt(w), rcond=None)[0][0] - got[i]) < 1e-8
+
+
+def test_singular_values():
+    a = np.random.default_rng(1).normal(size=(8, 3)) @ np.random.default_rng(2).normal(size=(3, 5))
+    s = numeric.Svd(a)
+    assert s.rank() == 3 and np.allclose(s.truncated(3), a) and np.allclose(s.pinv(), np.linalg.pinv(a)) and abs(s.explained().sum() - 1) < 1e-12
+    assert numeric.Svd(np.eye(2) * [1, 4]).condition() == 4 and numeric.Svd(np.zeros((2, 2))).condition() == math.inf
+
+
+def test_log(spark, tmp_path):
+    from cadenza.log import logger, report_errors
+
+    at = tmp_path / "run.log"
+    log = logger("cadenza.test", file=str(at))
+    assert logger("cadenza.test", file=str(at)) is log and len(log.handlers) == 2
+    df = spark.createDataFrame([("a", "x", None), ("b", "y", "ValueError: too short"), ("b", "z", "no")], "station_id string, component string, error string")
+    assert report_errors(log, df, ["station_id", "component"], 1) == 2
+    text = at.read_text()
+    assert "b/y: ValueError: too short" in text and "and 1 more series" in text
+
+
+def test_damaged_files_do_not_stop_the_rest(spark, tmp_path):
+    from cadenza.sources import text
+
+    (tmp_path / "a.txt").write_text("% columns: t, v\n51544;1\n51545;2\n")
+    (tmp_path / "b.txt").write_text("% nothing\n")
+    (tmp_path / "c.txt").write_text("51544;1;9\n51545;x;9\n")
+    rows, errors = text.read_each(spark, [str(tmp_path / f"{n}.txt") for n in "abc"] + [str(tmp_path / "none.txt")])
+    assert rows.count() == 4 and sorted(e.split(":")[0] for e in errors.values()) == ["AnalysisException", "ParseError"]
+    r = text.read_report(spark, str(tmp_path / "c.txt")).first()
+    assert (r.n_lines, r.n_data, r.n_read, r.n_skipped) == (2, 2, 1, 1)
+    assert text.read_each(spark, [str(tmp_path / "b.txt")])[0] is None
