@@ -166,12 +166,14 @@ def mcd(rows: DataFrame, groups: int, share: float = SHARE, steps: int = STEPS,
     for step in range(steps):
         d = rows.join(params, "grp").select("grp", "start", "det", *FEATURES, distance().alias("d"))
         q = d.groupBy("grp", "start").agg(F.percentile_approx("d", share, 10_000).alias("q"))
-        near = rows.join(params.join(q, ["grp", "start"]), "grp").where(distance() <= F.col("q"))
+        # written, so that its size is known and the rows stay where they are
+        limits = write_out(params.join(q, ["grp", "start"]), "mcd", most)
+        near = rows.join(limits, "grp").where(distance() <= F.col("q"))
         new = of(near.groupBy("grp", "start").agg(*_moments(), F.first("det").alias("was")))
         if step == 1:
             new = new.withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy("det", "start"))).where("place <= 2").drop("place")
         new = write_out(new, "mcd", most)
-        drop_out(params)
+        drop_out(params), drop_out(limits)
         params = new
         if step > 1 and not params.where(F.col("was") - F.col("det") > tolerance).limit(1).count():
             break
