@@ -146,8 +146,11 @@ def records(content: bytes) -> Iterator[bytes]:
 
 def dictionary(pages: DataFrame, html_col: str = "html") -> bytes:
     """A dictionary from the same bounded sample of pages each time; the pages themselves where too few to train on."""
-    short = pages.select(F.col(html_col).alias("h")).where(F.octet_length("h").between(1, SAMPLE_PAGE_BYTES))
-    sample = [r.h.encode() for r in short.orderBy(F.xxhash64("h"), "h").limit(SAMPLE_PAGES).collect()]
+    short = pages.select(F.col(html_col).alias("h")).where(F.octet_length("h").between(1, SAMPLE_PAGE_BYTES)).select("h", F.xxhash64("h").alias("k"))
+    n = short.count()
+    # a threshold on the hash leaves about twice the sample, however many tasks there are
+    few = short.where((F.col("k") / float(2**63) + 1) / 2 * n < 2 * SAMPLE_PAGES + 200).dropDuplicates(["k"])
+    sample = [r.h.encode() for r in few.orderBy("k").limit(SAMPLE_PAGES).collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, sample).as_bytes()
     except zstandard.ZstdError:
