@@ -233,8 +233,44 @@ def classical_np(x: np.ndarray, period: int, use_median: bool = False) -> dict:
     return {"trend": tr, "seasonal": s, "residual": x - tr - s}
 
 
+def _sliding(x: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The sum of x[i:i+len(k)] * k for each i, by transforms where the kernel is long."""
+    if len(k) < 64:
+        return np.correlate(x, k, "valid")
+    m = 1 << (len(x) + len(k)).bit_length()
+    return np.fft.irfft(np.fft.rfft(x, m) * np.conj(np.fft.rfft(k, m)), m)[: len(x) - len(k) + 1]
+
+
 def _stl_loess(y: np.ndarray, w: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
-    """Local lines over the `width` nearest of the rows 0..n-1 with weights w, read off at the places `at`, also outside."""
+    """Local lines over the `width` nearest of the rows 0..n-1 with weights w, read off at the places `at`, also outside.
+
+    Away from the ends all neighbourhoods have one shape, so the moments of each are sliding sums.
+    """
+    n = len(y)
+    out = np.empty(len(at))
+    inner = (at - width // 2 >= 0) & (at - width // 2 <= n - width)
+    if width >= 3 and inner.any():
+        d = np.arange(width) - width // 2
+        u = np.abs(d) / max(width // 2, width - 1 - width // 2)
+        k = np.where(u <= 0.999, np.where(u <= 0.001, 1.0, (1 - np.minimum(u, 1) ** 3) ** 3), 0.0)
+        left = at[inner] - width // 2
+        s0, s1, s2, t0, t1 = (_sliding(a, k * d**p)[left] for a, p in ((w, 0), (w, 1), (w, 2), (w * y, 0), (w * y, 1)))
+        has = s0 > 1e-9
+        s0 = np.where(has, s0, 1.0)
+        mean_d, mean_y = s1 / s0, t0 / s0
+        v = s2 / s0 - mean_d**2
+        steep = np.sqrt(np.maximum(v, 0)) > 0.001 * max(n - 1, 1)
+        slope = np.where(steep, (t1 / s0 - mean_d * mean_y) / np.where(steep, v, 1), 0)
+        out[inner] = np.where(has, mean_y - slope * mean_d, y[at[inner]])
+        at, edge = at[~inner], np.flatnonzero(~inner)
+        if len(at):
+            out[edge] = _loess_at(y, w, width, at)
+        return out
+    return _loess_at(y, w, width, at)
+
+
+def _loess_at(y: np.ndarray, w: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
+    """_stl_loess() with the weights of each place written out."""
     n = len(y)
     q = min(width, n)
     out = np.empty(len(at))
@@ -548,10 +584,31 @@ def kalman_model(kind: str, q: float, r: float, dt: float = 1.0) -> dict:
     return {"f": f, "h": h, "q": q * noise, "r": r, "p0": r / max(q, 1e-300) * np.eye(n)}
 
 
+def _kalman_level(y: np.ndarray, q: float, r: float, p: float) -> dict:
+    """kalman_np() of a local level, in plain numbers."""
+    ok = np.flatnonzero(np.isfinite(y))
+    x, ll = float(y[ok[0]]) if len(ok) else 0.0, 0.0
+    xs, ps, xp, pp = [], [], [], []
+    for v in y.tolist():
+        p += q
+        xp.append(x), pp.append(p)
+        if math.isfinite(v):
+            s = p + r
+            e, k = v - x, p / s
+            x += k * e
+            p = (1 - k) * p * (1 - k) + r * k * k
+            ll -= 0.5 * (math.log(2 * math.pi * s) + e * e / s)
+        xs.append(x), ps.append(p)
+    column = lambda a: np.array(a).reshape(-1, 1)
+    return {"x": column(xs), "p": column(ps)[:, :, None], "xp": column(xp), "pp": column(pp)[:, :, None], "loglik": ll}
+
+
 def kalman_np(y: np.ndarray, m: dict) -> dict:
     """Filtered states; a value that is not finite only predicts. Joseph form."""
     f, h, q, r = m["f"], m["h"], m["q"], m["r"]
     n = len(f)
+    if n == 1:
+        return _kalman_level(y, float(q[0, 0]), r, float(m["p0"][0, 0]))
     x, p = np.zeros(n), m["p0"].copy()
     ok = np.flatnonzero(np.isfinite(y))
     x[0] = y[ok[0]] if len(ok) else 0.0
@@ -571,31 +628,40 @@ def kalman_np(y: np.ndarray, m: dict) -> dict:
 
 
 def rts_np(k: dict, m: dict) -> dict:
+    """Smoothed states and the covariances of each with the one before it. Gains are made at once, the recursion is plain."""
     x, p = k["x"].copy(), k["p"].copy()
-    lag = [None] * len(x)
-    for t in range(len(x) - 2, -1, -1):
-        g = k["p"][t] @ m["f"].T @ np.linalg.pinv(k["pp"][t + 1])
-        x[t] += g @ (x[t + 1] - k["xp"][t + 1])
-        p[t] += g @ (p[t + 1] - k["pp"][t + 1]) @ g.T
-        lag[t + 1] = p[t + 1] @ g.T
+    n = len(x)
+    g = k["p"][:-1] @ m["f"].T @ np.linalg.pinv(k["pp"][1:])
+    if len(m["f"]) == 1:
+        gs, xs, ps = g[:, 0, 0].tolist(), x[:, 0].tolist(), p[:, 0, 0].tolist()
+        xp, pp = k["xp"][:, 0].tolist(), k["pp"][:, 0, 0].tolist()
+        for t in range(n - 2, -1, -1):
+            xs[t] += gs[t] * (xs[t + 1] - xp[t + 1])
+            ps[t] += gs[t] * (ps[t + 1] - pp[t + 1]) * gs[t]
+        x, p = np.array(xs).reshape(-1, 1), np.array(ps).reshape(-1, 1, 1)
+    else:
+        for t in range(n - 2, -1, -1):
+            x[t] += g[t] @ (x[t + 1] - k["xp"][t + 1])
+            p[t] += g[t] @ (p[t + 1] - k["pp"][t + 1]) @ g[t].T
+    lag = np.zeros_like(p)
+    lag[1:] = p[1:] @ g.transpose(0, 2, 1)
     return {"x": x, "p": p, "lag": lag}
 
 
 def kalman_em(y: np.ndarray, kind: str, q: float, r: float, rounds: int = 50, tol: float = 1e-6) -> tuple[float, float]:
     """Isotropic q and r by expectation maximisation, with unit steps."""
     last = -np.inf
+    ok = np.isfinite(y)
     for _ in range(rounds):
         m = kalman_model(kind, q, r)
         k = kalman_np(y, m)
         s = rts_np(k, m)
-        ok = np.isfinite(y)
+        f, n = m["f"], len(m["f"])
         e = y[ok] - (s["x"][ok] @ m["h"].T)[:, 0]
         r = max(float((e * e + (m["h"] @ s["p"][ok] @ m["h"].T)[:, 0, 0]).mean()), 1e-12)
-        f, n, tot = m["f"], len(m["f"]), 0.0
-        for t in range(1, len(y)):
-            d = s["x"][t] - f @ s["x"][t - 1]
-            c = s["lag"][t]
-            tot += float(np.trace(np.outer(d, d) + s["p"][t] - f @ c.T - c @ f.T + f @ s["p"][t - 1] @ f.T))
+        d = s["x"][1:] - s["x"][:-1] @ f.T
+        cross = np.einsum("ij,tij->t", f, s["lag"][1:])  # the trace of F C'
+        tot = float((d * d).sum() + np.trace(s["p"][1:], axis1=1, axis2=2).sum() - 2 * cross.sum() + np.trace(f @ s["p"][:-1] @ f.T, axis1=1, axis2=2).sum())
         q = max(tot / (n * (len(y) - 1)), 1e-12)
         if abs(k["loglik"] - last) < tol * max(1.0, abs(last) if np.isfinite(last) else 1.0):
             break

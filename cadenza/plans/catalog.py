@@ -595,9 +595,6 @@ NUMERIC: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "spline_filter": lambda s, f: filters.spline_filter(fx.orders_daily(s, f)),
     "hat_matrix_outliers": lambda s, f: outliers.hat_matrix(fx.orders_daily(s, f), 3).where("is_outlier"),
     "stl_decompose": lambda s, f: models.decompose(_hourly(s, f), 24, "stl"),
-    "change_points_yao_davis": lambda s, f: homogeneity.change_points(fx.orders_daily(s, f)),
-    "change_points_snht": lambda s, f: homogeneity.change_points(_hourly(s, f), "snht"),
-    "change_points_pelt": lambda s, f: homogeneity.change_points(fx.orders_daily(s, f), "pelt", least=30),
     "change_points_bocpd": lambda s, f: homogeneity.change_points(_hourly(s, f), "bocpd"),
     "polynomial_fit": lambda s, f: regression.fit(fx.orders_daily(s, f), "polynomial", degree=2),
     "robust_fit": lambda s, f: regression.fit(fx.orders_daily(s, f), "robust"),

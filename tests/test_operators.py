@@ -497,3 +497,43 @@ def test_damaged_files_do_not_stop_the_rest(spark, tmp_path):
     r = text.read_report(spark, str(tmp_path / "c.txt")).first()
     assert (r.n_lines, r.n_data, r.n_read, r.n_skipped) == (2, 2, 1, 1)
     assert text.read_each(spark, [str(tmp_path / "b.txt")])[0] is None
+
+
+def test_sliding_seasonal_regression_equals_place_by_place():
+    rng = np.random.default_rng(4)
+    y, w = rng.normal(size=400).cumsum(), rng.uniform(0, 1, 400)
+    w[100:140] = 0
+    for width in (7, 46, 151, 152, 900):
+        at = np.arange(-1, 401)
+        assert np.allclose(models._stl_loess(y, w, width, at), models._loess_at(y, w, width, at), atol=1e-6), width
+
+
+def test_local_level_equals_matrices():
+    y = np.random.default_rng(5).normal(size=60).cumsum()
+    y[20:24] = NAN
+    m = models.kalman_model("local_level", 0.3, 2.0)
+    k = models.kalman_np(y, m)
+    x, p, ll = y[0], m["p0"][0, 0], 0.0
+    for i, v in enumerate(y):
+        p += 0.3
+        if not np.isnan(v):
+            s, e = p + 2.0, v - x
+            x, p, ll = x + p / s * e, p * 2.0 / s, ll - 0.5 * (math.log(2 * math.pi * s) + e * e / s)
+        assert abs(k["x"][i, 0] - x) < 1e-9 and abs(k["p"][i, 0, 0] - p) < 1e-9
+    assert abs(k["loglik"] - ll) < 1e-8
+    s = models.rts_np(k, m)
+    n = len(y)  # the smoothed states minimise the sum of squares
+    a = np.zeros((n, n))
+    b = np.zeros(n)
+    a[0, 0] += 1 / (m["p0"][0, 0] + 0.3)
+    b[0] += y[0] / (m["p0"][0, 0] + 0.3)
+    for i in range(n):
+        if not np.isnan(y[i]):
+            a[i, i] += 1 / 2.0
+            b[i] += y[i] / 2.0
+        if i:
+            a[i - 1 : i + 1, i - 1 : i + 1] += np.array([[1, -1], [-1, 1]]) / 0.3
+    assert np.allclose(s["x"][:, 0], np.linalg.solve(a, b)) and np.allclose(s["p"][:, 0, 0], np.diag(np.linalg.inv(a)))
+    assert np.allclose(s["lag"][1:, 0, 0], np.diag(np.linalg.inv(a), -1))
+    q, r = models.kalman_em(np.random.default_rng(6).normal(size=800).cumsum() * 0.5 + np.random.default_rng(7).normal(size=800), "local_level", 1.0, 1.0)
+    assert abs(q - 0.25) < 0.12 and abs(r - 1) < 0.3
