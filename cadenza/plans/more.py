@@ -836,3 +836,72 @@ def antenna_file(spark, sf):
         out = one if out is None else out.unionByName(one)
     a = files.read_antex(spark, f"{file_of(out, 'atx')}/part-*")
     return a.select("serial", "frequency", F.round(F.col("offset")[0], 6).alias("north"), F.round(F.col("offset")[2], 6).alias("up"), F.size("variation").alias("n"))
+
+
+# ---- resampling, factors, channels ---------------------------------------------------------------------------------
+
+
+@query("bootstrap_intervals", _with(SQL_ORDERS) + ", v AS (SELECT value / 1000 AS v FROM orders_daily WHERE mjd < 50000), m AS (SELECT avg(v) AS m, stddev_samp(v) / sqrt(count(*)) AS s FROM v) SELECT unnest(['percentile', 'bca', 'block']) AS method, round(m, 6) AS estimate, true AS inside, true AS near_normal FROM m")
+def bootstrap_intervals(spark, sf):
+    """Intervals of a mean hold it, and are about as wide as 1.96 standard errors to either side."""
+    import numpy as np
+
+    x = np.array([r.v for r in fx.orders_daily(spark, sf).where("mjd < 50000").orderBy("mjd").select((F.col("value") / 1000).alias("v")).collect()])
+    se = x.std(ddof=1) / np.sqrt(len(x))
+    rows = []
+    for m in ("percentile", "bca", "block"):
+        c = resample.confidence(spark, x, np.mean, m, 400)
+        rows.append((m, round(c["estimate"], 6), bool(c["lower"] < c["estimate"] < c["upper"]), bool(0.6 < (c["upper"] - c["lower"]) / (3.92 * se) < 1.6)))
+    return spark.createDataFrame(rows, "method string, estimate double, inside boolean, near_normal boolean")
+
+
+@query("permutation_tests", "SELECT unnest(['one_sample', 'two_sample', 'correlation']) AS kind, unnest([0.5, 1.0, 1.0])::DOUBLE AS statistic, true AS rejected")
+def permutation_tests(spark, sf):
+    """A mean half a unit off, two samples one apart, and a line: all are rejected, with the statistic that they have."""
+    import numpy as np
+
+    x = np.sin(np.arange(60) * 2.399)
+    x -= x.mean()
+    tests = (("one_sample", (x + 0.5,)), ("two_sample", (x, x + 1.0)), ("correlation", (x, 2 * x + 1)))
+    out = []
+    for kind, args in tests:
+        r = resample.permutation_test(spark, kind, *args, n=199)
+        out.append((kind, round(r["statistic"], 8), bool(r["p_value"] <= 0.05)))
+    return spark.createDataFrame(out, "kind string, statistic double, rejected boolean")
+
+
+@query("mssa_known", "SELECT i::DOUBLE AS mjd, unnest(['u', 'v']) AS channel, round(unnest([2 * sin(i * 2 * pi() / 20), 3 * cos(i * 2 * pi() / 20)]), 4) AS value FROM (SELECT unnest(range(0, 120)) AS i)")
+def mssa_known(spark, sf):
+    """One oscillation in two channels is two components."""
+    i = F.col("id").cast("double")
+    x = spark.range(120).select(i.alias("mjd"), (2 * F.sin(i * (2 * 3.141592653589793 / 20))).alias("u"), (3 * F.cos(i * (2 * 3.141592653589793 / 20))).alias("v"))
+    m = multivariate.analyze(x, "mssa", ["u", "v"], window=40, rank=2)
+    return m.groupBy("mjd", "channel").agg((F.round(F.sum("part"), 4) + 0.0).alias("value"))
+
+
+@query("one_factor", """WITH x AS (SELECT sin(i * 2.399) AS f, i FROM (SELECT unnest(range(0, 500)) AS i)), c AS (SELECT f + 0.3 * cos(i * 5.1) AS a, 2 * f + 0.4 * cos(i * 3.7) AS b, -f + 0.2 * cos(i * 1.9) AS c FROM x), r AS (SELECT corr(a, b) AS ab, corr(a, c) AS ac, corr(b, c) AS bc FROM c)
+    SELECT unnest(['a', 'b', 'c']) AS channel, round(unnest([ab * ac / bc, ab * bc / ac, ac * bc / ab]), 3) AS communality FROM r""")
+def one_factor(spark, sf):
+    """Three channels of one factor: communalities follow from the three correlations."""
+    i = F.col("id").cast("double")
+    f = F.sin(i * 2.399)
+    x = spark.range(500).select((f + 0.3 * F.cos(i * 5.1)).alias("a"), (2 * f + 0.4 * F.cos(i * 3.7)).alias("b"), (-f + 0.2 * F.cos(i * 1.9)).alias("c"))
+    h = multivariate.analyze(x, "factor_analysis", ["a", "b", "c"], factors=1, rounds=2000, tol=1e-9)["communalities"]
+    return spark.createDataFrame([(c, round(float(v), 3)) for c, v in zip("abc", h, strict=True)], "channel string, communality double")
+
+
+@query("simulated_envelope", "SELECT 200::BIGINT AS n, true AS ordered, true AS widens")
+def simulated_envelope(spark, sf):
+    """Random walks of a local level: quantiles are in order and spread with time."""
+    s = resample.simulate(spark, 60, lambda seed: resample.simulate_kalman(200, "local_level", 0.5, 0.1, seed))
+    e = resample.envelope(s)
+    late, early = F.avg(F.when(F.col("seq") >= 150, F.col("p95") - F.col("p05"))), F.avg(F.when(F.col("seq") < 20, F.col("p95") - F.col("p05")))
+    return e.agg(F.count("*").alias("n"), F.min((F.col("p05") <= F.col("p25")) & (F.col("p25") <= F.col("p50")) & (F.col("p50") <= F.col("p75")) & (F.col("p75") <= F.col("p95"))).alias("ordered"), (late > early).alias("widens"))
+
+
+@query("local_regression", _with(SQL_ORDERS) + f""", i AS (SELECT {K}, mjd, value, row_number() OVER ({WO}) - 1 AS i, count(*) OVER ({W}) AS n FROM orders_daily), k AS (SELECT *, CAST(ceil(0.01 * n) AS BIGINT) AS k, least(greatest(0, i - (CAST(ceil(0.01 * n) AS BIGINT) - 1) // 2), n - CAST(ceil(0.01 * n) AS BIGINT)) AS lo FROM i),
+    j AS (SELECT a.*, b.value AS y, (b.i - a.i)::DOUBLE AS d, pow(1 - pow(least(abs(b.i - a.i)::DOUBLE / greatest(a.i - a.lo, a.lo + a.k - 1 - a.i), 1), 3), 3) AS w FROM k a JOIN i b ON b.i BETWEEN a.lo AND a.lo + a.k - 1),
+    s AS (SELECT {K}, mjd, sum(w) AS s0, sum(w * d) AS s1, sum(w * d * d) AS s2, sum(w * y) AS t0, sum(w * d * y) AS t1 FROM j GROUP BY {K}, mjd) SELECT {K}, mjd, round((s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1), 2) AS filtered FROM s""")
+def local_regression(spark, sf):
+    """Lines over the nearest hundredth of the days."""
+    return rounded(filters.loess(fx.orders_daily(spark, sf), 0.01).select(*KEY, "mjd", "filtered"), 2, "filtered")
