@@ -8,7 +8,7 @@ vectors give the least edit distance of the item to any passage near by.
 from __future__ import annotations
 
 import uuid
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +27,7 @@ ERROR_RATE = 0.10
 #: Items held at once by the automaton; more are taken block by block, each block a pass over the documents.
 BLOCK = 20_000
 #: Length of the short runs by which a place is screened before the bit vectors run.
-Q = 4
+Q = 5
 
 
 def normal(text: str) -> str:
@@ -40,7 +40,7 @@ class Item:
     text: str
     budget: int
     masks: dict[str, int]
-    grams: dict[str, int]
+    runs: list[str]
 
 
 def myers(item: Item, text: str, limit: int) -> tuple[int, int]:
@@ -84,7 +84,7 @@ class Matcher:
             masks: dict[str, int] = defaultdict(int)
             for i, c in enumerate(t):
                 masks[c] |= 1 << i
-            self.items.append(Item(item_id, t, e, dict(masks), Counter(t[k : k + Q] for k in range(len(t) - Q + 1))))
+            self.items.append(Item(item_id, t, e, dict(masks), [t[k : k + Q] for k in range(0, len(t) - Q + 1, Q)]))
             cut = [len(t) * k // (e + 1) for k in range(e + 2)]
             for a, b in zip(cut, cut[1:], strict=False):
                 places[t[a:b]].append((len(self.items) - 1, a))
@@ -132,12 +132,14 @@ class Matcher:
 
     @staticmethod
     def likely(item: Item, window: str) -> bool:
-        """No passage within e edits can lose more than e*Q of the item's Q-grams; counted without order."""
-        need = len(item.text) - Q + 1 - item.budget * Q
-        if need <= 0:
-            return True
-        get = item.grams.get
-        return sum([get(g, 0) for g in {window[k : k + Q] for k in range(len(window) - Q + 1)}]) >= need
+        """Whether the window may hold a passage within the budget: an edit breaks one of the item's disjoint runs at most."""
+        missing = 0
+        for run in item.runs:
+            if run not in window:
+                missing += 1
+                if missing > item.budget:
+                    return False
+        return True
 
 
 def matcher(key: str, items: list[tuple[int, str]], error_rate: float) -> Matcher:
