@@ -40,6 +40,7 @@ def shapiro_np(x: np.ndarray) -> tuple[float, float]:
     n = len(x)
     if n < 3:
         raise DataError("three values are needed")
+    # The coefficients of all polynomials below are Royston's.
     x = np.sort(x)
     m = normal_quantile((np.arange(1, n + 1) - 0.375) / (n + 0.25))
     ss = float(m @ m)

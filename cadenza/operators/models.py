@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import numeric as N
 from cadenza.functions.dist import adf_critical, kpss_critical
-from cadenza.operators.filters import loess_fit, odd
+from cadenza.operators.filters import odd
 from cadenza.operators.series import per_series, reduce_series
 from cadenza.schema import KEYS, ConfigError, DataError, SeriesTooShort
 
