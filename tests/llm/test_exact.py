@@ -351,6 +351,7 @@ def test_token_counts_equal_the_library(spark):
     rows = [r for r in odd_rows() if "\x00" not in (r[1] or "")]
     got = tokencount.token_counts(frame(spark, rows, True), public_tokenizers.path("piece_bpe_32k.model")).collect()
     assert sorted((str(r.doc_id), r.n_tokens) for r in got) == sorted((str(d), want(t or "")) for d, t in rows)
+    assert tokencount.token_counts(frame(spark, []), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
 
 
 # ---- decontamination -----------------------------------------------------------------------------------------------
