@@ -135,7 +135,10 @@ def goes_at_exit(spark: SparkSession, at: str) -> None:
 
 
 def on_disk(df: DataFrame) -> DataFrame:
-    """df on the executors' disks once it is made, for tables that are used again; what a lost executor had is made again."""
+    """df on the executors' disks once it is made, for tables that are used again; what a lost executor had is made again.
+
+    Lazy results may read it, so it stays until whoever asked for it calls unpersist() or clears the session's cache.
+    """
     return df.persist(StorageLevel.DISK_ONLY)
 
 
