@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import os
 import shutil
 import tempfile
@@ -168,6 +169,15 @@ def drop_out(df: DataFrame) -> None:
         fs.delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, upon which Spark removes the shuffle files of steps that nothing refers to.
+
+    They would stay on the executors' disks until the driver happens to need memory. For the end of a large eager step.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df has not, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import components, drop_out, lean, mix, on_disk, pieces, unused, utf8_lists, write_out
+from cadenza.llm.common import components, drop_out, free_shuffles, lean, mix, on_disk, pieces, unused, utf8_lists, write_out
 from cadenza.llm.subword import spread, sums
 from cadenza.llm.suffix_dedup import bucket_of, changes, pack, unpack
 from cadenza.llm.words import LOWER, blocks, shingles, word_hashes
@@ -401,6 +401,8 @@ def _classes(docs: DataFrame, block: int) -> DataFrame:
     shared = _shared(docs, buckets)
     alive = reps.where("n > 2").withColumn("p40", F.shiftrightunsigned("p", 24)).join(shared, "p40").where("shared >= need").select("cls", "p", "n", "t1", "t2")
     alive = write_out(alive, "alive", 48 * rows)
+    del shared
+    free_shuffles(docs.sparkSession)
     shingles_left = alive.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # one text of each class left: copies are combined before the shuffle, and classes grow with the corpus, so neither side
     # is broadcast
@@ -408,6 +410,8 @@ def _classes(docs: DataFrame, block: int) -> DataFrame:
     sets = _sets_of(texts.join(alive.select("cls", "p", "t1", "t2").hint("merge"), ["t1", "t2"]))
     groups = max(1, int(-(-shingles_left // GROUP)))
     sets = write_out(sets.withColumn("g", F.pmod(F.xxhash64("cls"), F.lit(groups))), "sets", 8 * shingles_left)
+    del texts
+    free_shuffles(docs.sparkSession)
     prefixes = write_out(_rare_prefixes(sets, groups), "prefixes", 4 * shingles_left)
     first = prefixes.groupBy("h").agg(F.min("cls").alias("m"), F.count("*").alias("c")).where("c > 1").select("h", "m")
     stars = prefixes.join(first, "h").where("cls <> m").select(F.col("cls").alias("a"), F.col("m").alias("b")).distinct()
@@ -415,6 +419,7 @@ def _classes(docs: DataFrame, block: int) -> DataFrame:
     linked = components(links(sets.join(in_parts(of_block, block), "cls"))).toDF("cls", "component")
     for done in (alive, sets, prefixes, of_block):
         drop_out(done)
+    free_shuffles(docs.sparkSession)
     # a component is named by the smallest doc_id among its classes
     named = linked.join(reps.select("cls", "rep"), "cls")
     least = named.groupBy("component").agg(F.min("rep").alias("least"))
