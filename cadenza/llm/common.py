@@ -215,9 +215,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", edges_about: int | None = None) -> DataFrame:
     """Connected components of an edge list: (node, component), component the smallest node reached.
 
+    edges_about: about how many edges there are, for the number of files of the first round.
+
     Alternates large-star and small-star steps, each one grouped minimum and one join-free flat map, until the edge set is
     a set of stars. The state is written to the shared folder each round; only one count per round comes to the driver. A
     round never adds edges, and the rounds grow as the square of the logarithm of the edges at most.
@@ -226,7 +228,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     def state(x: DataFrame) -> tuple:
         return tuple(x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    e = write_out(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    e = write_out(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges", edges_about and 16 * edges_about)
     was = state(e)
     while was[0]:
         # large star: every neighbour larger than u links to the least neighbour of u

@@ -403,7 +403,7 @@ def _classes(docs: DataFrame, block: int) -> DataFrame:
     alive = write_out(alive, "alive", 48 * rows)
     del shared
     free_shuffles(docs.sparkSession)
-    shingles_left = alive.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    left, shingles_left = alive.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     # one text of each class left: copies are combined before the shuffle, and classes grow with the corpus, so neither side
     # is broadcast
     texts = docs.select("text", *text_key("text")).groupBy("t1", "t2").agg(F.first("text").alias("text"))
@@ -415,8 +415,8 @@ def _classes(docs: DataFrame, block: int) -> DataFrame:
     prefixes = write_out(_rare_prefixes(sets, groups), "prefixes", 4 * shingles_left)
     first = prefixes.groupBy("h").agg(F.min("cls").alias("m"), F.count("*").alias("c")).where("c > 1").select("h", "m")
     stars = prefixes.join(first, "h").where("cls <> m").select(F.col("cls").alias("a"), F.col("m").alias("b")).distinct()
-    of_block = components(stars).toDF("cls", "block")
-    linked = components(links(sets.join(in_parts(of_block, block), "cls"))).toDF("cls", "component")
+    of_block = components(stars, edges_about=prefixes.count()).toDF("cls", "block")
+    linked = components(links(sets.join(in_parts(of_block, block), "cls")), edges_about=2 * left).toDF("cls", "component")
     for done in (alive, sets, prefixes, of_block):
         drop_out(done)
     free_shuffles(docs.sparkSession)
