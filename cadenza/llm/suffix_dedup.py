@@ -48,7 +48,7 @@ MOST_GROUPS, RANGE, MOST_RANGES, PARTITION = 1_000_000, 16, 2_000, 16e6
 NULL_ID = -(2**63)
 #: An anchor with more contexts than this sends its distinct windows one by one; one with more than the second in one group
 #: is announced by the group in one row, whose context is MARK.
-WIDE, NARROW = 2_000, 32
+WIDE, NARROW = 2_000, 128
 MARK = np.uint64(2**40 - 1)
 LAST = np.uint64(2**64 - 1)
 
