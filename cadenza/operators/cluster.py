@@ -131,27 +131,43 @@ def dbscan(df: DataFrame, cols: list[str], eps: float, min_points: int = 5, metr
     """Density clusters over all rows: a grid join finds neighbours, components over core rows make the clusters.
 
     cluster is the smallest core id of its component; a border row joins the cluster of its nearest core; noise is -1.
+
+    Rows with equal coordinates have the same neighbours, so they go as one place with a count. Squares so small that all
+    within are neighbours need no pairs of their own: a full one is core as a whole, and its cores are one node of the graph.
     """
-    cells = [F.floor(F.col(c) / eps).cast("bigint") for c in cols]
-    p = df.select(F.col(node).alias("a"), F.array(*cols).alias("x"), F.array(*cells).alias("c"))
-    shifts = [[]]
-    for _ in cols:
-        shifts = [[*s, d] for s in shifts for d in (-1, 0, 1)]
-    q = p.select(F.col("a").alias("b"), F.col("x").alias("y"), F.explode(F.array(*[F.array(*[F.col("c")[i] + d for i, d in enumerate(s)]) for s in shifts])).alias("c"))
     if metric == "euclidean":
         dist = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v))
     elif metric == "manhattan":
         dist = F.aggregate(F.zip_with("x", "y", lambda u, v: F.abs(u - v)), F.lit(0.0), lambda s, v: s + v)
     else:
         raise ConfigError(f"unknown metric {metric!r}")
-    near = p.join(q, "c").withColumn("d", dist).where(F.col("d") <= eps).select("a", "b", "d")
-    core = near.groupBy("a").count().where(F.col("count") >= min_points).select("a")
     from cadenza.session import with_checkpoints
 
     with_checkpoints(df.sparkSession)
-    edges = near.join(core, "a").join(core.withColumnRenamed("a", "b"), "b").where("a >= b").select("a", "b")
-    label = edges.select("a", F.col("a").alias("cluster")).distinct()
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    side = eps / (len(cols) ** 0.5 if metric == "euclidean" else len(cols)) * (1 - 1e-9)
+    at = [f"_x{i}" for i in range(len(cols))]
+    cells = lambda step: F.array(*[F.floor(F.col(c) / step).cast("bigint") for c in at])
+    rows = df.select(F.col(node).alias("_node"), *[F.col(c).alias(x) for c, x in zip(cols, at, strict=True)]).dropna(subset=at)
+    places = rows.groupBy(*at).agg(F.min("_node").alias("a"), F.count("*").alias("n")).select("a", "n", F.array(*at).alias("x"), cells(eps).alias("c"), cells(side).alias("s")).checkpoint()
+    shifts = [[]]
+    for _ in cols:
+        shifts = [[*s, d] for s in shifts for d in (-1, 0, 1)]
+    around = F.explode(F.array(*[F.array(*[F.col("c")[i] + d for i, d in enumerate(s)]) for s in shifts]))
+
+    def near(left: DataFrame, right: DataFrame) -> DataFrame:
+        q = right.withColumnsRenamed({"a": "b", "x": "y", "s": "t", "n": "m"}).withColumn("c", around)
+        return left.join(q, "c").withColumn("d", dist).where(F.col("d") <= eps)
+
+    full = places.groupBy("s").agg((F.sum("n") >= min_points).alias("full"))
+    counted = places.join(full, "s")
+    sparse = near(counted.where("not full").select("a", "x", "c"), places.select("a", "x", "c", "n")).groupBy("a").agg(F.sum("m").alias("m")).where(F.col("m") >= min_points).select("a")
+    cores = counted.where("full").select("a").union(sparse)
+    core = places.join(cores, "a")
+    core = core.join(core.groupBy("s").agg(F.min("a").alias("r")), "s").select("a", "r", "x", "c", "s").checkpoint()
+    linked = near(core, core.select("a", "x", "c", "s", F.col("r").alias("o"))).where("s < t").groupBy("s", "t").agg(F.first("r").alias("a"), F.first("o").alias("b")).select("a", "b")
+    own = core.select(F.col("r").alias("a"), F.col("r").alias("b"))
+    both = linked.union(linked.select(F.col("b").alias("a"), F.col("a").alias("b"))).union(own).distinct().checkpoint()
+    label = own.distinct().select("a", F.col("b").alias("cluster"))
     while True:
         best = both.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("cluster").alias("m"))
         new = label.join(best, "a").select("a", F.least("cluster", "m").alias("cluster"))
@@ -159,9 +175,12 @@ def dbscan(df: DataFrame, cols: list[str], eps: float, min_points: int = 5, metr
         if not hop.join(label.withColumnRenamed("cluster", "old"), "a").where("cluster <> old").limit(1).count():
             break
         label = hop
-    border = near.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min_by("cluster", F.struct("d", "b")).alias("_border"))
-    out = df.join(label.withColumnRenamed("a", node), node, "left").join(border.withColumnRenamed("a", node), node, "left")
-    return out.withColumn("cluster", F.coalesce("cluster", "_border", F.lit(-1))).drop("_border")
+    owned = core.join(label.withColumnRenamed("a", "r"), "r").select("a", "x", "c", "cluster")
+    border = near(places.join(cores, "a", "left_anti").select("a", "x", "c"), owned).groupBy("a").agg(F.min_by("cluster", F.struct("d", "b")).alias("cluster"))
+    found = places.join(owned.select("a", "cluster").union(border), "a")
+    found = found.select(*[F.col("x")[i].alias(c) for i, c in enumerate(cols)], "cluster")
+    out = df.join(found, cols, "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
+    return out.select(node, *[c for c in df.columns if c != node], "cluster")
 
 
 def classify_edges(lab: np.ndarray, names: list[str], centres: np.ndarray) -> list[str]:
