@@ -1,4 +1,8 @@
-"""Time scales as column expressions: MJD (UTC), UNIX, GPS seconds, GPS week and seconds of week, calendar strings."""
+"""Time scales as column expressions: MJD (UTC), UNIX, GPS seconds, GPS week and seconds of week, calendar strings.
+
+A modified Julian date in a double holds an instant of our days to about 0.6 microseconds, so an instant near a full second
+may fall on its other side; what is asked of a timestamp (calendar_text, gps_from_timestamp) does not go through one.
+"""
 
 from __future__ import annotations
 
@@ -76,8 +80,12 @@ def mjd_from_utc(text: Column) -> Column:
     return F.when(ok, (jdn - 2400001).cast("double") + (hh * 3600 + mm * 60 + ss) / DAY)
 
 
+def calendar_text(t: Column) -> Column:
+    return F.date_format(t, "yyyy-MM-dd HH:mm:ss.SSS")
+
+
 def utc_string(mjd: Column) -> Column:
-    return F.date_format(timestamp_from_mjd(mjd), "yyyy-MM-dd HH:mm:ss.SSS")
+    return calendar_text(timestamp_from_mjd(mjd))
 
 
 def day_of_year(mjd: Column) -> Column:

@@ -649,9 +649,8 @@ def critical_values(spark, sf):
 
 @query("calendar_fields", "SELECT event_id, dayofyear(ts)::INT AS doy, strftime(ts, '%Y-%m-%d %H:%M:%S') AS utc FROM events")
 def calendar_fields(spark, sf):
-    e = fx.read(spark, sf, "events").select("event_id", tf.mjd_from_timestamp(F.col("ts").cast("timestamp")).alias("m"))
-    shown = tf.utc_string(F.col("m") + 2e-6 / 86400)  # the fraction of a day may fall short of a second by less than a microsecond
-    return e.select("event_id", tf.day_of_year(F.col("m") + 2e-6 / 86400).alias("doy"), F.substring(shown, 1, 19).alias("utc"))
+    t = F.col("ts").cast("timestamp")
+    return fx.read(spark, sf, "events").select("event_id", F.dayofyear(t).alias("doy"), F.substring(tf.calendar_text(t), 1, 19).alias("utc"))
 
 
 @query("welch_sums", _with(SQL_EVENTS) + f""", x AS (SELECT {K}, row_number() OVER ({WO}) - 1 AS j, count(*) OVER ({W}) AS n, value FROM events_hourly), s AS (SELECT x.*, p, j - 64 * p AS i FROM x CROSS JOIN (SELECT unnest(range(0, 40)) AS p) WHERE j >= 64 * p AND j < 64 * p + 128 AND 64 * p + 128 <= n),
