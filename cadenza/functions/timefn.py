@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 UNIX_MJD = 40587.0
 GPS_MJD = 44244.0
+GPS_UNIX = 315964800
 DAY = 86400.0
 MJD_RANGE = (15079.0, 88127.0)
 
@@ -33,6 +34,11 @@ def mjd_from_timestamp(t: Column) -> Column:
     return F.unix_micros(t) / F.lit(8.64e10) + UNIX_MJD
 
 
+def day_from_timestamp(t: Column) -> Column:
+    """The whole day of an instant: its MJD, if rounded up to a midnight, would be that of the next."""
+    return F.floor(F.unix_micros(t) / F.lit(8.64e10)) + UNIX_MJD
+
+
 def timestamp_from_mjd(mjd: Column) -> Column:
     return F.timestamp_micros(F.round((mjd - UNIX_MJD) * 8.64e10).cast("bigint"))
 
@@ -55,16 +61,28 @@ def gps_from_mjd(mjd: Column) -> Column:
     return (mjd - GPS_MJD) * DAY + leap_seconds(mjd)
 
 
+def gps_from_timestamp(t: Column) -> Column:
+    return F.unix_micros(t) / F.lit(1e6) - GPS_UNIX + leap_seconds(day_from_timestamp(t))
+
+
+def week_from_gps(s: Column) -> Column:
+    return F.floor(s / 604800.0).cast("int")
+
+
+def sow_from_gps(s: Column) -> Column:
+    return s - week_from_gps(s) * 604800.0
+
+
 def mjd_from_week_sow(week: Column, sow: Column) -> Column:
     return mjd_from_gps(week * 604800.0 + sow)
 
 
 def week_from_mjd(mjd: Column) -> Column:
-    return F.floor(gps_from_mjd(mjd) / 604800.0).cast("int")
+    return week_from_gps(gps_from_mjd(mjd))
 
 
 def sow_from_mjd(mjd: Column) -> Column:
-    return gps_from_mjd(mjd) - week_from_mjd(mjd) * 604800.0
+    return sow_from_gps(gps_from_mjd(mjd))
 
 
 def mjd_from_utc(text: Column) -> Column:

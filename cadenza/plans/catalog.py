@@ -86,8 +86,9 @@ def mjd_roundtrip(spark, sf):
 @query("gps_leap_lookup", """SELECT event_id, CAST(18 AS DOUBLE) AS leap, CAST(floor((epoch_us(ts) / 1e6 - 315964800 + 18) / 604800) AS INT) AS week,
     CAST(floor((epoch_us(ts) / 1e6 - 315964800 + 18) - floor((epoch_us(ts) / 1e6 - 315964800 + 18) / 604800) * 604800 + 5e-5) AS BIGINT) AS sow FROM events""")
 def gps_leap_lookup(spark, sf):
-    e = fx.read(spark, sf, "events").select("event_id", tf.mjd_from_timestamp(F.col("ts").cast("timestamp")).alias("m"))
-    return e.select("event_id", tf.leap_seconds(F.col("m")).alias("leap"), tf.week_from_mjd(F.col("m")).alias("week"), F.floor(tf.sow_from_mjd(F.col("m")) + 5e-5).cast("bigint").alias("sow"))
+    t = F.col("ts").cast("timestamp")
+    e = fx.read(spark, sf, "events").select("event_id", tf.leap_seconds(tf.day_from_timestamp(t)).alias("leap"), tf.gps_from_timestamp(t).alias("s"))
+    return e.select("event_id", "leap", tf.week_from_gps(F.col("s")).alias("week"), F.floor(tf.sow_from_gps(F.col("s")) + 5e-5).cast("bigint").alias("sow"))
 
 
 # ---- statistics ----------------------------------------------------------------------------------------------------
