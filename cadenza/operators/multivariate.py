@@ -208,20 +208,31 @@ def cca(df: DataFrame, xs: list[str], ys: list[str]) -> dict:
     return {"n": n, "correlations": np.clip(s[:k], 0, 1), "x_weights": a @ u[:, :k], "y_weights": b @ vt[:k].T}
 
 
-def lda(df: DataFrame, cols: list[str], label: str) -> dict:
-    """Discriminants of the pooled scatter (small ridge), projected centroids, and per-class covariances for the quadratic rule."""
+def steady(s: np.ndarray, compat: bool = False) -> np.ndarray:
+    """A scatter that can be inverted: itself, or with a small ridge if it is near singular (compat: in any case)."""
+    d = np.sqrt(np.maximum(np.diag(s), 0))
+    if not compat and (d > 0).all() and np.linalg.eigvalsh(s / np.outer(d, d))[0] > 1e-10:
+        return s
+    return s + 1e-8 * np.trace(s) / len(s) * np.eye(len(s))
+
+
+def lda(df: DataFrame, cols: list[str], label: str, compat: bool = False) -> dict:
+    """Discriminants of the pooled scatter, projected centroids, and per-class covariances for the quadratic rule.
+
+    A ridge moves the borders between classes, so there is one only if the scatter needs it; compat: always.
+    """
     g = moments(df, cols, [label])
     n = sum(v[0] for v in g.values())
     mean = sum(v[0] * v[1] for v in g.values()) / n
     sw = sum(v[2] for v in g.values())
-    sw = sw + 1e-8 * np.trace(sw) / len(cols) * np.eye(len(cols))
+    sw = steady(sw, compat)
     sb = sum(v[0] * np.outer(v[1] - mean, v[1] - mean) for v in g.values())
     l = np.linalg.cholesky(sw)
     val, vec = np.linalg.eigh(np.linalg.solve(l, np.linalg.solve(l, sb).T))
     k = max(1, min(len(cols), len(g) - 1))
     o = np.argsort(val)[::-1][:k]
     w = np.linalg.solve(l.T, vec[:, o])
-    return {"labels": [key[0] for key in g], "weights": w, "eigenvalues": val[o], "mean": mean, "centroids": np.array([(v[1] - mean) @ w for v in g.values()]), "classes": {key[0]: (v[0], v[1], v[2] / max(1, v[0] - 1)) for key, v in g.items()}}
+    return {"labels": [key[0] for key in g], "compat": compat, "weights": w, "eigenvalues": val[o], "mean": mean, "centroids": np.array([(v[1] - mean) @ w for v in g.values()]), "classes": {key[0]: (v[0], v[1], v[2] / max(1, v[0] - 1)) for key, v in g.items()}}
 
 
 def lda_predict(df: DataFrame, cols: list[str], model: dict, quadratic: bool = False, to: str = "predicted") -> DataFrame:
@@ -231,7 +242,7 @@ def lda_predict(df: DataFrame, cols: list[str], model: dict, quadratic: bool = F
         n = sum(v[0] for v in model["classes"].values())
         for k in model["labels"]:
             m, mu, s = model["classes"][k]
-            s = s + 1e-8 * np.trace(s) / len(cols) * np.eye(len(cols))
+            s = steady(s, model["compat"])
             inv = np.linalg.inv(s)
             d = sum((F.col(a) - float(mu[i])) * (F.col(b) - float(mu[j])) * float(inv[i, j]) for i, a in enumerate(cols) for j, b in enumerate(cols))
             cost.append((k, d + float(np.linalg.slogdet(s)[1] - 2 * math.log(m / n))))
