@@ -15,6 +15,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -69,11 +70,14 @@ def held(key: Hashable, make: Callable[[], Any]) -> Any:
 RESIDENT = 200_000_000
 
 
-def release() -> None:
-    """Give the system back what is free. Spark keeps its workers between tasks, and the allocators keep what they had."""
+def release(least: int = RESIDENT) -> None:
+    """Give the system back what is free. Spark keeps its workers between tasks, and the allocators keep what they had.
+
+    least: bytes that the process has from which it is done.
+    """
     try:
         with open("/proc/self/statm") as f:
-            if int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") < RESIDENT:
+            if int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") < least:
                 return
     except OSError:
         pass
@@ -172,10 +176,33 @@ def drop_out(df: DataFrame) -> None:
 def free_shuffles(spark: SparkSession) -> None:
     """Have the driver collect its garbage, upon which Spark removes the shuffle files of steps that nothing refers to.
 
-    They would stay on the executors' disks until the driver happens to need memory. For the end of a large eager step.
+    They would stay on the executors' disks until the driver happens to need memory. What is free then goes back to the
+    system, of the driver's Python and of its JVM. For the end of a large eager step.
     """
     gc.collect()
     spark._jvm.System.gc()
+    release(0)
+    trim_jvm(spark)
+
+
+def trim_jvm(spark: SparkSession) -> bool:
+    """Have the driver's JVM give back what its native allocator keeps; what compiling left is hundreds of MB after many plans.
+
+    By the JVM's own command, which its managed beans offer on Linux from Java 17.0.9; elsewhere nothing happens. The bean
+    server's class is not open to py4j, so the call goes through its interface.
+    """
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    try:
+        kind = jvm.java.lang.Class.forName
+        given, types = gateway.new_array(jvm.java.lang.Object, 4), gateway.new_array(jvm.java.lang.Class, 4)
+        values = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap", gateway.new_array(jvm.java.lang.Object, 0), gateway.new_array(jvm.java.lang.String, 0)
+        names = "javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"
+        for i in range(4):
+            given[i], types[i] = values[i], kind(names[i])
+        kind("javax.management.MBeanServer").getMethod("invoke", types).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JError:  # another JVM, or one that lets nobody do this
+        return False
+    return True
 
 
 def unused(df: DataFrame, name: str) -> str:

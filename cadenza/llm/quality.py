@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from cadenza.llm.common import mix, on_disk, pieces, unused, utf8_lists
+from cadenza.llm.common import free_shuffles, mix, on_disk, pieces, unused, utf8_lists
 from cadenza.llm.subword import SAMPLE_BYTES, Subword, choose, fetch, learnable, logistic, platt, sigmoid, split_words, spread, sums, text_rows
 from cadenza.llm.words import blocks
 
@@ -189,10 +189,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, pool: int = POOL,
         return Quality(Subword(2, table=np.zeros((1 << 16, 2), np.float32), bias=np.zeros(2, np.float32)), np.zeros(11), np.zeros(3 + 2 * HASHED), [(0.0, 0.0)] * 3, (2.0, 0.0, 0.0, 0.0))
     model = train(t, y)
     for _ in range(rounds):
+        free_shuffles(docs.sparkSession)
         to_text, to_page = _exchange(docs, labels, model, pool, sample_bytes)
         if to_text is None and to_page is None:
             break
         model = train(t, y, to_text, to_page)
+        del to_text, to_page
+    del t
+    free_shuffles(docs.sparkSession)
     return model
 
 

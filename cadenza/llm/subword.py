@@ -20,7 +20,7 @@ from pyspark.sql.types import DataType
 from pyspark.sql.window import Window
 
 from cadenza.llm.common import mix
-from cadenza.llm.words import factors
+from cadenza.llm.words import blocks, factors
 
 
 def spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -64,11 +64,18 @@ def ngrams(words: list[str], shortest: int, longest: int, buckets: int) -> tuple
     return ids, np.append(0, np.cumsum(np.bincount(owner, minlength=len(words))))
 
 
+#: So many words are hashed at a time.
+PIECE = 4000
+
+
 def all_ngrams(words: list[str], shortest: int, longest: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """ngrams() of many words, in pieces: the hashes take some twenty times what is kept."""
-    parts = [ngrams(words[i : i + 20_000], shortest, longest, buckets) for i in range(0, len(words), 20_000)]
-    ids = np.concatenate([p[0].astype(np.int32) for p in parts] or [np.zeros(0, np.int32)])
-    return ids, np.append(0, np.cumsum(np.concatenate([np.diff(p[1]) for p in parts] or [np.zeros(0, np.int64)])))
+    ids, lens = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for i in range(0, len(words), PIECE):
+        some, offsets = ngrams(words[i : i + PIECE], shortest, longest, buckets)
+        ids.append(some.astype(np.int32))
+        lens.append(np.diff(offsets))
+    return np.concatenate(ids), np.append(0, np.cumsum(np.concatenate(lens)))
 
 
 def split_words(texts: pa.Array, lower: bool) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -160,9 +167,9 @@ class Subword:
 
     def _of_words(self, words: list[str], table: np.ndarray) -> np.ndarray:
         out = np.zeros((len(words), table.shape[1]), np.float32)
-        for i in range(0, len(words), 20_000):
-            ids, off = ngrams(words[i : i + 20_000], self.shortest, self.longest, self.buckets)
-            out[i : i + 20_000] = sums(table[ids], off) / np.diff(off)[:, None]
+        for i in range(0, len(words), PIECE):
+            ids, off = ngrams(words[i : i + PIECE], self.shortest, self.longest, self.buckets)
+            out[i : i + PIECE] = sums(table[ids], off) / np.diff(off)[:, None]
         return out
 
     def logits_of_words(self, words: list[str]) -> np.ndarray:
@@ -174,7 +181,10 @@ class Subword:
         """Logits of each text as one bag, the average of its words; of a text without words, the bias."""
         unfolded = self.table is None
         rows = self._of_words(words, self.embed if unfolded else self.table)
-        mean = sums(rows[at].astype(np.float64), offsets) / np.maximum(np.diff(offsets), 1)[:, None]
+        mean = np.zeros((len(offsets) - 1, rows.shape[1]))
+        for i, j in blocks(offsets, 1 << 17):  # a row of numbers for each word of a text takes many times the text
+            mean[i:j] = sums(rows[at[offsets[i] : offsets[j]]].astype(np.float64), offsets[i : j + 1] - offsets[i])
+        mean /= np.maximum(np.diff(offsets), 1)[:, None]
         return (mean @ self.out if unfolded else mean) + self.bias
 
     def logits(self, texts: pa.Array) -> np.ndarray:

@@ -1,11 +1,16 @@
 """What the operators share: batches by bytes, tables held by workers, the shared folder."""
 
+import re
+import time
+import tracemalloc
+from pathlib import Path
 from types import SimpleNamespace
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from cadenza.llm import common
+from cadenza.llm import common, subword
 
 
 def batch(texts):
@@ -47,3 +52,41 @@ def test_a_cluster_needs_a_shared_folder():
 def test_names_that_are_not_taken():
     df = SimpleNamespace(columns=["T1", "t1_", "x"])
     assert common.unused(df, "t1") == "t1__" and common.unused(df, "y") == "y"
+
+
+def test_the_driver_gives_back_what_its_jvm_keeps(spark):
+    """Of native buffers every other one is freed, so the allocator has holes that it keeps by itself."""
+    jvm = spark._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+    held = lambda: sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path(f"/proc/{pid}/smaps_rollup").read_text()))) / 1024
+    kept, freed = jvm.java.util.ArrayDeque(), jvm.java.util.ArrayDeque()
+    for _ in range(1000):
+        kept.add(jvm.java.nio.ByteBuffer.allocateDirect(60_000))
+        freed.add(jvm.java.nio.ByteBuffer.allocateDirect(60_000))
+    freed.clear()
+    for _ in range(4):  # the heap has its size, and the buffers are freed
+        common.gc.collect()
+        jvm.System.gc()
+        time.sleep(0.5)
+    before = held()
+    common.free_shuffles(spark)
+    assert held() < before - 30 and kept.size() == 1000
+
+
+def test_words_of_many_texts_are_summed_in_blocks():
+    rng = np.random.default_rng(3)
+    words, n = [f"w{i}" for i in range(500)], 1_500_000
+    at = rng.integers(0, 500, n)
+    cuts = np.sort(rng.integers(0, n - 400_000, 3000))
+    offsets = np.concatenate([[0, 0], cuts, [n, n]])  # empty texts at both ends, the last but one of 400,000 words
+    model = subword.Subword(2, 2, 4, 1 << 12, 8, False)
+    model.start()
+    model.embed += rng.normal(0, 1, model.embed.shape).astype(np.float32)
+    rows = model._of_words(words, model.embed).astype(np.float64)
+    mean = np.stack([rows[at[a:b]].sum(0) / max(b - a, 1) for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+    tracemalloc.start()
+    z = model.bags(words, at, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    np.testing.assert_allclose(z, mean @ model.out + model.bias, rtol=1e-6, atol=1e-6)
+    assert peak < 80_000_000  # all at once: 144 MB
