@@ -188,7 +188,7 @@ def free_shuffles(spark: SparkSession) -> None:
 def trim_jvm(spark: SparkSession) -> bool:
     """Have the driver's JVM give back what its native allocator keeps: some 200 MB after many plans.
 
-    By the JVM's own command, which its managed beans offer on Linux from Java 17.0.9; elsewhere nothing happens. The bean
+    By the JVM's own command, which the managed beans of 17.0.19 on Linux offer; where there is none nothing happens. The bean
     server's class is not open to py4j, so the call goes through its interface.
     """
     jvm, gateway = spark._jvm, spark.sparkContext._gateway
